@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
@@ -48,19 +49,32 @@ def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "DX",
 
 
 def gaussian_nb_scores(test: DataFrame, features: list[str], model: dict, key: str = "row_id") -> DataFrame:
-    jll = {}
-    for c, (prior, st) in model.items():
-        e = F.lit(math.log(prior) - 0.5 * sum(math.log(2 * math.pi * v) for _, v in st.values()))
-        for f in features:
-            mu, var = st[f]
-            e = e - (F.col(f"`{f}`").cast("double") - F.lit(mu)) ** 2 / F.lit(2 * var)
-        jll[c] = e
-    cls = sorted(jll)
-    step = test.select(key, *[jll[c].alias(f"__j{c}") for c in cls])
-    mx = F.greatest(*[F.col(f"__j{c}") for c in cls]) if len(cls) > 1 else F.col(f"__j{cls[0]}")
-    step = step.withColumn("__m", mx)
-    step = step.withColumn("__lse", F.col("__m") + F.log(sum([F.exp(F.col(f"__j{c}") - F.col("__m")) for c in cls])))
-    return _long_scores(step, key, [(c, F.exp(F.col(f"__j{c}") - F.col("__lse"))) for c in cls])
+    """Class probabilities from the joint log-likelihood
+    log prior_c - 0.5 sum_f log(2 pi var_cf) - sum_f (x_f - mu_cf)^2 / (2 var_cf).
+
+    Scoring is a vectorised matrix expression per Arrow batch (the C x F model travels with
+    the task); rows stay in their partitions and no shuffle is involved.
+    """
+    cls = sorted(model)
+    mu = np.array([[model[c][1][f][0] for f in features] for c in cls])
+    var = np.array([[model[c][1][f][1] for f in features] for c in cls])
+    const = np.array([math.log(model[c][0]) for c in cls]) - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
+    inv = 1.0 / (2 * var)
+    cls_arr = np.array(cls, dtype=np.int64)
+
+    def score(batches):
+        for pdf in batches:
+            X = pdf[features].to_numpy(dtype=np.float64)
+            jll = const[None, :] - (((X[:, None, :] - mu[None, :, :]) ** 2) * inv[None, :, :]).sum(axis=2)
+            m = jll.max(axis=1, keepdims=True)
+            p = np.exp(jll - m)
+            p /= p.sum(axis=1, keepdims=True)
+            n = len(pdf)
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(dtype=np.int64), len(cls)),
+                                "class": np.tile(cls_arr, n).astype(np.int32), "p": p.reshape(-1)})
+
+    sel = test.select(F.col(key).cast("long").alias(key), *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    return sel.mapInPandas(score, f"{key} long, class int, p double")
 
 
 def gaussian_nb(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX",

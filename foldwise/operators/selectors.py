@@ -30,13 +30,13 @@ def mutual_info_long(long: DataFrame, label: str = "DX") -> DataFrame:
     kept = long.where(F.col("value").isNotNull() & F.col(label).isNotNull())
     nxy = kept.groupBy("feature", "value", label).agg(F.count(F.lit(1)).cast("double").alias("n"))
     per_x = nxy.groupBy("feature", "value").agg(F.sum("n").alias("nx"), F.sum(_xlogx(F.col("n"))).alias("a"))
-    fx = per_x.groupBy("feature").agg(F.sum("a").alias("A"), F.sum(_xlogx(F.col("nx"))).alias("B"),
-                                      F.sum("nx").alias("N"))
+    fx = per_x.groupBy("feature").agg(F.sum("a").alias("s_xy"), F.sum(_xlogx(F.col("nx"))).alias("s_x"),
+                                      F.sum("nx").alias("n_all"))
     fy = (nxy.groupBy("feature", label).agg(F.sum("n").alias("ny"))
-          .groupBy("feature").agg(F.sum(_xlogx(F.col("ny"))).alias("C")))
+          .groupBy("feature").agg(F.sum(_xlogx(F.col("ny"))).alias("s_y")))
+    n_all = F.col("n_all")
     return (fx.join(fy, "feature")
-            .select("feature", ((F.col("A") - F.col("B") - F.col("C") + _xlogx(F.col("N"))) / F.col("N"))
-                    .alias("mi")))
+            .select("feature", ((F.col("s_xy") - F.col("s_x") - F.col("s_y") + _xlogx(n_all)) / n_all).alias("mi")))
 
 
 def info_gain(df: DataFrame, features: list[str], label: str = "DX", key: str = "row_id") -> DataFrame:
@@ -52,11 +52,13 @@ def anova_f(df: DataFrame, features: list[str], label: str = "DX", key: str = "r
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
         (F.var_pop("value") * F.count(F.lit(1))).alias("m2"))
     w = Window.partitionBy("feature")  # over the (feature x class) table only
-    g = g.withColumn("N", F.sum("n").over(w)).withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.col("N"))
+    g = g.withColumn("n_all", F.sum("n").over(w)).withColumn(
+        "grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.col("n_all"))
     s = g.groupBy("feature").agg(
         F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ssb"),
-        F.sum("m2").alias("ssw"), F.count(F.lit(1)).alias("k"), F.first("N").alias("N"))
-    score = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))
+        F.sum("m2").alias("ssw"), F.count(F.lit(1)).alias("k"), F.first("n_all").alias("n_all"))
+    score = F.when(F.col("k") > 1, F.try_divide(F.col("ssb") / (F.col("k") - 1),
+                                                 F.col("ssw") / (F.col("n_all") - F.col("k"))))
     return s.select("feature", feature_positions(features).alias("position"), score.alias("score"))
 
 

@@ -281,8 +281,7 @@ SELECT {r6('avg(TRY_CAST(acctbal_txt AS DOUBLE))')} AS mean_acctbal_txt, {r6('av
 SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY mi DESC, {pos_case(LINE_FEATS)}) AS INTEGER) AS rank, feature, {r6('mi')} AS score FROM mi) WHERE rank <= 3"""
     pos = pos_case(LINE_FEATS)
     S["mrmr_miq"] = f"""WITH {LI_LONG},\n{mi_ctes('lg')},
-pr AS (SELECT a.feature AS f, b.feature AS g, a.value AS fv, b.value AS gv FROM lg a JOIN lg b ON a.row_id = b.row_id AND a.feature <> b.feature),
-pxy AS (SELECT f, g, fv, gv, CAST(count(*) AS DOUBLE) AS n FROM pr GROUP BY ALL),
+pxy AS ({' UNION ALL '.join(f"SELECT '{a}' AS f, '{b}' AS g, CAST({a} AS DOUBLE) AS fv, CAST({b} AS DOUBLE) AS gv, CAST(count(*) AS DOUBLE) AS n FROM li GROUP BY ALL" for a in LINE_FEATS for b in LINE_FEATS if a != b)}),
 pfx AS (SELECT f, g, fv, sum(n) AS nf FROM pxy GROUP BY ALL),
 pgx AS (SELECT f, g, gv, sum(n) AS ng FROM pxy GROUP BY ALL),
 pnt AS (SELECT f, g, sum(n) AS nt FROM pxy GROUP BY ALL),

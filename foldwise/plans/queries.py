@@ -52,6 +52,9 @@ CUST_RULE_FEATURES = ["acctbal_txt", "nation_code", "acctbal", "segment_txt"]
 
 
 def lineitem_dataset(spark, sf):
+    """Line items as (row_id, 4 discrete features, DX = l_returnflag). The generated table has
+    no unique line key, so row_id (order key * 8 + line number) is a label, not a join key;
+    no selector joins on it."""
     li = tb.table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
                                           "l_returnflag"])
     return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), "l_quantity",
