@@ -101,9 +101,11 @@ def rf_importance(df: DataFrame, features: list[str], label: str = "DX", seed: i
                   num_trees: int = 38, max_depth: int = 10) -> DataFrame:
     """Impurity importances of a forest grown on all rows without bootstrap, sqrt(F)
     candidate features per split: (feature, position, score)."""
-    data = _assemble(df.where(F.col(label).isNotNull()), features).select("features", F.col(label).cast("double").alias("label"))
+    data = _assemble(df.where(F.col(label).isNotNull()), features).select(
+        "features", F.col(label).cast("double").alias("label")).persist()
     model = RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy="sqrt", bootstrap=False,
                                    maxDepth=max_depth, seed=seed, labelCol="label").fit(data)
+    data.unpersist()
     imp = model.featureImportances.toArray().tolist()
     rows = [(f, i, float(imp[i])) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, position int, score double")
@@ -126,9 +128,10 @@ def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label:
                   key: str = "row_id", rounds: int = 100, depth: int = 3, step: float = 0.1,
                   seed: int = 1) -> DataFrame:
     """One-vs-rest gradient-boosted trees; class score sigmoid(2 margin), normalised."""
-    tr = _assemble(train, features).select("features", F.col(label).cast("double").alias("label"))
+    tr = _assemble(train, features).select("features", F.col(label).cast("double").alias("label")).persist()
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
     model = OneVsRest(classifier=gbt).fit(tr)
+    tr.unpersist()
     pred = model.transform(_assemble(test, features))
     s = _vector_scores(pred, key, "rawPrediction", lambda m: 1 / (1 + F.exp(-2 * m)))
     return _normalise(s, key)
@@ -149,9 +152,10 @@ def mlp_classifier(train: DataFrame, test: DataFrame, features: list[str], n_cla
     """Feed-forward net (sigmoid hidden units, softmax output, L-BFGS). With ``hard`` the
     slot scores are the one-hot argmax, as the deep-learning slot reports them."""
     widths = mlp_layers(len(features), list(layers), list(dropouts), n_classes)
-    tr = _assemble(train, features).select("features", F.col(label).cast("double").alias("label"))
+    tr = _assemble(train, features).select("features", F.col(label).cast("double").alias("label")).persist()
     model = MultilayerPerceptronClassifier(layers=widths, maxIter=int(epochs), blockSize=int(batch_size),
                                            seed=seed).fit(tr)
+    tr.unpersist()
     pred = model.transform(_assemble(test, features))
     if hard:
         return pred.select(key, F.col("prediction").cast("int").alias("pc"),
@@ -181,16 +185,18 @@ def rff_features(df: DataFrame, features: list[str], n_components: int = 64, gam
 
 
 def rbf_svc(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX", key: str = "row_id",
-            C: float = 0.0016, n_components: int = 64, seed: int = 1, max_iter: int = 50) -> DataFrame:
+            C: float = 0.0016, n_components: int = 64, seed: int = 1, max_iter: int = 20) -> DataFrame:
     """RBF-kernel SVM stand-in: random Fourier features, one-vs-rest linear SVMs
     (regParam = 1 / (C n)), margins calibrated by a multinomial logistic regression."""
     n = train.count()
     trf, cols = rff_features(train, features, n_components, seed=seed, key_cols=(key, label))
     tef, _ = rff_features(test, features, n_components, seed=seed, key_cols=(key,))
-    tr = _assemble(trf, cols).select(key, "features", F.col(label).cast("double").alias("label"))
-    svm = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter))
+    tr = _assemble(trf, cols).select(key, "features", F.col(label).cast("double").alias("label")).persist()
+    svm = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter), parallelism=8)
     ovr = svm.fit(tr)
-    tr_m = ovr.transform(tr).select("label", F.col("rawPrediction").alias("margins"))
-    cal = LogisticRegression(featuresCol="margins", family="multinomial", maxIter=100).fit(tr_m)
+    tr_m = ovr.transform(tr).select("label", F.col("rawPrediction").alias("margins")).persist()
+    cal = LogisticRegression(featuresCol="margins", family="multinomial", maxIter=50).fit(tr_m)
+    tr.unpersist()
+    tr_m.unpersist()
     te_m = ovr.transform(_assemble(tef, cols)).select(key, F.col("rawPrediction").alias("margins"))
     return _vector_scores(cal.transform(te_m), key, "probability")

@@ -14,8 +14,18 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.driver.memory": "16g",
+    # wide projections with many aliases (SMOTE, ReliefF) make constraint inference blow up
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
+RUNTIME_CONF = {"spark.sql.constraintPropagation.enabled": "false"}
+
+
+def apply_runtime_conf(spark: SparkSession) -> None:
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "foldwise", extra: dict | None = None) -> SparkSession:
@@ -30,6 +40,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    apply_runtime_conf(spark)
     checkpoint_dir(spark)
     return spark
 
