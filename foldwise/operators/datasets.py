@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def catalog_features(catalog: DataFrame, groups: list[str]) -> list[str]:
-    """Feature names whose Grouping is in ``groups``, in catalog order, duplicates removed.
-
-    Only names reach the driver (one per catalog row), never data rows.
-    """
+def catalog_entries(catalog: DataFrame) -> list[tuple[str, str]]:
+    """(Feature, Grouping) in catalog order. A catalog is metadata (one row per feature);
+    only these names reach the driver, never data rows."""
     rows = (catalog.withColumn("__pos", F.monotonically_increasing_id())
-            .filter(F.col("Grouping").isin(groups))
-            .groupBy("Feature").agg(F.min("__pos").alias("__pos"))
-            .orderBy("__pos").select("Feature").collect())
-    return [r[0] for r in rows]
+            .orderBy("__pos").select("Feature", "Grouping").collect())
+    return [(r[0], r[1]) for r in rows]
+
+
+def catalog_features(catalog: DataFrame | list, groups: list[str]) -> list[str]:
+    """Feature names whose Grouping is in ``groups``, in catalog order, duplicates removed."""
+    entries = catalog if isinstance(catalog, list) else catalog_entries(catalog)
+    out = []
+    for f, g in entries:
+        if g in groups and f not in out:
+            out.append(f)
+    return out
 
 
-def feature_subset(data: DataFrame, catalog: DataFrame, groups: list[str], key: str = "row_id",
+def feature_subset(data: DataFrame, catalog, groups: list[str], key: str = "row_id",
                    label: str = "DX") -> DataFrame:
     """Project ``data`` onto the catalog features of ``groups`` (+ key, label last).
     Features absent from ``data`` are ignored."""
@@ -30,7 +36,8 @@ def feature_subset(data: DataFrame, catalog: DataFrame, groups: list[str], key:
 
 def modality_datasets(data: DataFrame, catalog: DataFrame, modalities: dict[str, list[str]],
                       key: str = "row_id", label: str = "DX") -> dict[str, DataFrame]:
-    return {name: feature_subset(data, catalog, groups, key, label) for name, groups in modalities.items()}
+    entries = catalog_entries(catalog)
+    return {name: feature_subset(data, entries, groups, key, label) for name, groups in modalities.items()}
 
 
 def dataset_views(datasets: dict[str, DataFrame], views: dict[str, list[str]], key: str = "row_id",

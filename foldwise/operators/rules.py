@@ -174,6 +174,11 @@ class RuleProgram:
         self._flush()
         return [c.build(self.means).alias(c.name) for c in self.cols if c.name not in exclude]
 
+    def named_exprs(self, exclude=()) -> list[tuple[str, Column]]:
+        """(output name, expression) pairs, unaliased, for composing into other projections."""
+        self._flush()
+        return [(c.name, c.build(self.means)) for c in self.cols if c.name not in exclude]
+
     @property
     def has_filters(self) -> bool:
         return bool(self.filters)
@@ -189,6 +194,32 @@ class RuleProgram:
         return self._filtered().select(*exprs)
 
 
+def fit_together(base: DataFrame, programs: list["RuleProgram"]) -> None:
+    """Compute the pending means of several programs in ONE aggregate over ``base``.
+
+    Valid when every program reads columns of ``base`` by name and none filters rows (e.g.
+    the modality programs of one wide table): one scan instead of one per program.
+    """
+    if any(p.has_filters for p in programs):
+        for p in programs:
+            p._flush()
+        return
+    aggs, owners = [], []
+    for i, p in enumerate(programs):
+        for pid, (build, dt) in p.pending.items():
+            mean = F.avg(lenient_double(build(p.means), dt))
+            aggs += [mean.alias(f"m{i}_{pid}"), mean.cast("string").alias(f"s{i}_{pid}")]
+            owners.append((i, pid))
+    if not aggs:
+        return
+    row = base.agg(*aggs).collect()[0]
+    for i, pid in owners:
+        programs[i].means[pid] = (row[f"m{i}_{pid}"], row[f"s{i}_{pid}"])
+    for p in programs:
+        p.pending = {}
+        p.aggregate_jobs += 1
+
+
 def clean(df: DataFrame, rules: dict, null_key: bool = True) -> DataFrame:
     """Apply one rule set (feature -> rule) to ``df``."""
     return RuleProgram(df, rules, null_key=null_key).result()

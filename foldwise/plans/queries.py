@@ -67,8 +67,17 @@ def raw_modalities(spark, sf) -> dict[str, DataFrame]:
 
 
 def cleaned_modalities(spark, sf) -> dict[str, DataFrame]:
+    """Each modality cleaned by its own rule program; the programs' means are fitted by one
+    aggregate over the wide table, and each modality is a projection of it."""
+    from foldwise.operators.rules import fit_together
+    wide = tb.order_table(spark, sf)
     rules = tb.rule_groups()
-    return {name: clean(df, rules[name]) for name, df in raw_modalities(spark, sf).items()}
+    raw = ds.modality_datasets(wide, tb.full_catalog(spark), tb.MODALITIES)
+    programs = {n: RuleProgram(d, rules[n]) for n, d in raw.items()}
+    fit_together(wide, list(programs.values()))
+    if any(p.has_filters for p in programs.values()):
+        return {n: p.result() for n, p in programs.items()}
+    return {n: wide.select(*p.exprs()) for n, p in programs.items()}
 
 
 def cleaned_views(spark, sf) -> dict[str, DataFrame]:
@@ -78,6 +87,8 @@ def cleaned_views(spark, sf) -> dict[str, DataFrame]:
     rules = tb.rule_groups()
     raw = ds.modality_datasets(wide, tb.full_catalog(spark), tb.MODALITIES)
     programs = {n: RuleProgram(d, rules[n]) for n, d in raw.items()}
+    from foldwise.operators.rules import fit_together
+    fit_together(wide, list(programs.values()))
     out = {}
     if any(p.has_filters for p in programs.values()):
         return ds.dataset_views({n: p.result() for n, p in programs.items()}, tb.VIEWS)
@@ -89,9 +100,15 @@ def cleaned_views(spark, sf) -> dict[str, DataFrame]:
     return out
 
 
+def order_labels(spark, sf) -> DataFrame:
+    """(row_id, DX) straight from orders: the enrichment joins never change the row set."""
+    o = tb.table(spark, sf, "orders", ["o_orderkey", "o_orderpriority"])
+    return o.select(F.col("o_orderkey").alias("row_id"), label_encode("o_orderpriority", tb.PRIORITY_LABELS).alias("DX"))
+
+
 def md5_predictions(spark, sf, seed=7, p_ok=0.6, k=3) -> DataFrame:
     """Orders with folds and a deterministic noisy prediction of DX (5 classes)."""
-    o = tb.order_table(spark, sf).select("row_id", "DX")
+    o = order_labels(spark, sf)
     o = sampling.stratified_folds(o, k, 1)
     pred = F.when(md5_uniform(seed, "ok", F.col("row_id")) < p_ok, F.col("DX")).otherwise(
         F.floor(md5_uniform(seed, "guess", F.col("row_id")) * 5).cast("int"))
@@ -220,33 +237,48 @@ def q_modality_datasets(spark, sf):
     return out
 
 
-def _moments_long(name: str, df: DataFrame, label: str) -> DataFrame:
-    feats = ds.features_of(df)
-    wide = df.agg(*[F.count(F.col(f"`{f}`")).alias(f"n_{i}") for i, f in enumerate(feats)],
-                  *[F.avg(F.col(f"`{f}`").cast("double")).alias(f"m_{i}") for i, f in enumerate(feats)])
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("position"),
-                                        F.col(f"n_{i}").cast("bigint").alias("n_nonnull"),
-                                        F.col(f"m_{i}").alias("mean")) for i, f in enumerate(feats)]))
-    return finish(wide.select(rows.alias("r")).select(F.lit(name).alias(label), "r.*"))
+def cleaned_parts(spark, sf, views: bool = False):
+    """(wide table, {name: [(feature, cleaning expression)]}) for the modalities (or views):
+    all cleaned datasets are projections of the one wide table, fitted by one aggregate."""
+    from foldwise.operators.rules import fit_together
+    wide = tb.order_table(spark, sf)
+    rules = tb.rule_groups()
+    raw = ds.modality_datasets(wide, tb.full_catalog(spark), tb.MODALITIES)
+    programs = {n: RuleProgram(d, rules[n]) for n, d in raw.items()}
+    fit_together(wide, list(programs.values()))
+    if any(p.has_filters for p in programs.values()):
+        raise ValueError("row filters in modality rules: use cleaned_modalities (keyed joins)")
+    parts = {n: p.named_exprs(exclude=("row_id", "DX")) for n, p in programs.items()}
+    if views:
+        parts = {v: [e for part in ps for e in parts[part]] for v, ps in tb.VIEWS.items()}
+    return wide, parts
+
+
+def _moments_long(wide: DataFrame, parts: dict, label: str) -> DataFrame:
+    """(label, feature, position, n_nonnull, mean) for every part, in one aggregate."""
+    entries, aggs = [], []
+    for name, exprs in parts.items():
+        for i, (f, e) in enumerate(exprs):
+            j = len(entries)
+            entries.append((name, f, i, j))
+            aggs += [F.count(e).alias(f"n_{j}"), F.avg(e.cast("double")).alias(f"m_{j}")]
+    stats = wide.agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias(label), F.lit(f).alias("feature"), F.lit(i).alias("position"),
+                                        F.col(f"n_{j}").cast("bigint").alias("n_nonnull"), F.col(f"m_{j}").alias("mean"))
+                               for name, f, i, j in entries]))
+    return finish(stats.select(rows.alias("r")).select("r.*"))
 
 
 @query("clean_all")
 def q_clean_all(spark, sf):
-    out = None
-    for name, df in cleaned_modalities(spark, sf).items():
-        s = _moments_long(name, df, "dataset")
-        out = s if out is None else out.unionByName(s)
-    return out
+    wide, parts = cleaned_parts(spark, sf)
+    return _moments_long(wide, parts, "dataset")
 
 
 @query("dataset_views")
 def q_dataset_views(spark, sf):
-    views = cleaned_views(spark, sf)
-    out = None
-    for name in tb.VIEWS:
-        s = _moments_long(name, views[name], "view")
-        out = s if out is None else out.unionByName(s)
-    return out
+    wide, parts = cleaned_parts(spark, sf, views=True)
+    return _moments_long(wide, parts, "view")
 
 
 @query("align_by_row")
@@ -429,14 +461,12 @@ def q_standard_scale(spark, sf):
 
 @query("stratified_folds")
 def q_stratified_folds(spark, sf):
-    o = tb.order_table(spark, sf).select("row_id", "DX")
-    return sampling.stratified_folds(o, 3, 1).select("row_id", "DX", "fold")
+    return sampling.stratified_folds(order_labels(spark, sf), 3, 1).select("row_id", "DX", "fold")
 
 
 @query("ordered_holdout")
 def q_ordered_holdout(spark, sf):
-    o = tb.order_table(spark, sf).select("row_id", "DX")
-    return sampling.ordered_holdout(o, 0.33).select("row_id", "is_test")
+    return sampling.ordered_holdout(order_labels(spark, sf), 0.33).select("row_id", "is_test")
 
 
 @query("class_weights")
@@ -545,8 +575,7 @@ def q_train_slots(spark, sf):
 # 2.6 / 2.7 / 2.11 ensemble and metrics --------------------------------------------------------
 @query("one_hot")
 def q_one_hot(spark, sf):
-    o = tb.order_table(spark, sf).select("row_id", "DX")
-    return metrics.one_hot(o, "DX", 5)
+    return metrics.one_hot(order_labels(spark, sf), "DX", 5)
 
 
 @query("label_inverse")
@@ -560,7 +589,7 @@ def q_label_inverse(spark, sf):
 
 @query("soft_vote")
 def q_soft_vote(spark, sf):
-    o = tb.order_table(spark, sf).select("row_id")
+    o = order_labels(spark, sf).select("row_id")
     s = (o.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2))))
          .withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(4))))
          .withColumn("p", F.floor(md5_uniform(5, F.col("slot"), F.col("row_id"), F.col("class")) * 4) / 4.0))
