@@ -35,8 +35,9 @@ def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "DX",
                     var_smoothing: float = 1e-9) -> dict:
     """Per-class priors, means and variances (+ var_smoothing x largest feature variance).
     One grouped aggregate plus one global aggregate; C x F numbers reach the driver."""
-    per = moments(train, features, [label])
-    tot = moments(train, features)[()]
+    from foldwise.operators.scaling import merge_moments
+    per = {k: v for k, v in moments(train, features, [label]).items() if k[0] is not None}
+    tot = {f: merge_moments([m[f] for m in per.values()]) for f in features}
     eps = var_smoothing * max((q / n if n else 0.0) for n, _, q in tot.values())
     n_all = sum(next(iter(m.values()))[0] for m in per.values())
     model = {}
@@ -84,9 +85,11 @@ def gaussian_nb(train: DataFrame, test: DataFrame, features: list[str], label: s
 
 # -- k nearest neighbours ---------------------------------------------------------------------
 def knn_scores(train: DataFrame, test: DataFrame, features: list[str], k: int = 2, label: str = "DX",
-               key: str = "row_id", block_rows: int = 20000) -> DataFrame:
+               key: str = "row_id", block_rows: int = 20000, train_rows: int | None = None,
+               test_rows: int | None = None) -> DataFrame:
     """Uniform vote share of each class among the k nearest training rows."""
-    nn = knn_join(test, train, features, k, key=key, block_rows=block_rows)
+    nn = knn_join(test, train, features, k, key=key, block_rows=block_rows, left_rows=test_rows,
+                  right_rows=train_rows)
     lab = train.select(F.col(key).alias("right_id"), F.col(label).alias("class"))
     return (nn.join(lab, "right_id").groupBy(F.col("left_id").alias(key), "class")
             .agg((F.count(F.lit(1)) / F.lit(float(k))).alias("p")))

@@ -59,7 +59,8 @@ def _block_topk(k: int, exclude_self: bool, metric: str, nf: int):
 def knn_join(left: DataFrame, right: DataFrame, features: list[str], k: int, key: str = "row_id",
              by: list[str] | None = None, exclude_self: bool = False, metric: str = "euclidean",
              block_rows: int = 20000, right_features: list[str] | None = None,
-             left_by: list[str] | None = None) -> DataFrame:
+             left_by: list[str] | None = None, left_rows: int | None = None,
+             right_rows: int | None = None) -> DataFrame:
     """(left_id, rank, right_id, dist): the k nearest right rows of every left row.
 
     ``by``: right columns whose values must equal the left's ``left_by`` columns (default the
@@ -68,8 +69,9 @@ def knn_join(left: DataFrame, right: DataFrame, features: list[str], k: int, key
     by = list(by or [])
     left_by = list(left_by or by)
     rf = right_features or features
-    n_left = left.count()
-    n_right = right.count()
+    # block counts only need sizes; callers that know them skip the counting jobs
+    n_left = left_rows if left_rows is not None else left.count()
+    n_right = right_rows if right_rows is not None else right.count()
     lb = max(1, math.ceil(n_left / block_rows))
     rb = max(1, math.ceil(n_right / block_rows))
     keys = [f"__by{i}" for i in range(len(by))] + ["__lb", "__rb"]

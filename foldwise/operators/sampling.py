@@ -123,7 +123,9 @@ def smote(df: DataFrame, features: list[str], label: str = "DX", key: str = "row
         F.col(key).alias("__base"), label, "j",
         (F.floor(md5_uniform(seed, "nn", F.col(label), F.col("j")) * k_eff) + 1).cast("int").alias("__nn"),
         md5_uniform(seed, "step", F.col(label), F.col("j")).alias("__u"))
-    nn = knn_join(src, src, features, k, key=key, by=[label], exclude_self=True, block_rows=block_rows)
+    n_src = sum(counts[c] for c in minority)
+    nn = knn_join(src, src, features, k, key=key, by=[label], exclude_self=True, block_rows=block_rows,
+                  left_rows=n_src, right_rows=n_src)
     syn = syn.join(nn.select(F.col("left_id").alias("__base"), F.col("rank").alias("__nn"),
                              F.col("right_id").alias("__nbr")), ["__base", "__nn"], "inner")
     a = base.select(F.col(key).alias("__base"), *[F.col(f).alias(f"__a_{i}") for i, f in enumerate(features)])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from foldwise.operators import ensemble, metrics, models, sampling, scaling, selectors
 from foldwise.operators.datasets import features_of
 from foldwise.plans.tables import CONF_DIR
+from foldwise.sources.sink import write_and_read
 
 
 def load_configs(path: str | None = None) -> dict:
@@ -75,11 +76,12 @@ def select_slots(cfg: dict, datasets: dict[str, DataFrame], seed: int = 1, name:
 
 
 def slot_scores(classifier: str, train: DataFrame, test: DataFrame, features: list[str], n_classes: int,
-                cfg: dict, seed: int = 1) -> DataFrame:
+                cfg: dict, seed: int = 1, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Long class scores of one slot; the family is 'dl' by substring, else the name's prefix."""
     family = "dl" if "dl" in classifier else classifier.split("_")[0]
     if family == "knn":
-        return models.knn_scores(train, test, features, 2)
+        tr, te = sizes or (None, None)
+        return models.knn_scores(train, test, features, 2, train_rows=tr, test_rows=te)
     if family == "nb":
         return models.gaussian_nb(train, test, features)
     if family == "svc":
@@ -107,23 +109,30 @@ def cross_validate(cfg: dict, slots: list[tuple[DataFrame, list[str]]], seed: in
             df = sampling.smote(df, feats, k=5, seed=seed).drop("synthetic")
         prepared.append((df, feats))
     folds = sampling.stratified_folds(prepared[0][0].select("row_id", "DX"), k, seed).select("row_id", "fold")
-    tagged = []
-    for df, feats in prepared:
-        t = df.join(folds, "row_id").checkpoint(eager=True)
+    tagged, fold_params = [], []
+    for s, (df, feats) in enumerate(prepared):
+        # written once to the shared checkpoint folder: later fold jobs read it, and neither
+        # recompute nor depend on the SMOTE / neighbour lineage
+        t = write_and_read(df.join(folds, "row_id"), f"cv_slot{s}")
         tagged.append((t, feats))
+        fold_params.append(scaling.fold_scale_params(t, feats, k, fit_on))
+    fold_n = {r["fold"]: r["count"] for r in tagged[0][0].groupBy("fold").count().collect()}
+    total = sum(fold_n.values())
     preds = None
     for i in range(k):
         scores = None
         for s, ((df, feats), clf) in enumerate(zip(tagged, classifiers)):
-            params = scaling.fold_scale_params(df, feats, k, fit_on)[i]
+            params = fold_params[s][i]
             train = scaling.apply_scale(df.where(F.col("fold") != i), feats, params["train"])
             test = scaling.apply_scale(df.where(F.col("fold") == i), feats, params["test"])
-            sc = slot_scores(clf, train, test, feats, n_classes, cfg, seed).withColumn("slot", F.lit(s))
+            sizes = (total - fold_n.get(i, 0), fold_n.get(i, 0))
+            sc = slot_scores(clf, train, test, feats, n_classes, cfg, seed, sizes).withColumn("slot", F.lit(s))
             scores = sc if scores is None else scores.unionByName(sc)
         vote = ensemble.soft_vote(scores, len(tagged))
         truth = tagged[0][0].where(F.col("fold") == i).select("row_id", "DX")
         p = vote.join(truth, "row_id").select(F.lit(i).alias("fold"), "row_id", "DX", "pred")
         preds = p if preds is None else preds.unionByName(p)
+    preds = write_and_read(preds, "cv_predictions")
     return preds, metrics.fold_metrics(preds, n_classes)
 
 
@@ -133,6 +142,7 @@ def run_experiment(name: str, cfg: dict, datasets: dict[str, DataFrame], seed: i
     holds the mean over folds."""
     slots, report = select_slots(cfg, datasets, seed, name, strict)
     _, m = cross_validate(cfg, slots, seed)
+    m = m.persist()
     avg = metrics.fold_average(m).select(F.lit(-1).alias("fold"), "metric", "class", "value")
     allm = m.select("fold", "metric", "class", "value").unionByName(avg)
     return allm.select(F.lit(name).alias("config"), "*"), report
