@@ -122,23 +122,25 @@ def pos_case(cols: list[str]) -> str:
     return "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(cols)) + " END"
 
 
-def mi_ctes(long_cte: str) -> str:
-    return f"""nxy AS (SELECT feature, value, DX, CAST(count(*) AS DOUBLE) AS n FROM {long_cte}
+def mi_ctes(long_cte: str, sfx: str = "") -> str:
+    x = sfx
+    return f"""nxy{x} AS (SELECT feature, value, DX, CAST(count(*) AS DOUBLE) AS n FROM {long_cte}
     WHERE value IS NOT NULL AND DX IS NOT NULL GROUP BY feature, value, DX),
-nx AS (SELECT feature, value, sum(n) AS nx FROM nxy GROUP BY feature, value),
-ny AS (SELECT feature, DX, sum(n) AS ny FROM nxy GROUP BY feature, DX),
-nt AS (SELECT feature, sum(n) AS nt FROM nxy GROUP BY feature),
-mi AS (SELECT feature, sum(n / nt * ln(n * nt / (nx * ny))) AS mi
-    FROM nxy JOIN nx USING (feature, value) JOIN ny USING (feature, DX) JOIN nt USING (feature) GROUP BY feature)"""
+nx{x} AS (SELECT feature, value, sum(n) AS nx FROM nxy{x} GROUP BY feature, value),
+ny{x} AS (SELECT feature, DX, sum(n) AS ny FROM nxy{x} GROUP BY feature, DX),
+nt{x} AS (SELECT feature, sum(n) AS nt FROM nxy{x} GROUP BY feature),
+mi{x} AS (SELECT feature, sum(n / nt * ln(n * nt / (nx * ny))) AS mi
+    FROM nxy{x} JOIN nx{x} USING (feature, value) JOIN ny{x} USING (feature, DX) JOIN nt{x} USING (feature) GROUP BY feature)"""
 
 
-def anova_ctes(long_cte: str) -> str:
-    return f"""g AS (SELECT feature, DX, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS m2 FROM {long_cte}
+def anova_ctes(long_cte: str, sfx: str = "") -> str:
+    x = sfx
+    return f"""g{x} AS (SELECT feature, DX, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS m2 FROM {long_cte}
     WHERE value IS NOT NULL AND DX IS NOT NULL GROUP BY feature, DX),
-gt AS (SELECT feature, sum(n) AS nn, count(*) AS k, sum(n * mean) / sum(n) AS grand FROM g GROUP BY feature),
-fs AS (SELECT feature, sum(n * (mean - grand) * (mean - grand)) AS ssb, sum(m2) AS ssw, any_value(nn) AS nn, any_value(k) AS k
-    FROM g JOIN gt USING (feature) GROUP BY feature),
-fa AS (SELECT feature, CASE WHEN ssw = 0 OR k < 2 THEN NULL ELSE (ssb / (k - 1)) / (ssw / (nn - k)) END AS score FROM fs)"""
+gt{x} AS (SELECT feature, sum(n) AS nn, count(*) AS k, sum(n * mean) / sum(n) AS grand FROM g{x} GROUP BY feature),
+fs{x} AS (SELECT feature, sum(n * (mean - grand) * (mean - grand)) AS ssb, sum(m2) AS ssw, any_value(nn) AS nn, any_value(k) AS k
+    FROM g{x} JOIN gt{x} USING (feature) GROUP BY feature),
+fa{x} AS (SELECT feature, CASE WHEN ssw = 0 OR k < 2 THEN NULL ELSE (ssb / (k - 1)) / (ssw / (nn - k)) END AS score FROM fs{x})"""
 
 
 LINE_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -318,14 +320,9 @@ SELECT lg.row_id, top.rank, lg.feature, {r6('lg.value')} AS value, lg.DX FROM lg
         grid_parts.append(f"SELECT '{v}' AS dataset, 'univariate' AS selector, feature, {pos_case(cols)} AS position, score FROM fa_{v}")
     per_view = []
     for v in ("buyer", "basket"):
-        cols = VIEW_COLS[v]
-        per_view.append(f"lg_{v} AS ({long_sql('cw', cols)})")
-        per_view.append(mi_ctes(f"lg_{v}").replace("nxy", f"nxy_{v}").replace("nx ", f"nx_{v} ").replace(" nx)", f" nx_{v})")
-                        .replace("JOIN nx ", f"JOIN nx_{v} ").replace("ny AS", f"ny_{v} AS").replace("JOIN ny ", f"JOIN ny_{v} ")
-                        .replace("nt AS", f"nt_{v} AS").replace("JOIN nt ", f"JOIN nt_{v} ").replace("mi AS (", f"mi_{v} AS ("))
-        per_view.append(anova_ctes(f"lg_{v}").replace("g AS (", f"g_{v} AS (", 1).replace("FROM g ", f"FROM g_{v} ")
-                        .replace("gt AS", f"gt_{v} AS").replace("JOIN gt ", f"JOIN gt_{v} ").replace("fs AS", f"fs_{v} AS")
-                        .replace("FROM fs", f"FROM fs_{v}").replace("fa AS", f"fa_{v} AS"))
+        per_view.append(f"lg_{v} AS ({long_sql('cw', VIEW_COLS[v])})")
+        per_view.append(mi_ctes(f"lg_{v}", f"_{v}"))
+        per_view.append(anova_ctes(f"lg_{v}", f"_{v}"))
     S["ranking_grid"] = f"""WITH {CLEAN_W}, {', '.join(per_view)},
 sc AS ({' UNION ALL '.join(grid_parts)}),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY dataset, selector ORDER BY score DESC NULLS LAST, position) AS INTEGER) AS rank FROM sc),
@@ -427,6 +424,13 @@ FROM v JOIN qq USING (config, metric) GROUP BY config, metric, q1, median, q3"""
     S["metric_scatter"] = f"""WITH {WIDE},\n{metric_runs_sql((1,))},
 av AS (SELECT config, avg(CASE WHEN metric = 'accuracy' THEN value END) AS accuracy, avg(CASE WHEN metric = 'auc' THEN value END) AS auc FROM runs GROUP BY config)
 SELECT CAST(row_number() OVER (ORDER BY config) - 1 AS INTEGER) AS config_index, config, {r6('accuracy')} AS accuracy, {r6('auc')} AS auc FROM av"""
+    S["feature_rank_report"] = f"""WITH {CLEAN_W}, {', '.join(per_view)}
+SELECT 'ORDERS_NB_IG' AS config, 0 AS slot, 'buyer' AS dataset, 'ig' AS method, rank, feature, {r6('mi')} AS score FROM (
+  SELECT feature, mi, CAST(row_number() OVER (ORDER BY mi DESC, {pos_case(VIEW_COLS['buyer'])}) AS INTEGER) AS rank FROM mi_buyer) WHERE rank <= 3
+UNION ALL
+SELECT 'ORDERS_NB_IG', 1, 'basket', 'univariate', rank, feature, {r6('score')} FROM (
+  SELECT feature, score, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, {pos_case(VIEW_COLS['basket'])} DESC) AS INTEGER) AS rank
+  FROM fa_basket) WHERE rank <= 2"""
     S["order_ig_top3"] = f"""WITH {CLEAN_W}, lg AS ({long_sql('cw', VIEW_COLS['buyer'])}),\n{mi_ctes('lg')}
 SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY mi DESC, {pos_case(VIEW_COLS['buyer'])}) AS INTEGER) AS rank, feature, {r6('mi')} AS score FROM mi) WHERE rank <= 3"""
     return S

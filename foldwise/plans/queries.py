@@ -449,7 +449,7 @@ def q_feature_rank_report(spark, sf):
     from foldwise.plans.experiment import load_configs, select_slots
     cfg = load_configs()["ORDERS_NB_IG"]
     views = cleaned_views(spark, sf)
-    _, report = select_slots(cfg, views, seed=1)
+    _, report = select_slots(cfg, views, seed=1, name="ORDERS_NB_IG")
     return finish(report)
 
 
