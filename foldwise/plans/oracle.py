@@ -166,8 +166,10 @@ def fold_metric_ctes(pred: str, n_classes: int = 5, extra: str = "") -> str:
 {pred}_r AS (SELECT {ex}fold, actual AS class, sum(n) AS row_n, sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp FROM {pred}_cm GROUP BY {ex}fold, actual),
 {pred}_c AS (SELECT {ex}fold, predicted AS class, sum(n) AS col_n FROM {pred}_cm GROUP BY {ex}fold, predicted),
 {pred}_t AS (SELECT {ex}fold, sum(n) AS total FROM {pred}_cm GROUP BY {ex}fold),
-{pred}_rates AS (SELECT {ex}fold, class, tp, row_n - tp AS fn, col_n - tp AS fp, total - row_n - col_n + tp AS tn
-    FROM {pred}_r JOIN {pred}_c USING ({ex}fold, class) JOIN {pred}_t USING ({ex}fold)),
+{pred}_labs AS (SELECT DISTINCT {ex}fold, actual AS class FROM {pred}_cm UNION SELECT DISTINCT {ex}fold, predicted FROM {pred}_cm),
+{pred}_rates AS (SELECT {ex}fold, class, coalesce(tp, 0) AS tp, coalesce(row_n, 0) - coalesce(tp, 0) AS fn,
+    coalesce(col_n, 0) - coalesce(tp, 0) AS fp, total - coalesce(row_n, 0) - coalesce(col_n, 0) + coalesce(tp, 0) AS tn
+    FROM {pred}_labs LEFT JOIN {pred}_r USING ({ex}fold, class) LEFT JOIN {pred}_c USING ({ex}fold, class) JOIN {pred}_t USING ({ex}fold)),
 {pred}_m AS (
   SELECT {ex}fold, 'accuracy' AS metric, -1 AS class, acc AS value FROM {pred}_acc
   UNION ALL SELECT {ex}fold, 'auc', -1, (1 + acc - (1 - acc) / {n_classes - 1}.0) / 2 FROM {pred}_acc
@@ -431,6 +433,26 @@ UNION ALL
 SELECT 'ORDERS_NB_IG', 1, 'basket', 'univariate', rank, feature, {r6('score')} FROM (
   SELECT feature, score, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, {pos_case(VIEW_COLS['basket'])} DESC) AS INTEGER) AS rank
   FROM fa_basket) WHERE rank <= 2"""
+    S["train_slots"] = f"""WITH {EMB_SPLIT},
+nn AS (SELECT a.row_id, b.DX AS c, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.v[1:32], b.v[1:32]), b.row_id) AS rk
+  FROM ete a, etr b),
+knn AS (SELECT row_id, c, count(*) / 2.0 AS p FROM nn WHERE rk <= 2 GROUP BY row_id, c),
+trl AS (SELECT row_id, DX, i, v[i] AS x FROM etr, range(33, 65) r(i)),
+tel AS (SELECT row_id, i, v[i] AS x FROM ete, range(33, 65) r(i)),
+cs0 AS (SELECT DX AS c, i, count(*) AS n, avg(x) AS mu, var_pop(x) AS vp FROM trl GROUP BY DX, i),
+eps AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT i, var_pop(x) AS v FROM trl GROUP BY i)),
+pri AS (SELECT DX AS c, count(*) / (SELECT count(*) FROM etr) AS prior FROM etr GROUP BY DX),
+jl AS (SELECT t.row_id, cs0.c, sum(-0.5 * ln(2 * pi() * (cs0.vp + eps.eps)) - (t.x - cs0.mu) * (t.x - cs0.mu) / (2 * (cs0.vp + eps.eps))) AS s
+  FROM tel t JOIN cs0 ON cs0.i = t.i, eps GROUP BY t.row_id, cs0.c),
+jt AS (SELECT row_id, c, s + ln(prior) AS j FROM jl JOIN pri USING (c)),
+jm AS (SELECT row_id, max(j) AS m FROM jt GROUP BY row_id),
+js AS (SELECT row_id, sum(exp(j - m)) AS z FROM jt JOIN jm USING (row_id) GROUP BY row_id)
+SELECT row_id, CAST(c AS INTEGER) AS class, {r6('p')} AS p, 0 AS slot FROM knn
+UNION ALL
+SELECT row_id, CAST(c AS INTEGER), {r6('exp(j - m) / z')}, 1 FROM jt JOIN jm USING (row_id) JOIN js USING (row_id)"""
+    S["cross_validate"] = cv_sql()
+    S["repeat_experiments"] = " UNION ALL ".join(
+        f"SELECT config, fold, metric, class, value, {rep} AS repetition FROM ({cv_sql(seed=rep)})" for rep in (1, 2))
     S["order_ig_top3"] = f"""WITH {CLEAN_W}, lg AS ({long_sql('cw', VIEW_COLS['buyer'])}),\n{mi_ctes('lg')}
 SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY mi DESC, {pos_case(VIEW_COLS['buyer'])}) AS INTEGER) AS rank, feature, {r6('mi')} AS score FROM mi) WHERE rank <= 3"""
     return S
@@ -438,3 +460,65 @@ SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY mi DESC, {pos_case(VIEW_C
 
 def oracle_sql() -> dict[str, str]:
     return _sql()
+
+
+def cv_sql(seed: int = 1, k: int = 3, name: str = "EMB_KNN_NB") -> str:
+    """Cross-validation of the two-slot ensemble on the embeddings: slot a = k-NN (k=2) on
+    dims 0-31, slot b = Gaussian NB on dims 32-63; SMOTE per slot before the split; folds on
+    the shared keys; each fold's train and test rows z-scaled with their own statistics."""
+    eps_sd = "2.220446049250313e-15"
+
+    def slot(sfx: str, lo: int, hi: int) -> str:
+        return f"""nn_{sfx} AS (SELECT a.row_id AS left_id, b.row_id AS right_id,
+    row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.v[{lo}:{hi}], b.v[{lo}:{hi}]), b.row_id) AS rk
+    FROM e a JOIN e b ON a.DX = b.DX AND a.row_id <> b.row_id WHERE a.DX IN (SELECT DX FROM need)),
+sy_{sfx} AS (SELECT -(1 + s.j * ci.nclass + ci.cidx) AS row_id, s.DX, r.i, x.v[r.i] + s.u * (y.v[r.i] - x.v[r.i]) AS x
+    FROM syn2 s JOIN nn_{sfx} ON nn_{sfx}.left_id = s.base_id AND nn_{sfx}.rk = s.nn_rank JOIN e x ON x.row_id = s.base_id
+    JOIN e y ON y.row_id = nn_{sfx}.right_id JOIN ci ON ci.DX = s.DX, range({lo}, {hi + 1}) r(i)),
+l_{sfx} AS (SELECT row_id, DX, i, v[i] AS x FROM e, range({lo}, {hi + 1}) r(i) UNION ALL SELECT row_id, DX, i, x FROM sy_{sfx})"""
+
+    def scaled(sfx: str) -> str:
+        return f"""lf_{sfx} AS (SELECT l_{sfx}.*, fo.fold FROM l_{sfx} JOIN fo USING (row_id)),
+st_{sfx} AS (SELECT f.f AS tf, 'train' AS role, i, avg(x) AS m, stddev_pop(x) AS sd FROM lf_{sfx}, range(0, {k}) f(f)
+    WHERE lf_{sfx}.fold <> f.f GROUP BY f.f, i
+    UNION ALL SELECT fold, 'test', i, avg(x), stddev_pop(x) FROM lf_{sfx} GROUP BY fold, i),
+z_{sfx} AS (SELECT st.tf, st.role, l.row_id, l.DX, l.i, (l.x - st.m) / CASE WHEN st.sd < {eps_sd} THEN 1 ELSE st.sd END AS z
+    FROM lf_{sfx} l JOIN st_{sfx} st ON st.i = l.i AND ((st.role = 'train' AND l.fold <> st.tf) OR (st.role = 'test' AND l.fold = st.tf)))"""
+
+    return f"""WITH e AS (SELECT vec_id AS row_id, label AS DX, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cnt AS (SELECT DX, count(*) AS n FROM e GROUP BY DX),
+ci AS (SELECT DX, CAST(dense_rank() OVER (ORDER BY DX) - 1 AS BIGINT) AS cidx, (SELECT count(*) FROM cnt) AS nclass FROM cnt),
+need AS (SELECT DX, n AS nc, (SELECT max(n) FROM cnt) - n AS need FROM cnt WHERE (SELECT max(n) FROM cnt) - n > 0 AND n > 1),
+base AS (SELECT e.row_id, e.DX, nc, need, row_number() OVER (PARTITION BY e.DX ORDER BY {u32(seed, "'base'", 'e.row_id')}, e.row_id) - 1 AS p
+    FROM e JOIN need USING (DX)),
+syn0 AS (SELECT row_id AS base_id, DX, nc, p, unnest(range(0, CAST(greatest(0, ceil((need - p) / nc)) AS BIGINT))) AS t FROM base),
+syn AS (SELECT base_id, DX, nc, p + t * nc AS j FROM syn0),
+syn2 AS (SELECT base_id, DX, j, CAST(floor({uni(seed, "'nn'", 'DX', 'j')} * least(5, nc - 1)) + 1 AS INTEGER) AS nn_rank,
+    {uni(seed, "'step'", 'DX', 'j')} AS u FROM syn),
+{slot("a", 1, 32)},
+{slot("b", 33, 64)},
+keys AS (SELECT DISTINCT row_id, DX FROM l_a),
+fo AS (SELECT row_id, CAST((row_number() OVER (PARTITION BY DX ORDER BY {u32(seed, 'row_id')}, row_id) - 1) % {k} AS INTEGER) AS fold FROM keys),
+{scaled("a")},
+{scaled("b")},
+da AS (SELECT t.tf, t.row_id AS tid, r.row_id AS rid, r.DX AS rc, sqrt(sum((t.z - r.z) * (t.z - r.z))) AS d
+    FROM z_a t JOIN z_a r ON t.tf = r.tf AND t.i = r.i AND t.role = 'test' AND r.role = 'train' GROUP BY t.tf, t.row_id, r.row_id, r.DX),
+ka AS (SELECT tf, tid AS row_id, rc AS c, count(*) / 2.0 AS p FROM (SELECT *, row_number() OVER (PARTITION BY tf, tid ORDER BY d, rid) AS rk FROM da)
+    WHERE rk <= 2 GROUP BY tf, tid, rc),
+trb AS (SELECT * FROM z_b WHERE role = 'train'), teb AS (SELECT * FROM z_b WHERE role = 'test'),
+csb AS (SELECT tf, DX AS c, i, avg(z) AS mu, var_pop(z) AS vp FROM trb GROUP BY tf, DX, i),
+epsb AS (SELECT tf, 1e-9 * max(vv) AS eps FROM (SELECT tf, i, var_pop(z) AS vv FROM trb GROUP BY tf, i) GROUP BY tf),
+nb_n AS (SELECT tf, DX AS c, count(DISTINCT row_id) AS n FROM trb GROUP BY tf, DX),
+prib AS (SELECT tf, c, n / sum(n) OVER (PARTITION BY tf) AS prior FROM nb_n),
+jlb AS (SELECT t.tf, t.row_id, cs.c, sum(-0.5 * ln(2 * pi() * (cs.vp + ep.eps)) - (t.z - cs.mu) * (t.z - cs.mu) / (2 * (cs.vp + ep.eps))) AS s
+    FROM teb t JOIN csb cs ON cs.tf = t.tf AND cs.i = t.i JOIN epsb ep ON ep.tf = t.tf GROUP BY t.tf, t.row_id, cs.c),
+jtb AS (SELECT tf, row_id, c, s + ln(prior) AS j FROM jlb JOIN prib USING (tf, c)),
+jmb AS (SELECT tf, row_id, max(j) AS m FROM jtb GROUP BY tf, row_id),
+jzb AS (SELECT tf, row_id, sum(exp(j - m)) AS zz FROM jtb JOIN jmb USING (tf, row_id) GROUP BY tf, row_id),
+pb AS (SELECT tf, row_id, c, exp(j - m) / zz AS p FROM jtb JOIN jmb USING (tf, row_id) JOIN jzb USING (tf, row_id)),
+vote AS (SELECT tf, row_id, c, sum(p) / 2.0 AS pm FROM (SELECT tf, row_id, c, p FROM ka UNION ALL SELECT tf, row_id, c, p FROM pb) GROUP BY tf, row_id, c),
+pr AS (SELECT v.tf AS fold, v.row_id, keys.DX, CAST(v.c AS INTEGER) AS pred FROM
+    (SELECT *, row_number() OVER (PARTITION BY tf, row_id ORDER BY pm DESC, c) AS r FROM vote) v JOIN keys USING (row_id) WHERE r = 1),
+{fold_metric_ctes('pr', 10)}
+SELECT '{name}' AS config, fold, metric, CAST(class AS INTEGER) AS class, {r6('value')} AS value FROM pr_m
+UNION ALL SELECT '{name}', -1, metric, CAST(class AS INTEGER), {r6('avg(value)')} FROM pr_m GROUP BY metric, class"""

@@ -578,7 +578,7 @@ def q_train_slots(spark, sf):
     train, test = e.where("fold != 0"), e.where("fold = 0")
     a = slot_scores("knn_1", train, test, EMB64[:32], 10, {})
     b = slot_scores("nb_1", train, test, EMB64[32:], 10, {})
-    return a.withColumn("slot", F.lit(0)).unionByName(b.withColumn("slot", F.lit(1)))
+    return finish(a.withColumn("slot", F.lit(0)).unionByName(b.withColumn("slot", F.lit(1))))
 
 
 # 2.6 / 2.7 / 2.11 ensemble and metrics --------------------------------------------------------
@@ -661,8 +661,9 @@ def q_order_ig_top3(spark, sf):
 def q_cross_validate(spark, sf):
     from foldwise.plans.experiment import load_configs, run_experiment
     cfg = load_configs()["EMB_KNN_NB"]
-    return run_experiment("EMB_KNN_NB", cfg, {"emb_a": tb.embeddings_wide(spark, sf, 32, 0),
-                                              "emb_b": tb.embeddings_wide(spark, sf, 32, 32)}, seed=1)[0]
+    m = run_experiment("EMB_KNN_NB", cfg, {"emb_a": tb.embeddings_wide(spark, sf, 32, 0),
+                                           "emb_b": tb.embeddings_wide(spark, sf, 32, 32)}, seed=1)[0]
+    return finish(m)
 
 
 @query("experiment_run")
@@ -678,4 +679,4 @@ def q_repeat_experiments(spark, sf):
     from foldwise.plans.experiment import load_configs, repeat
     cfgs = {"EMB_KNN_NB": load_configs()["EMB_KNN_NB"]}
     data = {"emb_a": tb.embeddings_wide(spark, sf, 32, 0), "emb_b": tb.embeddings_wide(spark, sf, 32, 32)}
-    return repeat(cfgs, data, seeds=(1, 2))
+    return finish(repeat(cfgs, data, seeds=(1, 2)))
