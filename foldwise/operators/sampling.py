@@ -25,7 +25,7 @@ def _default_buckets(df: DataFrame) -> int:
 
 
 def rank_in_buckets(df: DataFrame, part_cols: list[str], bucket_col: str, order_cols: list[str],
-                    out: str = "rank0") -> DataFrame:
+                    out: str = "rank0", max_offset_rows: int | None = None) -> DataFrame:
     """0-based rank inside ``part_cols`` by ``order_cols``, given a ``bucket_col`` that is
     monotone in the ordering. Windows only ever see one (partition, bucket)."""
     w = Window.partitionBy(*part_cols, bucket_col).orderBy(*order_cols)
@@ -33,18 +33,25 @@ def rank_in_buckets(df: DataFrame, part_cols: list[str], bucket_col: str, order_
     counts = df.groupBy(*part_cols, bucket_col).agg(F.count(F.lit(1)).alias("__c"))
     wo = Window.partitionBy(*part_cols).orderBy(bucket_col)  # over the counts table only
     offsets = counts.withColumn("__off", F.sum("__c").over(wo) - F.col("__c")).drop("__c")
-    return (ranked.join(F.broadcast(offsets), [*part_cols, bucket_col], "inner")
+    # the offsets table has one row per (partition value, bucket); broadcast it only when that
+    # product is known to be small, otherwise leave the strategy to AQE
+    if max_offset_rows is not None and max_offset_rows <= MAX_SMALL_TABLE:
+        offsets = F.broadcast(offsets)
+    return (ranked.join(offsets, [*part_cols, bucket_col], "inner")
             .withColumn(out, F.col("__off") + F.col("__rn") - 1).drop("__rn", "__off"))
 
 
 def rank_by_hash(df: DataFrame, part_cols: list[str], seed, key: str = "row_id", salt: str = "",
-                 buckets: int | None = None, out: str = "rank0") -> DataFrame:
-    """0-based rank inside ``part_cols`` in the order of md5(seed|salt|key), ties by key."""
+                 buckets: int | None = None, out: str = "rank0", max_parts: int | None = 10_000) -> DataFrame:
+    """0-based rank inside ``part_cols`` in the order of md5(seed|salt|key), ties by key.
+    ``max_parts``: a known bound on the number of distinct ``part_cols`` values (classes),
+    used to decide whether the (value x bucket) offsets table may be broadcast."""
     buckets = buckets or _default_buckets(df)
     parts = [salt, F.col(key)] if salt else [F.col(key)]
     u = md5_u32(seed, *parts)
     tagged = df.withColumn("__u", u).withColumn("__b", F.floor(F.col("__u") * buckets / F.lit(TWO_32)).cast("int"))
-    return rank_in_buckets(tagged, part_cols, "__b", ["__u", key], out).drop("__u", "__b")
+    bound = buckets * (max_parts if part_cols else 1) if max_parts else None
+    return rank_in_buckets(tagged, part_cols, "__b", ["__u", key], out, bound).drop("__u", "__b")
 
 
 def stratified_folds(df: DataFrame, k: int, seed, label: str = "DX", key: str = "row_id",
@@ -69,7 +76,7 @@ def global_rank(df: DataFrame, order_col: str, buckets: int | None = None, rel_e
     tagged = df.withColumn("__k", F.col(order_col).cast("double"))
     tagged = Bucketizer(splits=splits, inputCol="__k", outputCol="__b", handleInvalid="keep").transform(tagged)
     tagged = tagged.withColumn("__b", F.col("__b").cast("int")).withColumn("__p", F.lit(0))
-    return rank_in_buckets(tagged, ["__p"], "__b", [order_col], out).drop("__k", "__b", "__p")
+    return rank_in_buckets(tagged, ["__p"], "__b", [order_col], out, len(splits)).drop("__k", "__b", "__p")
 
 
 def ordered_holdout(df: DataFrame, test_size: float = 0.33, key: str = "row_id",

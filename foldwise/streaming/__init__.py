@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference pipeline has no streaming source, watermark, window or stateful operator; every
+step is a batch job over whole tables. Nothing here is built, by design (see README).
+"""

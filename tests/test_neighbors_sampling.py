@@ -63,3 +63,11 @@ def test_relieff_ranks_planted_feature_first(spark):
     df = spark.createDataFrame(rows, "row_id long, DX int, good double, noise double")
     w = {r["feature"]: r["score"] for r in relieff(df, ["good", "noise"], k=5, block_rows=16).collect()}
     assert w["good"] > w["noise"]
+
+
+def test_relieff_anchor_subset_still_ranks_planted_first(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, float(i % 2) + rng.normal() * 0.05, float(rng.normal())) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, DX int, good double, noise double")
+    w = {r["feature"]: r["score"] for r in relieff(df, ["good", "noise"], k=5, anchors=30, block_rows=16).collect()}
+    assert w["good"] > w["noise"]
