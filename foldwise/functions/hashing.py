@@ -14,7 +14,7 @@ TWO_32 = 4294967296.0
 
 
 def _key(seed, *parts) -> Column:
-    cols = [F.lit(str(seed))]
+    cols = [seed if isinstance(seed, Column) else F.lit(str(seed))]
     for p in parts:
         cols.append(p if isinstance(p, Column) else F.lit(str(p)))
     return F.concat_ws("|", *[c.cast("string") for c in cols])

@@ -162,13 +162,18 @@ def q_filter_in_list(spark, sf):
 
 
 def _metric_runs(spark, sf, repetitions=(1, 2), levels=(0.5, 0.6, 0.7, 0.8), k=5) -> DataFrame:
-    out = None
-    for rep in repetitions:
-        for lv in levels:
-            p = md5_predictions(spark, sf, seed=rep * 100 + int(lv * 10), p_ok=lv, k=k)
-            m = metrics.fold_metrics(p, 5).withColumn("config", F.lit(f"noise_{lv}")).withColumn("repetition", F.lit(rep))
-            out = m if out is None else out.unionByName(m)
-    return out
+    """Per-fold metrics of several (repetition, noise level) runs in one pipeline: each order
+    row is repeated once per run (the runs are rows, not plan branches), its prediction drawn
+    with the run's seed, and all metrics grouped by run."""
+    runs = [(rep, f"noise_{lv}", rep * 100 + int(lv * 10), lv) for rep in repetitions for lv in levels]
+    arr = F.array(*[F.struct(F.lit(r).alias("repetition"), F.lit(c).alias("config"), F.lit(str(sd)).alias("seed"),
+                             F.lit(lv).alias("p_ok")) for r, c, sd, lv in runs])
+    base = sampling.stratified_folds(order_labels(spark, sf), k, 1)
+    x = base.select("row_id", "DX", "fold", F.explode(arr).alias("run")).select("row_id", "DX", "fold", "run.*")
+    pred = F.when(md5_uniform(F.col("seed"), "ok", F.col("row_id")) < F.col("p_ok"), F.col("DX")).otherwise(
+        F.floor(md5_uniform(F.col("seed"), "guess", F.col("row_id")) * 5).cast("int"))
+    p = x.withColumn("pred", pred.cast("int"))
+    return metrics.fold_metrics(p, 5, ["repetition", "config"])
 
 
 @query("metrics_sink")
