@@ -15,4 +15,4 @@ def to_long(df: DataFrame, features: list[str], key: str = "row_id", label: str
 
 def feature_positions(features: list[str]):
     """Column expression mapping a feature name to its 0-based position in ``features``."""
-    return F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
+    return (F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1).cast("int")

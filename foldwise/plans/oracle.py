@@ -246,7 +246,7 @@ SELECT Feature, Grouping, source, CAST(n_nonnull AS BIGINT) AS n_nonnull FROM ca
         f"SELECT {i} AS slot, '{v}' AS dataset, count(*) AS n_rows, {len(VIEW_COLS[v])} AS n_features FROM cw"
         for i, v in enumerate(["buyer", "basket", "buyer"]))
     S["materialize_datasets"] = f"WITH {CLEAN_W}\n" + "\nUNION ALL\n".join(
-        f"SELECT '{g}' AS dataset, count(*) AS n_rows, sum(row_id) AS key_sum, {len(cols)} AS n_features FROM cw"
+        f"SELECT '{g}' AS dataset, count(*) AS n_rows, CAST(sum(row_id) AS BIGINT) AS key_sum, {len(cols)} AS n_features FROM cw"
         for g, cols in MOD_COLS.items())
 
     # cleansing rules on the customer table
@@ -400,7 +400,7 @@ wt AS (SELECT nb.*, (CASE WHEN ac = bc THEN -1.0 ELSE (cb.n * 1.0 / m) / (1 - ca
                              for i, f in enumerate(f8))
 
     # ensemble / metrics
-    S["one_hot"] = f"""WITH {WIDE} SELECT row_id, CAST(c AS INTEGER) AS class, CASE WHEN DX = c THEN 1.0 ELSE 0.0 END AS y FROM w, range(0, 5) r(c)"""
+    S["one_hot"] = f"""WITH {WIDE} SELECT row_id, CAST(c AS INTEGER) AS class, CAST(CASE WHEN DX = c THEN 1.0 ELSE 0.0 END AS DOUBLE) AS y FROM w, range(0, 5) r(c)"""
     S["label_inverse"] = """SELECT o_orderkey AS row_id, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS idx, o_orderpriority AS label FROM orders"""
     S["soft_vote"] = f"""WITH {WIDE},
 sc AS (SELECT row_id, c, sum(floor({uni(5, 's', 'row_id', 'c')} * 4) / 4.0) / 3.0 AS pm FROM w, range(0, 3) a(s), range(0, 5) b(c) GROUP BY row_id, c)
@@ -520,5 +520,5 @@ vote AS (SELECT tf, row_id, c, sum(p) / 2.0 AS pm FROM (SELECT tf, row_id, c, p
 pr AS (SELECT v.tf AS fold, v.row_id, keys.DX, CAST(v.c AS INTEGER) AS pred FROM
     (SELECT *, row_number() OVER (PARTITION BY tf, row_id ORDER BY pm DESC, c) AS r FROM vote) v JOIN keys USING (row_id) WHERE r = 1),
 {fold_metric_ctes('pr', 10)}
-SELECT '{name}' AS config, fold, metric, CAST(class AS INTEGER) AS class, {r6('value')} AS value FROM pr_m
+SELECT '{name}' AS config, CAST(fold AS INTEGER) AS fold, metric, CAST(class AS INTEGER) AS class, {r6('value')} AS value FROM pr_m
 UNION ALL SELECT '{name}', -1, metric, CAST(class AS INTEGER), {r6('avg(value)')} FROM pr_m GROUP BY metric, class"""
