@@ -444,15 +444,25 @@ def q_select_none(spark, sf):
 
 @query("ranking_grid")
 def q_ranking_grid(spark, sf):
-    views = cleaned_views(spark, sf)
-    scored = None
-    for name in ("buyer", "basket"):
-        feats = ds.features_of(views[name])
-        for method, fn in (("ig", selectors.info_gain), ("univariate", selectors.anova_f)):
-            s = fn(views[name], feats).select(F.lit(name).alias("dataset"), F.lit(method).alias("selector"), "*")
-            scored = s if scored is None else scored.unionByName(s)
-    ranked = selectors.rank_scores(scored, ["dataset", "selector"])
-    grid = spark.createDataFrame([(d, m, n) for d in ("buyer", "basket") for m in ("ig", "univariate") for n in (1, 2, 3)],
+    """Score every feature once per selector, then cut each size of the grid from that
+    ranking. A feature's score does not depend on the view it appears in, so the distinct
+    features of all views are scored together and attached to the views by a (view, feature,
+    position) table — one row per view column, metadata."""
+    wide, parts = cleaned_parts(spark, sf, views=True)
+    grid_views = ("buyer", "basket")
+    exprs = {}
+    for v in grid_views:
+        for f, e in parts[v]:
+            exprs.setdefault(f, e)
+    feats = list(exprs)
+    fw = wide.select("row_id", *[e.alias(f) for f, e in exprs.items()], "DX")
+    scored = (selectors.info_gain(fw, feats).select("feature", F.lit("ig").alias("selector"), "score")
+              .unionByName(selectors.anova_f(fw, feats).select("feature", F.lit("univariate").alias("selector"), "score")))
+    layout = spark.createDataFrame([(v, f, i) for v in grid_views for i, (f, _) in enumerate(parts[v])],
+                                   "dataset string, feature string, position int")
+    per_view = layout.join(scored, "feature")
+    ranked = selectors.rank_scores(per_view, ["dataset", "selector"])
+    grid = spark.createDataFrame([(d, m, n) for d in grid_views for m in ("ig", "univariate") for n in (1, 2, 3)],
                                  "dataset string, selector string, n int")
     return finish(grid.join(ranked, ["dataset", "selector"]).where(F.col("rank") <= F.col("n"))
                   .select("dataset", "selector", "n", "rank", "feature", "score"))
