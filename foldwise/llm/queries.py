@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldwise.session import scratch_path
 
-from . import bpe, exact_dedup, simhash, simple8b, token_counts
+from . import bpe, chat, decontam, exact_dedup, pst, quality, simhash, simple8b, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +34,31 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold=5, held_out=0,
+                                   accept=0.3)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest_conversations(chat.format_turns(turns)).drop("rewrites")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score_documents(table(spark, sf_dir, "documents"), fold=7, held_out=2)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_token_counts, op5_byte_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_token_counts, op5_byte_bpe, op6_quality,
+                                   op7_chat_format, op8_decontamination, op9_suffix_tree_lm, op10_simhash)}
