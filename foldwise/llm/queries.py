@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldwise.session import scratch_path
 
-from . import bpe, chat, decontam, exact_dedup, pst, quality, simhash, simple8b, token_counts
+from . import bpe, chat, decontam, exact_dedup, pst, quality, simhash, simple8b, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"),
                                         public_tokenizers.path("byte_bpe_50k.json"), limit=512)
@@ -60,5 +64,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_token_counts, op5_byte_bpe, op6_quality,
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_suffix_dedup, op4_token_counts, op5_byte_bpe, op6_quality,
                                    op7_chat_format, op8_decontamination, op9_suffix_tree_lm, op10_simhash)}
