@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks, texts_of
-from .pretok import SliceTable
+from .pretok import SliceTable, one_by_one
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -88,7 +88,7 @@ class BytePairCoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.table = SliceTable(lambda new: [merge_slice(s.encode(), ranks) for s in new])
+        self.table = SliceTable(one_by_one(lambda s: merge_slice(s.encode(), ranks)))
         size = max(ranks.values()) + 1
         pieces = [b""] * size
         for piece, i in ranks.items():
@@ -141,11 +141,13 @@ def decode_documents(df: DataFrame, path: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids, digest both.
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+               with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids array<int>): encode,
+    decode the ids, digest both, in one pass over the texts."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    Runs in one pass over the texts; ids and decoded bytes of a chunk never leave the task.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         decimal = [b"%d" % i for i in range(len(c.piece_len))]
@@ -155,9 +157,9 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             spelled = [decimal[i] for i in ids.tolist()]
             rows = [(hashlib.sha256(b",".join(spelled[a:b])).hexdigest(), hashlib.sha256(data[at[a]:at[b]]).hexdigest())
                     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(np.diff(offs)), pa.array([r[0] for r in rows], pa.string()),
-                 pa.array([r[1] for r in rows], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return texts_of(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            cols = [keys, pa.array(np.diff(offs)), pa.array([r[0] for r in rows], pa.string()),
+                    pa.array([r[1] for r in rows], pa.string())]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+    return texts_of(df, id_col, text_col).mapInArrow(run, schema)

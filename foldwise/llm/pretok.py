@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -67,6 +68,9 @@ def _tables():
 
 
 DELTA, STARTS, MAPS, THEN, OF_CLASS = _tables()
+THEN_CLASS = THEN[:, OF_CLASS].astype(np.intp).reshape(-1)  # a map, then a class
+# by state * 9 + class
+NEXT_STATE, IS_START = (t.astype(np.uint8).tobytes().ljust(256, b"\0") for t in (DELTA, STARTS))
 _classes: np.ndarray | None = None
 
 
@@ -115,9 +119,9 @@ def states_before(cls: np.ndarray, height: int = 64) -> np.ndarray:
     grid = np.full(width * height, E, np.uint8)
     grid[:n] = cls
     grid = np.ascontiguousarray(grid.reshape(width, height).T)  # column j: a run of the text
-    total = np.zeros(width, np.uint16)
+    total = np.zeros(width, np.intp)
     for row in grid:
-        total = THEN[total, OF_CLASS[row]]
+        total = THEN_CLASS.take(total * 9 + row)
     step = 1
     while step < width:  # inclusive scan of the column functions
         total = np.concatenate([total[:step], THEN[total[:-step], total[step:]]])
@@ -128,7 +132,7 @@ def states_before(cls: np.ndarray, height: int = 64) -> np.ndarray:
     before = np.empty_like(grid)
     for k, row in enumerate(grid):
         before[k] = state
-        state = DELTA[state, row]
+        state = np.frombuffer((state * 9 + row).tobytes().translate(NEXT_STATE), np.uint8)
     return before.T.reshape(-1)[:n]
 
 
@@ -141,44 +145,72 @@ def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     seps = np.cumsum(lens + 1) - 1
     cls = classify(cp, seps)
-    at = np.flatnonzero(STARTS[states_before(cls), cls])
+    marks = (states_before(cls) * 9 + cls).tobytes().translate(IS_START)
+    at = np.flatnonzero(np.frombuffer(marks, bool))
     real = cls[at] != E
     begins, ends = at[real], np.append(at[1:], len(cp))[real]
     first = np.searchsorted(begins, np.concatenate([[0], seps + 1]))
     return [joined[a:b] for a, b in zip(begins.tolist(), ends.tolist())], first
 
 
+class _Rows(dict):
+    """Slice -> row number; an unknown slice gets the next one and is noted in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, s: str) -> int:
+        row = self[s] = len(self)
+        self.new.append(s)
+        return row
+
+
+def one_by_one(encode):
+    """encode_many of a function that encodes one slice to a list of ids."""
+    def many(slices):
+        found = [encode(s) for s in slices]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+    return many
+
+
 class SliceTable:
-    """Ids of text slices, each distinct slice encoded once; at most `limit` slices are held."""
+    """Ids of text slices, each distinct slice encoded once; emptied when it holds `limit` slices."""
 
-    def __init__(self, encode_many, limit: int = 1_000_000):
+    def __init__(self, encode_many, limit: int = 400_000):
+        """encode_many: slices -> (ids of all in a row, ids per slice)."""
         self.encode_many, self.limit = encode_many, limit
         self._clear()
 
     def _clear(self):
-        self.rows: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.rows = _Rows()
+        self.used = 0
+        self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
     def _add(self, new: list[str]):
-        found = self.encode_many(new)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(counts.sum()))
-        base = len(self.rows)
-        self.rows.update(zip(new, range(base, base + len(new))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, flat])
+        flat, counts = self.encode_many(new)
+        n, base = len(self.rows), len(self.rows) - len(new)
+        self.starts, self.counts = self._room(self.starts, n), self._room(self.counts, n)
+        self.flat = self._room(self.flat, self.used + len(flat))
+        self.starts[base:n] = self.used + np.cumsum(counts) - counts
+        self.counts[base:n] = counts
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def row_numbers(self, slices: list[str]) -> np.ndarray:
-        new = list(set(slices).difference(self.rows))
-        if new and len(self.rows) + len(new) > self.limit:
+        if len(self.rows) >= self.limit:
             self._clear()
-            new = list(set(slices))
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.rows.__getitem__, slices), np.int64, len(slices))
+        rows = np.fromiter(map(self.rows.__getitem__, slices), np.int64, len(slices))
+        if self.rows.new:
+            self._add(self.rows.new)
+            self.rows.new = []
+        return rows
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids of all texts, and the offset of each text in them (one more at the end)."""
@@ -190,6 +222,14 @@ class SliceTable:
         return self.flat[at], ends[first]
 
 
+def byte_of_char() -> dict[str, int]:
+    """Inverse of the byte-level alphabet: printable bytes stand for themselves, the others
+    follow from code point 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def with_special(texts: list[str], special: dict[str, int], encode) -> tuple[np.ndarray, np.ndarray]:
     """`encode` for texts that may hold special strings: these become single ids, the parts
     between them are encoded alone, as a tokenizer with added tokens does."""

@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, texts_of, written
-from .pretok import SliceTable, with_special
+from .pretok import SliceTable, byte_of_char, with_special
 
 MAGIC = b"S8B1"
 HEAD = struct.Struct("<4s5I")
@@ -44,6 +45,7 @@ BLOCK_IDS, FILE_BLOCKS = 1 << 17, 256
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
              (2, 30), (1, 60)]
 ESCAPE = 15
+BIT_LENGTH = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 NO_ID = -(1 << 63)
 
 
@@ -55,9 +57,12 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if int(ids.max()) >> 60:
         raise ValueError("an id has more than 60 bits")
-    bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # bit length; rounding up past 2**53 is corrected below
-    wide = ids >= np.uint64(1 << 53)
-    bits[wide] = [int(x).bit_length() for x in ids[wide]]
+    bits = BIT_LENGTH[ids & np.uint64(0xFFFF)]
+    for shift in (16, 32, 48):
+        high = ids >> np.uint64(shift)
+        if not high.any():
+            break
+        bits = np.where(high > 0, shift + BIT_LENGTH[high & np.uint64(0xFFFF)], bits).astype(np.uint8)
     most = {1: bits}  # most[c][i]: widest of ids i .. i + c - 1; the end is padded with zeros
     c = 1
     while c < 60:
@@ -69,14 +74,15 @@ def pack(ids: np.ndarray) -> np.ndarray:
         count, width = SELECTORS[k]
         p = 1 << (count.bit_length() - 1)
         w = most[p]
+        if not (w <= width).any():
+            continue
         if count > p:
             w = np.maximum(w, np.concatenate([w[count - p:], np.zeros(min(count - p, n), np.uint8)])[:n])
         choice[w <= width] = k
-    jump = np.array([c for c, _ in SELECTORS] + [1, 1])[choice]
-    follow, at, i = (np.arange(n) + jump).tolist(), [], 0
+    jump, at, i = np.array([c for c, _ in SELECTORS] + [1, 1], np.uint8)[choice].tobytes(), [], 0
     while i < n:
         at.append(i)
-        i = follow[i]
+        i += jump[i]
     at = np.array(at)
     chosen = choice[at]
     words = np.zeros(len(at), np.uint64)
@@ -149,11 +155,17 @@ class LibraryEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        if self.tok.normalizer is not None or type(self.tok.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError("slices need a byte-level tokenizer without a normalizer")
+        self.model, self.spelling = self.tok.model, {b: c for c, b in byte_of_char().items()}
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.table = SliceTable(self._encode)
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's model on each slice, spelled in its byte-level alphabet."""
+        found = [[t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.spelling))] for s in slices]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return with_special(texts, self.special, self.table.encode)
@@ -177,7 +189,7 @@ def write_ids(df: DataFrame, path: str, out: str, end_id: int | None = 2, id_col
                          np.concatenate([[0], np.cumsum(sizes)]))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["block"])
-        for keys, texts in chunks(batches, BLOCK_IDS * 2):
+        for keys, texts in chunks(batches, 1 << 20):
             ids, offs = enc(texts)
             sizes = np.diff(offs)
             if end_id is not None:

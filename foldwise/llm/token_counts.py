@@ -21,19 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import chunks, texts_of
-from .pretok import SliceTable, split, with_special
+from .pretok import SliceTable, byte_of_char, one_by_one, split, with_special
 
 _LAST = 1 << 60
 
 
-def _byte_of_char() -> dict[str, int]:
-    """Inverse of the byte-level alphabet: printable bytes stand for themselves, the others
-    follow from code point 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Counts of tokens at every prefix, for a byte-level BPE tokenizer file (.json)."""
 
@@ -42,7 +34,7 @@ class PrefixCounter:
             spec = json.load(f)
         if spec.get("normalizer") or spec["pre_tokenizer"].get("type") != "ByteLevel" or spec["model"]["type"] != "BPE":
             raise ValueError("prefix counts need a byte-level BPE tokenizer without a normalizer")
-        byte = _byte_of_char()
+        byte = byte_of_char()
 
         def raw(s: str) -> bytes:
             return bytes(byte[c] for c in s)
@@ -60,7 +52,7 @@ class PrefixCounter:
         self.right = {i: self._spine(i, parts, 1) for i in self.ids.values()}
         self.left = {i: self._spine(i, parts, 0) for i in self.ids.values()}
         self._ok: dict[int, bool] = {}
-        self.table = SliceTable(lambda new: [self.counts_of(s.encode()) for s in new], limit=800_000)
+        self.table = SliceTable(one_by_one(lambda s: self.counts_of(s.encode())))
 
     @staticmethod
     def _spine(i: int, parts, side: int) -> list[tuple[int, int]]:
