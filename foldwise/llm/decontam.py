@@ -124,4 +124,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int = NEED) -> DataFrame:
     """The rows of documents without a leak, with their own columns."""
     bad = leaks(docs, benchmark, window, need).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__leaked"]), "left_anti")

@@ -226,4 +226,4 @@ def keep_first(df: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "
     doc_id are one document). Rows with a null doc_id stay only where no other row is near."""
     found = near_duplicates(df, shingle, radius, id_col, text_col)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return df.join(stay, df[id_col].cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    return df.join(stay, df[id_col].cast("long").eqNullSafe(stay["__stay"]), "left_semi")
