@@ -1,8 +1,9 @@
 """Exact deduplication by content sort (operator 2), DataFrame functions only.
 
-Rows are range-partitioned by their normalised text with splitters that Spark samples, each
-partition is sorted (on disk where memory is short), and equal texts become neighbours; the
-window that follows compares neighbouring texts in full and needs no further exchange.
+Rows are range-partitioned by the first characters of their normalised text and a hash of it,
+with splitters that Spark samples; each partition is sorted down to the whole text (on disk
+where memory is short), so equal texts become neighbours, and the window that follows compares
+neighbouring texts in full. It needs no further exchange.
 
 A text with more copies than half a partition's fair share of rows is hot. Its rows get a
 salt, so that the splitters deal them over several partitions; the parts of a hot text are
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width, written
 
-_ROW, _TEXT, _ID, _SALT = "__row", "__text", "__id", "__salt"
+_ROW, _TEXT, _ID, _SALT, _HEAD = "__row", "__text", "__id", "__salt", "__head"
+#: Characters of a text that its splitters see; texts that agree in them are dealt by a hash.
+HEAD_CHARS = 32
 
 
 def _hot_texts(rows: DataFrame, parts: int) -> DataFrame:
@@ -47,12 +50,15 @@ def _decide(df: DataFrame, id_col: str, text_col: str, normalise, keep: str, who
     salt = F.coalesce(F.pmod(F.xxhash64(_ID), F.col("__salts")), F.lit(0)).cast("int")
     rows = (rows.join(hot, F.xxhash64(_TEXT) == F.col("__h"), "left")
             .withColumn(_SALT, salt).withColumn("__hot", F.col("__h").isNotNull()).drop("__h", "__salts"))
-    rows = rows.repartitionByRange(_TEXT, _SALT)
+    # short keys: splitters are drawn from samples that the driver holds
+    rows = rows.withColumn(_HEAD, F.substring(F.col(_TEXT), 1, HEAD_CHARS)).withColumn("__hash", F.xxhash64(_TEXT))
+    rows = rows.repartitionByRange(_HEAD, "__hash", _SALT)
     first = F.col(_ID).desc_nulls_last() if keep == "largest" else F.col(_ID).asc_nulls_last()
-    same = Window.partitionBy(_TEXT, _SALT).orderBy(first)
+    same = Window.partitionBy(_HEAD, "__hash", _SALT, _TEXT).orderBy(first)
     every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = (rows.withColumn("__nth", F.row_number().over(same)).withColumn("__keep", F.first(_ID).over(every))
-            .withColumn("__size", F.count(F.lit(1)).over(every)).withColumn("__sha", F.sha2(_TEXT, 256)))
+            .withColumn("__size", F.count(F.lit(1)).over(every)).withColumn("__sha", F.sha2(_TEXT, 256))
+            .drop(_HEAD, "__hash"))
     if not (whole_rows and normalise is None):
         rows = rows.drop(_TEXT)
     rows = written(rows, "copies")
