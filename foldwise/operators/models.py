@@ -2,78 +2,108 @@
 
 Closed-form slots (Gaussian naive Bayes, k-NN vote shares) are aggregates and joins and can
 be checked exactly. Iterative slots wrap ``pyspark.ml`` estimators: random forest
-importances, one-vs-rest gradient-boosted trees, a multilayer perceptron, and an RBF-kernel
-SVM approximated by random Fourier features (Rahimi & Recht 2007) + linear SVMs with a
-multinomial logistic calibration of their margins.
+importances, one-vs-rest gradient-boosted trees, and an RBF-kernel SVM approximated by random
+Fourier features (Rahimi & Recht 2007) + linear SVMs with a multinomial logistic calibration
+of their margins; and a feed-forward net trained by summed mini-batch gradients.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+                                       OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.neighbors import knn_join
-from foldwise.operators.scaling import moments
-
-
-def _long_scores(df: DataFrame, key: str, per_class: list[tuple[int, Column]]) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(c).alias("class"), p.alias("p")) for c, p in per_class])
-    return df.select(key, F.explode(arr).alias("s")).select(key, "s.class", "s.p")
+from foldwise.operators.network import network_scores, network_shape, train_network
+from foldwise.operators.nulls import complete_features
+from foldwise.operators.scaling import merge_moments, moments, scaled_moments
 
 
 # -- Gaussian naive Bayes -------------------------------------------------------------------
 def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "DX",
-                    var_smoothing: float = 1e-9) -> dict:
+                    var_smoothing: float = 1e-9, nulls: str = "error") -> dict:
     """Per-class priors, means and variances (+ var_smoothing x largest feature variance).
-    One grouped aggregate plus one global aggregate; C x F numbers reach the driver."""
-    from foldwise.operators.scaling import merge_moments
-    per = {k: v for k, v in moments(train, features, [label]).items() if k[0] is not None}
+    One grouped aggregate; C x F numbers reach the driver. Rows without a label are not
+    training rows."""
+    train = complete_features(train.where(F.col(label).isNotNull()), features, "naive Bayes, training rows", nulls)
+    per = moments(train, features, [label])  # features are complete, so every count is the class size
+    return gaussian_nb_model({c: m for (c,), m in per.items()}, features, var_smoothing)
+
+
+def gaussian_nb_model(per: dict, features: list[str], var_smoothing: float = 1e-9) -> dict:
+    """{class: (prior, {feature: (mean, variance)})} from {class: {feature: (n, mean, m2)}}."""
     tot = {f: merge_moments([m[f] for m in per.values()]) for f in features}
     eps = var_smoothing * max((q / n if n else 0.0) for n, _, q in tot.values())
-    n_all = sum(next(iter(m.values()))[0] for m in per.values())
-    model = {}
-    for (c,), m in sorted(per.items(), key=lambda kv: kv[0]):
-        if c is None:
-            continue
-        n_c = next(iter(m.values()))[0]
-        model[c] = (n_c / n_all, {f: (m[f][1], (m[f][2] / m[f][0] if m[f][0] else 0.0) + eps) for f in features})
-    return model
+    sizes = {c: max(n for n, _, _ in m.values()) for c, m in per.items()}
+    n_all = sum(sizes.values())
+    return {c: (sizes[c] / n_all, {f: (m[f][1], (m[f][2] / m[f][0] if m[f][0] else 0.0) + eps) for f in features})
+            for c, m in sorted(per.items())}
+
+
+class _NaiveBayes:
+    """Vectorised joint log-likelihoods of a model."""
+
+    def __init__(self, model: dict, features: list[str]):
+        self.classes = np.array(sorted(model), dtype=np.int32)
+        self.mu = np.array([[model[c][1][f][0] for f in features] for c in self.classes])
+        var = np.array([[model[c][1][f][1] for f in features] for c in self.classes])
+        self.const = np.log([model[c][0] for c in self.classes]) - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
+        self.inv = 1.0 / (2 * var)
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        jll = self.const[None, :] - (((x[:, None, :] - self.mu[None, :, :]) ** 2) * self.inv[None, :, :]).sum(axis=2)
+        p = np.exp(jll - jll.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def rows(self, ids: np.ndarray, x: np.ndarray, key: str) -> pd.DataFrame:
+        return pd.DataFrame({key: np.repeat(ids.astype(np.int64), len(self.classes)),
+                             "class": np.tile(self.classes, len(ids)), "p": self.probabilities(x).reshape(-1)})
+
+
+def gaussian_nb_fold_scores(df: DataFrame, features: list[str], per: dict, params: dict, key: str = "row_id") -> DataFrame:
+    """Scores of all tested folds (the keys of ``params``) in one pass: each fold's model
+    comes from the other folds' moments, in that fold's scaled space."""
+    models, shift, scale = {}, {}, {}
+    for i, p in params.items():
+        classes = sorted({c for j, by_class in per.items() if j != i for c in by_class})
+        train = {c: {f: merge_moments([by[c][f] for j, by in per.items() if j != i and c in by]) for f in features} for c in classes}
+        models[i] = _NaiveBayes(gaussian_nb_model({c: scaled_moments(m, p["train"]) for c, m in train.items()}, features), features)
+        shift[i] = np.array([p["test"][f][0] for f in features])
+        scale[i] = np.array([p["test"][f][1] for f in features])
+
+    def score(batches):
+        for pdf in batches:
+            for i, rows in pdf.groupby("fold"):
+                x = (rows[features].to_numpy(dtype=np.float64) - shift[i]) / scale[i]
+                yield models[i].rows(rows[key].to_numpy(), x, key)
+    df = df.where(F.col("fold").isin(list(params)))
+    sel = df.select(F.col(key).cast("long").alias(key), F.col("fold").cast("int").alias("fold"),
+                    *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    return sel.mapInPandas(score, f"{key} long, class int, p double")
 
 
-def gaussian_nb_scores(test: DataFrame, features: list[str], model: dict, key: str = "row_id") -> DataFrame:
+def gaussian_nb_scores(test: DataFrame, features: list[str], model: dict, key: str = "row_id",
+                       nulls: str = "error") -> DataFrame:
     """Class probabilities from the joint log-likelihood
     log prior_c - 0.5 sum_f log(2 pi var_cf) - sum_f (x_f - mu_cf)^2 / (2 var_cf).
 
     Scoring is a vectorised matrix expression per Arrow batch (the C x F model travels with
     the task); rows stay in their partitions and no shuffle is involved.
     """
-    cls = sorted(model)
-    mu = np.array([[model[c][1][f][0] for f in features] for c in cls])
-    var = np.array([[model[c][1][f][1] for f in features] for c in cls])
-    const = np.array([math.log(model[c][0]) for c in cls]) - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
-    inv = 1.0 / (2 * var)
-    cls_arr = np.array(cls, dtype=np.int64)
+    nb = _NaiveBayes(model, features)
 
     def score(batches):
         for pdf in batches:
-            X = pdf[features].to_numpy(dtype=np.float64)
-            jll = const[None, :] - (((X[:, None, :] - mu[None, :, :]) ** 2) * inv[None, :, :]).sum(axis=2)
-            m = jll.max(axis=1, keepdims=True)
-            p = np.exp(jll - m)
-            p /= p.sum(axis=1, keepdims=True)
-            n = len(pdf)
-            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(dtype=np.int64), len(cls)),
-                                "class": np.tile(cls_arr, n).astype(np.int32), "p": p.reshape(-1)})
-
+            yield nb.rows(pdf[key].to_numpy(), pdf[features].to_numpy(dtype=np.float64), key)
+    test = complete_features(test, features, "naive Bayes, scored rows", nulls)
     sel = test.select(F.col(key).cast("long").alias(key), *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
     return sel.mapInPandas(score, f"{key} long, class int, p double")
 
@@ -88,22 +118,41 @@ def knn_scores(train: DataFrame, test: DataFrame, features: list[str], k: int =
                key: str = "row_id", block_rows: int = 20000, train_rows: int | None = None,
                test_rows: int | None = None) -> DataFrame:
     """Uniform vote share of each class among the k nearest training rows."""
-    nn = knn_join(test, train, features, k, key=key, block_rows=block_rows, left_rows=test_rows,
-                  right_rows=train_rows)
+    nn = knn_join(test, train, features, k, key=key, block_rows=block_rows, right_rows=train_rows)
     lab = train.select(F.col(key).alias("right_id"), F.col(label).alias("class"))
     return (nn.join(lab, "right_id").groupBy(F.col("left_id").alias(key), "class")
             .agg((F.count(F.lit(1)) / F.lit(float(k))).alias("p")))
 
 
+def knn_fold_scores(df: DataFrame, features: list[str], params: dict, k: int = 2, label: str = "DX",
+                    key: str = "row_id") -> DataFrame:
+    """Vote shares of all tested folds by one join whose key holds the fold: a row is a test
+    row of its own fold and a training row of every other, scaled for each."""
+    from foldwise.operators.scaling import apply_scale
+
+    def side(rows_of, which):
+        return reduce(DataFrame.unionByName, [
+            apply_scale(df.where(rows_of(i)), features, p[which]).withColumn("__fold", F.lit(i)) for i, p in params.items()])
+    test = side(lambda i: F.col("fold") == i, "test")
+    train = side(lambda i: F.col("fold") != i, "train")
+    nn = knn_join(test, train, features, k, key=key, by=["__fold"])
+    lab = df.select(F.col(key).alias("right_id"), F.col(label).alias("class"))
+    return (nn.join(lab, "right_id").groupBy(F.col("left_id").alias(key), "class")
+            .agg((F.count(F.lit(1)) / F.lit(float(k))).alias("p")))
+
+
 # -- pyspark.ml slots -------------------------------------------------------------------------
 def _assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="skip").transform(df)
+    """Vectors of complete rows; a NULL feature is an error, in training and in scoring."""
+    df = complete_features(df, features, "classifier slot")
+    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(df)
 
 
 def rf_importance(df: DataFrame, features: list[str], label: str = "DX", seed: int = 1,
-                  num_trees: int = 38, max_depth: int = 10) -> DataFrame:
+                  num_trees: int = 38, max_depth: int = 30) -> DataFrame:
     """Impurity importances of a forest grown on all rows without bootstrap, sqrt(F)
-    candidate features per split: (feature, position, score)."""
+    candidate features per split: (feature, position, score). ``max_depth``: the library's
+    own limit by default."""
     data = _assemble(df.where(F.col(label).isNotNull()), features).select(
         "features", F.col(label).cast("double").alias("label")).persist()
     model = RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy="sqrt", bootstrap=False,
@@ -114,17 +163,8 @@ def rf_importance(df: DataFrame, features: list[str], label: str = "DX", seed: i
     return df.sparkSession.createDataFrame(rows, "feature string, position int, score double")
 
 
-def _vector_scores(pred: DataFrame, key: str, col: str, transform=None) -> DataFrame:
-    arr = vector_to_array(F.col(col))
-    out = pred.select(key, F.posexplode(arr).alias("class", "p"))
-    if transform is not None:
-        out = out.withColumn("p", transform(F.col("p")))
-    return out
-
-
-def _normalise(scores: DataFrame, key: str) -> DataFrame:
-    tot = scores.groupBy(key).agg(F.sum("p").alias("__t"))
-    return scores.join(tot, key).select(key, "class", (F.col("p") / F.col("__t")).alias("p"))
+def _vector_scores(pred: DataFrame, key: str, col: str) -> DataFrame:
+    return pred.select(key, F.posexplode(vector_to_array(F.col(col))).alias("class", "p"))
 
 
 def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX",
@@ -133,38 +173,29 @@ def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label:
     """One-vs-rest gradient-boosted trees; class score sigmoid(2 margin), normalised."""
     tr = _assemble(train, features).select("features", F.col(label).cast("double").alias("label")).persist()
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-    model = OneVsRest(classifier=gbt).fit(tr)
+    model = OneVsRest(classifier=gbt, parallelism=8).fit(tr)
     tr.unpersist()
     pred = model.transform(_assemble(test, features))
-    s = _vector_scores(pred, key, "rawPrediction", lambda m: 1 / (1 + F.exp(-2 * m)))
-    return _normalise(s, key)
+    scores = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: 1 / (1 + F.exp(-2 * m)))
+    pred = pred.select(key, scores.alias("__s")).withColumn("__t", F.aggregate("__s", F.lit(0.0), lambda a, x: a + x))
+    return pred.select(key, F.posexplode(F.transform("__s", lambda x: x / F.col("__t"))).alias("class", "p"))
 
 
 def mlp_layers(n_in: int, layers: list, dropouts: list, n_classes: int) -> list[int]:
-    """Network widths as the layer list builds them: the first layer is added once on its own
-    and again at the start of the (layer, dropout) walk, which stops at the shorter list;
-    the final layer is replaced by the class count."""
-    widths = [int(layers[0][0])] + [int(l[0]) for l, _ in zip(layers, dropouts)]
-    return [n_in] + widths[:-1] + [n_classes]
+    """Widths of the network that a layer list builds, input first."""
+    return [n_in, *[w for w, _, _ in network_shape(n_in, layers, dropouts, n_classes)]]
 
 
 def mlp_classifier(train: DataFrame, test: DataFrame, features: list[str], n_classes: int,
                    layers=(("64", "tanh"), ("64", "tanh"), ("5", "softmax")), dropouts=("0", "0", "0"),
                    epochs: int = 40, batch_size: int = 32, label: str = "DX", key: str = "row_id",
-                   seed: int = 1, hard: bool = True) -> DataFrame:
-    """Feed-forward net (sigmoid hidden units, softmax output, L-BFGS). With ``hard`` the
+                   seed: int = 1, hard: bool = True, opt: str = "adam", loss: str = "categorical_crossentropy",
+                   rate: float | None = None) -> DataFrame:
+    """Feed-forward net as configured (:mod:`foldwise.operators.network`). With ``hard`` the
     slot scores are the one-hot argmax, as the deep-learning slot reports them."""
-    widths = mlp_layers(len(features), list(layers), list(dropouts), n_classes)
-    tr = _assemble(train, features).select("features", F.col(label).cast("double").alias("label")).persist()
-    model = MultilayerPerceptronClassifier(layers=widths, maxIter=int(epochs), blockSize=int(batch_size),
-                                           seed=seed).fit(tr)
-    tr.unpersist()
-    pred = model.transform(_assemble(test, features))
-    if hard:
-        return pred.select(key, F.col("prediction").cast("int").alias("pc"),
-                           F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class")) \
-            .select(key, "class", (F.col("class") == F.col("pc")).cast("double").alias("p"))
-    return _vector_scores(pred, key, "probability")
+    shape = network_shape(len(features), list(layers), list(dropouts), n_classes)
+    weights = train_network(train, features, shape, int(epochs), int(batch_size), opt, loss, rate, label, key, seed)
+    return network_scores(test, features, weights, shape, key, hard)
 
 
 def rff_features(df: DataFrame, features: list[str], n_components: int = 64, gamma: float | None = None,
@@ -177,14 +208,18 @@ def rff_features(df: DataFrame, features: list[str], n_components: int = 64, gam
     W = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
     scale = math.sqrt(2.0 / n_components)
-    cols = []
-    for j in range(n_components):
-        lin = F.lit(float(b[j]))
-        for i, f in enumerate(features):
-            lin = lin + F.lit(float(W[j, i])) * F.col(f"`{f}`").cast("double")
-        cols.append((F.lit(scale) * F.cos(lin)).alias(f"rff{j}"))
     keep = [c for c in key_cols if c in df.columns]
-    return df.select(*keep, *cols), [f"rff{j}" for j in range(n_components)]
+    names = [f"rff{j}" for j in range(n_components)]
+
+    def project(batches):  # one matrix product per Arrow batch
+        for pdf in batches:
+            z = scale * np.cos(pdf[features].to_numpy(dtype=np.float64) @ W.T + b)
+            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(z, columns=names)], axis=1)
+    df = complete_features(df, features, "random Fourier features")
+    types = dict(df.dtypes)
+    sel = df.select(*keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{c} double" for c in names])
+    return sel.mapInPandas(project, schema), names
 
 
 def rbf_svc(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX", key: str = "row_id",

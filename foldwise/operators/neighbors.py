@@ -1,12 +1,17 @@
-"""Exact k-nearest-neighbour join without an all-pairs shuffle.
-
-Both sides are cut into hash blocks (about ``block_rows`` rows each). Every left block meets
-every right block once inside a ``cogroup`` task (optionally only within equal ``by`` keys),
-where numpy computes the block's distances and keeps each left row's best k. Only k rows
-per (left row, right block) leave a task; a final ranking per left row (k x blocks rows)
-keeps the overall best k. Replication is |left| x right_blocks + |right| x left_blocks rows,
-and no group is larger than one block pair, whatever the key skew.
-Distances: 'euclidean' (sqrt of summed squared differences) or 'manhattan'; ties by right key.
+"""Exact k-nearest-neighbour join that leaves out what cannot be a neighbour.
+
+Without ``by`` keys, rows are assigned to the nearest of at most MAX_PIVOTS pivots (Lu et al.,
+"Efficient processing of k nearest neighbor joins using MapReduce", 2012). The left radius of
+each cell and the k smallest pivot distances of each right cell give, by the triangle
+inequality, a bound on the k-th neighbour distance of every row of a left cell; a right row
+is sent only to the cells whose bound it can meet. The result is exact whatever the pivots;
+they decide only how much is left out. With ``by`` keys, the keys take the place of cells.
+
+A cell's rows are dealt into blocks, and every left block meets every right block once in a
+``cogroup`` task, where numpy keeps each left row's best k. Only k rows per (left row, right
+block) leave a task, and a ranking per left row keeps the best. The number of blocks follows
+both the rows and the session's parallelism, so neither a small table nor a large cell is one
+task. Distances: 'euclidean' or 'manhattan'; ties go to the smaller right key.
 """
 
 from __future__ import annotations
@@ -18,77 +23,154 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators.nulls import complete_features
+from foldwise.sources.sink import write_and_read
+
 OUT_SCHEMA = "left_id long, right_id long, dist double, grp string"
+METRICS = ("euclidean", "manhattan")
+MAX_PIVOTS = 256
+#: Bounds are widened by this share, so that rounding never leaves out a neighbour.
+SLACK = 1e-9
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    diff = a[:, None, :] - b[None, :, :]
+    return np.sqrt(np.sum(diff * diff, axis=2)) if metric == "euclidean" else np.sum(np.abs(diff), axis=2)
 
 
-def _block_topk(k: int, exclude_self: bool, metric: str, nf: int):
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array(pdf["x"].tolist(), dtype=np.float64)
+
+
+def _block_topk(k: int, exclude_self: bool, metric: str):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"left_id": pd.Series([], dtype="int64"),
                                  "right_id": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64"),
                                  "grp": pd.Series([], dtype="object")})
-        grp = str(left["__grp"].iloc[0])
-        L = left[[f"__f{i}" for i in range(nf)]].to_numpy(dtype=np.float64)
-        R = right[[f"__f{i}" for i in range(nf)]].to_numpy(dtype=np.float64)
+        L, R = _matrix(left), _matrix(right)
         lid = left["__id"].to_numpy(dtype=np.int64)
         rid = right["__id"].to_numpy(dtype=np.int64)
-        order = np.argsort(rid, kind="stable")
-        R, rid = R[order], rid[order]
-        kk = min(k + (1 if exclude_self else 0), len(rid))
-        step = max(1, int(4e6 // max(1, len(rid) * nf)))
-        outs_l, outs_r, outs_d = [], [], []
+        step = max(1, int(4e6 // max(1, R.size)))
+        outs = []
         for s in range(0, len(lid), step):
-            diff = L[s:s + step, None, :] - R[None, :, :]
-            d = np.sqrt(np.sum(diff * diff, axis=2)) if metric == "euclidean" else np.sum(np.abs(diff), axis=2)
+            d = _distances(L[s:s + step], R, metric)
             if exclude_self:
-                d = np.where(lid[s:s + step, None] == rid[None, :], np.inf, d)
-            # rid is sorted, so a stable sort by distance breaks ties by right key
-            idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-            dd = np.take_along_axis(d, idx, axis=1)
-            ok = np.isfinite(dd)
-            rows = np.repeat(lid[s:s + step], kk).reshape(-1, kk)
-            outs_l.append(rows[ok]); outs_r.append(rid[idx][ok]); outs_d.append(dd[ok])
-        out = pd.DataFrame({"left_id": np.concatenate(outs_l), "right_id": np.concatenate(outs_r),
-                            "dist": np.concatenate(outs_d)})
-        out["grp"] = grp
+                d[lid[s:s + step, None] == rid[None, :]] = np.inf
+            kk = min(k, d.shape[1])
+            # all rows up to the k-th distance, so that ties at it are settled by key
+            i, j = np.nonzero((d <= np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]) & np.isfinite(d))
+            order = np.lexsort((rid[j], d[i, j], i))
+            i, j = i[order], j[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j = i[nth < k], j[nth < k]
+            outs.append((lid[s + i], rid[j], d[i, j]))
+        out = pd.DataFrame({c: np.concatenate(v) for c, v in zip(("left_id", "right_id", "dist"), zip(*outs))})
+        out["grp"] = str(left["__grp"].iloc[0])
         return out
     return fn
 
 
+def _vectors(df: DataFrame, key: str, features: list[str], *extra) -> DataFrame:
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    return df.select(F.col(key).cast("long").alias("__id"), *extra, x.alias("x"))
+
+
+def _parallelism(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _cells(left: DataFrame, right: DataFrame, k: int, metric: str, n_right: int) -> tuple[DataFrame, DataFrame]:
+    """(left with its cell, right with a row for every cell that it can matter to), both written.
+    The driver holds the pivots and k + 1 numbers for each."""
+    count = min(MAX_PIVOTS, max(1, math.isqrt(n_right)))
+    rows = right.orderBy(F.xxhash64("__id"), "__id").limit(count).select("x").collect()
+    pivots = np.array([r["x"] for r in rows], dtype=np.float64)
+
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = _distances(_matrix(pdf), pivots, metric)
+                yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), d=d.min(axis=1))
+
+    def nearest(batches):
+        for pdf in assign(batches):
+            first = pdf.sort_values(["cell", "d"]).groupby("cell").head(k)
+            yield first[["cell", "d"]]
+    left = write_and_read(left.mapInPandas(assign, "__id long, __grp string, x array<double>, cell int, d double"), "knn_left")
+    radius = {r["cell"]: r["u"] for r in left.groupBy("cell").agg(F.max("d").alias("u")).collect()}
+    w = Window.partitionBy("cell").orderBy("d")  # over k rows of each cell and batch
+    close = (right.mapInPandas(nearest, "cell int, d double").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+             .select("cell", "d").collect())
+    between = _distances(pivots, pivots, metric)
+    bound = np.full(len(pivots), -np.inf)  # how far from pivot i a right row may be to matter to cell i
+    for i, u in radius.items():
+        to_kth = sorted(u + between[i, r["cell"]] + r["d"] for r in close)
+        bound[i] = (u + to_kth[k - 1]) * (1 + SLACK) if len(to_kth) >= k else np.inf
+
+    def send(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = _distances(_matrix(pdf), pivots, metric)
+                r, c = np.nonzero(d * (1 - SLACK) <= bound[None, :])
+                out = pdf.iloc[r].copy()
+                out["cell"] = c.astype(np.int32)
+                yield out
+    right = write_and_read(right.mapInPandas(send, "__id long, x array<double>, cell int"), "knn_right")
+    return left.drop("d"), right
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, keys: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with block numbers: a left row once per right block of its keys, and the
+    other way round. One row of counts per key value; hot keys get more blocks."""
+    parallel = _parallelism(left)
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nl")).join(
+        right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nr")), keys)
+    every = Window.partitionBy()  # over one row per key value
+    # the pairs of a block: at most block_rows squared, and few enough for all tasks to have work
+    pairs = F.col("__nl") * F.col("__nr")
+    goal = F.least(F.lit(float(block_rows) ** 2), F.greatest(F.sum(pairs).over(every) / parallel, F.lit(1e4)))
+    side = F.sqrt(goal)
+    sizes = sizes.select(*keys, F.ceil(F.col("__nl") / side).cast("int").alias("__nlb"), F.ceil(F.col("__nr") / side).cast("int").alias("__nrb"))
+    sizes = write_and_read(sizes, "knn_blocks")
+    hashed = F.xxhash64("__id", F.lit(1))
+    left = (left.join(sizes, keys).withColumn("__lb", F.pmod(hashed, F.col("__nlb")).cast("int"))
+            .withColumn("__rb", F.explode(F.sequence(F.lit(0), F.col("__nrb") - 1))).drop("__nlb", "__nrb"))
+    right = (right.join(sizes, keys).withColumn("__rb", F.pmod(hashed, F.col("__nrb")).cast("int"))
+             .withColumn("__lb", F.explode(F.sequence(F.lit(0), F.col("__nlb") - 1))).drop("__nlb", "__nrb"))
+    return left, right
+
+
 def knn_join(left: DataFrame, right: DataFrame, features: list[str], k: int, key: str = "row_id",
              by: list[str] | None = None, exclude_self: bool = False, metric: str = "euclidean",
              block_rows: int = 20000, right_features: list[str] | None = None,
              left_by: list[str] | None = None, left_rows: int | None = None,
-             right_rows: int | None = None) -> DataFrame:
+             right_rows: int | None = None, nulls: str = "error") -> DataFrame:
     """(left_id, rank, right_id, dist): the k nearest right rows of every left row.
 
     ``by``: right columns whose values must equal the left's ``left_by`` columns (default the
-    same names) — e.g. the class for same-class neighbours.
+    same names) — e.g. the class for same-class neighbours; NULL equals nothing. ``nulls``:
+    policy for rows with a NULL feature on either side. ``right_rows``: the number of right
+    rows, if known.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     by = list(by or [])
     left_by = list(left_by or by)
     rf = right_features or features
-    # block counts only need sizes; callers that know them skip the counting jobs
-    n_left = left_rows if left_rows is not None else left.count()
-    n_right = right_rows if right_rows is not None else right.count()
-    lb = max(1, math.ceil(n_left / block_rows))
-    rb = max(1, math.ceil(n_right / block_rows))
-    keys = [f"__by{i}" for i in range(len(by))] + ["__lb", "__rb"]
     grp = F.concat_ws("|", *[F.col(c).cast("string") for c in left_by]) if left_by else F.lit("")
-    lcols = [F.col(key).cast("long").alias("__id"), grp.alias("__grp"),
-             *[F.col(c).alias(f"__by{i}") for i, c in enumerate(left_by)],
-             *[F.col(f"`{f}`").cast("double").alias(f"__f{i}") for i, f in enumerate(features)]]
-    rcols = [F.col(key).cast("long").alias("__id"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)],
-             *[F.col(f"`{f}`").cast("double").alias(f"__f{i}") for i, f in enumerate(rf)]]
-    L = (left.select(*lcols)
-         .withColumn("__lb", F.pmod(F.xxhash64("__id"), F.lit(lb)).cast("int"))
-         .withColumn("__rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
-    R = (right.select(*rcols)
-         .withColumn("__rb", F.pmod(F.xxhash64("__id"), F.lit(rb)).cast("int"))
-         .withColumn("__lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1)))))
-    fn = _block_topk(k, exclude_self, metric, len(features))
-    cand = L.groupBy(*keys).cogroup(R.groupBy(*keys)).applyInPandas(fn, OUT_SCHEMA)
+    keys = [f"__by{i}" for i in range(len(by))] or ["cell"]
+    L = _vectors(complete_features(left, features, "k-NN join, left side", nulls), key, features, grp.alias("__grp"),
+                 *[F.col(c).alias(f"__by{i}") for i, c in enumerate(left_by)])
+    R = _vectors(complete_features(right, rf, "k-NN join, right side", nulls), key, rf,
+                 *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)])
+    if not by:
+        n_right = right_rows if right_rows is not None else R.count()
+        L, R = _cells(L, R, k + int(exclude_self), metric, n_right)
+    L, R = _in_blocks(L, R, keys, block_rows)
+    blocks = [*keys, "__lb", "__rb"]
+    cand = L.groupBy(*blocks).cogroup(R.groupBy(*blocks)).applyInPandas(_block_topk(k, exclude_self, metric), OUT_SCHEMA)
     # a left row has one candidate list per ``by`` group it was sent to
     w = Window.partitionBy("left_id", "grp").orderBy("dist", "right_id")
     out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -10,6 +10,8 @@ whole class, yet a class holding a third of all rows is split over ``buckets`` t
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,47 +19,45 @@ from pyspark.ml.feature import Bucketizer
 
 from foldwise.functions.hashing import TWO_32, md5_u32, md5_uniform
 
-MAX_SMALL_TABLE = 1_000_000  # rows allowed in a broadcast side table (classes x buckets)
-
 
 def _default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def rank_in_buckets(df: DataFrame, part_cols: list[str], bucket_col: str, order_cols: list[str],
-                    out: str = "rank0", max_offset_rows: int | None = None) -> DataFrame:
+                    out: str = "rank0") -> DataFrame:
     """0-based rank inside ``part_cols`` by ``order_cols``, given a ``bucket_col`` that is
-    monotone in the ordering. Windows only ever see one (partition, bucket)."""
+    monotone in the ordering. Windows only ever see one (partition, bucket). NULL is a
+    partition like any other, so every row comes back. The table of offsets has one row per
+    (partition value, bucket); how it is joined is left to AQE, which sees its size."""
     w = Window.partitionBy(*part_cols, bucket_col).orderBy(*order_cols)
     ranked = df.withColumn("__rn", F.row_number().over(w))
     counts = df.groupBy(*part_cols, bucket_col).agg(F.count(F.lit(1)).alias("__c"))
     wo = Window.partitionBy(*part_cols).orderBy(bucket_col)  # over the counts table only
     offsets = counts.withColumn("__off", F.sum("__c").over(wo) - F.col("__c")).drop("__c")
-    # the offsets table has one row per (partition value, bucket); broadcast it only when that
-    # product is known to be small, otherwise leave the strategy to AQE
-    if max_offset_rows is not None and max_offset_rows <= MAX_SMALL_TABLE:
-        offsets = F.broadcast(offsets)
-    return (ranked.join(offsets, [*part_cols, bucket_col], "inner")
-            .withColumn(out, F.col("__off") + F.col("__rn") - 1).drop("__rn", "__off"))
+    keys = [*part_cols, bucket_col]
+    offsets = offsets.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "__off")
+    same = reduce(and_, [ranked[c].eqNullSafe(offsets[f"__k{i}"]) for i, c in enumerate(keys)])
+    return (ranked.join(offsets, same, "inner")
+            .withColumn(out, F.col("__off") + F.col("__rn") - 1)
+            .drop("__rn", "__off", *[f"__k{i}" for i in range(len(keys))]))
 
 
 def rank_by_hash(df: DataFrame, part_cols: list[str], seed, key: str = "row_id", salt: str = "",
-                 buckets: int | None = None, out: str = "rank0", max_parts: int | None = 10_000) -> DataFrame:
-    """0-based rank inside ``part_cols`` in the order of md5(seed|salt|key), ties by key.
-    ``max_parts``: a known bound on the number of distinct ``part_cols`` values (classes),
-    used to decide whether the (value x bucket) offsets table may be broadcast."""
+                 buckets: int | None = None, out: str = "rank0") -> DataFrame:
+    """0-based rank inside ``part_cols`` in the order of md5(seed|salt|key), ties by key."""
     buckets = buckets or _default_buckets(df)
     parts = [salt, F.col(key)] if salt else [F.col(key)]
     u = md5_u32(seed, *parts)
     tagged = df.withColumn("__u", u).withColumn("__b", F.floor(F.col("__u") * buckets / F.lit(TWO_32)).cast("int"))
-    bound = buckets * (max_parts if part_cols else 1) if max_parts else None
-    return rank_in_buckets(tagged, part_cols, "__b", ["__u", key], out, bound).drop("__u", "__b")
+    return rank_in_buckets(tagged, part_cols, "__b", ["__u", key], out).drop("__u", "__b")
 
 
 def stratified_folds(df: DataFrame, k: int, seed, label: str = "DX", key: str = "row_id",
                      buckets: int | None = None) -> DataFrame:
     """Add ``fold`` in 0..k-1: per class, rows in md5(seed|key) order are dealt round-robin,
-    so fold sizes within a class differ by at most one."""
+    so fold sizes within a class differ by at most one. Rows without a label are dealt like a
+    class of their own."""
     ranked = rank_by_hash(df, [label], seed, key, buckets=buckets)
     return ranked.withColumn("fold", (F.col("rank0") % k).cast("int")).drop("rank0")
 
@@ -76,7 +76,7 @@ def global_rank(df: DataFrame, order_col: str, buckets: int | None = None, rel_e
     tagged = df.withColumn("__k", F.col(order_col).cast("double"))
     tagged = Bucketizer(splits=splits, inputCol="__k", outputCol="__b", handleInvalid="keep").transform(tagged)
     tagged = tagged.withColumn("__b", F.col("__b").cast("int")).withColumn("__p", F.lit(0))
-    return rank_in_buckets(tagged, ["__p"], "__b", [order_col], out, len(splits)).drop("__k", "__b", "__p")
+    return rank_in_buckets(tagged, ["__p"], "__b", [order_col], out).drop("__k", "__b", "__p")
 
 
 def ordered_holdout(df: DataFrame, test_size: float = 0.33, key: str = "row_id",
@@ -89,8 +89,13 @@ def ordered_holdout(df: DataFrame, test_size: float = 0.33, key: str = "row_id",
     return ranked.withColumn("is_test", F.col("rank0") >= F.lit(n_train)).drop("rank0")
 
 
+#: Synthetic rows of one generating task.
+SMOTE_RUN = 10_000
+
+
 def smote(df: DataFrame, features: list[str], label: str = "DX", key: str = "row_id", k: int = 5,
-          seed=1, buckets: int | None = None, block_rows: int = 20000) -> DataFrame:
+          seed=1, buckets: int | None = None, block_rows: int = 20000, nulls: str = "error",
+          small_classes: str = "refuse") -> DataFrame:
     """Oversample every class below the majority count up to it (SMOTE, Chawla et al. 2002).
 
     For class c with n_c rows and need_c = n_max - n_c: synthetic j = 0..need_c-1 takes base
@@ -98,51 +103,53 @@ def smote(df: DataFrame, features: list[str], label: str = "DX", key: str = "row
     neighbours chosen by md5(seed|'nn'|c|j), and a step u = md5(seed|'step'|c|j):
     x = base + u * (neighbour - base). Synthetic keys are -(1 + j * C + class_index).
     Output = input rows + synthetic rows, with ``synthetic`` 0/1.
+
+    A class that needs rows but has at most k of them has no k neighbours: an error that
+    names it, unless ``small_classes="adapt"`` (then its n_c - 1 neighbours serve, and a class
+    of one row repeats that row). A NULL label is an error; ``nulls`` is the policy for NULL
+    features. Class counts stay a table; the numbers j are made in runs of SMOTE_RUN, so few
+    base rows with many copies are still many tasks.
     """
     from foldwise.operators.neighbors import knn_join
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = sorted(counts)
-    if len(classes) > MAX_SMALL_TABLE:
-        raise ValueError("too many classes for SMOTE")
-    n_max = max(counts.values())
-    cidx = {c: i for i, c in enumerate(classes)}
-    need = {c: n_max - counts[c] for c in classes}
-    base = df.select(key, label, *features)
+    from foldwise.operators.nulls import complete_features
+    from foldwise.sources.sink import write_and_read
+    if small_classes not in ("refuse", "adapt"):
+        raise ValueError("small_classes must be 'refuse' or 'adapt'")
+    base = complete_features(df.select(key, label, *features), features, "smote", nulls)
+    every = Window.partitionBy()  # over the class counts: one row per class
+    classes = (df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+               .select(F.col(label).alias("__c"), "__n", (F.max("__n").over(every) - F.col("__n")).alias("__need"),
+                       (F.row_number().over(every.orderBy(label)) - 1).alias("__ci"), F.count(F.lit(1)).over(every).alias("__nc")))
+    classes = write_and_read(classes, "smote_classes")
+    if classes.where(F.col("__c").isNull()).limit(1).count():
+        raise ValueError("smote: a row has no label")
+    minority = classes.where("__need > 0")
+    if small_classes == "refuse":
+        bad = minority.where(F.col("__n") <= k).limit(3).collect()
+        if bad:
+            raise ValueError(f"smote: fewer than k + 1 = {k + 1} rows in class " + ", ".join(f"{r['__c']} ({r['__n']})" for r in bad))
     out = base.withColumn("synthetic", F.lit(0))
-    if not any(need.values()):
-        return out
-
-    def lit_map(d):
-        return F.create_map(*[x for kv in d.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-
-    minority = [c for c in classes if need[c] > 0 and counts[c] > 1]
-    src = base.where(F.col(label).isin(minority))
-    ranked = rank_by_hash(src, [label], seed, key, salt="base", buckets=buckets, out="p")
-    n_c = lit_map({c: counts[c] for c in minority})[F.col(label)]
-    need_c = lit_map({c: need[c] for c in minority})[F.col(label)]
-    copies = F.greatest(F.lit(0), F.ceil((need_c - F.col("p")) / n_c)).cast("int")
-    syn = (ranked.select(key, label, "p", n_c.alias("__n"), copies.alias("__copies"))
-           .where(F.col("__copies") > 0)
-           .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-           .withColumn("j", (F.col("p") + F.col("t") * F.col("__n")).cast("bigint")))
+    src = base.join(minority.select(F.col("__c").alias(label)), label, "left_semi")
+    runs = minority.withColumn("__run", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__need") / SMOTE_RUN) - 1)))
+    first = F.col("__run") * SMOTE_RUN
+    syn = (runs.repartition("__c", "__run")
+           .withColumn("j", F.explode(F.sequence(first, F.least(first + SMOTE_RUN, F.col("__need")) - 1)))
+           .withColumn("p", F.col("j") % F.col("__n")))
     k_eff = F.least(F.lit(k), F.col("__n") - 1)
     syn = syn.select(
-        F.col(key).alias("__base"), label, "j",
-        (F.floor(md5_uniform(seed, "nn", F.col(label), F.col("j")) * k_eff) + 1).cast("int").alias("__nn"),
-        md5_uniform(seed, "step", F.col(label), F.col("j")).alias("__u"))
-    n_src = sum(counts[c] for c in minority)
-    nn = knn_join(src, src, features, k, key=key, by=[label], exclude_self=True, block_rows=block_rows,
-                  left_rows=n_src, right_rows=n_src)
-    syn = syn.join(nn.select(F.col("left_id").alias("__base"), F.col("rank").alias("__nn"),
-                             F.col("right_id").alias("__nbr")), ["__base", "__nn"], "inner")
-    a = base.select(F.col(key).alias("__base"), *[F.col(f).alias(f"__a_{i}") for i, f in enumerate(features)])
-    b = base.select(F.col(key).alias("__nbr"), *[F.col(f).alias(f"__b_{i}") for i, f in enumerate(features)])
-    syn = syn.join(a, "__base").join(b, "__nbr")
-    n_classes = len(classes)
-    syn_rows = syn.select(
-        (-(F.lit(1) + F.col("j") * n_classes + lit_map(cidx)[F.col(label)])).cast("bigint").alias(key),
-        label,
-        *[(F.col(f"__a_{i}") + F.col("__u") * (F.col(f"__b_{i}") - F.col(f"__a_{i}"))).alias(f)
-          for i, f in enumerate(features)],
-        F.lit(1).alias("synthetic"))
-    return out.unionByName(syn_rows)
+        "__c", "__ci", "__nc", "j", "p",
+        F.when(k_eff > 0, F.floor(md5_uniform(seed, "nn", F.col("__c"), F.col("j")) * k_eff) + 1).otherwise(0).cast("int").alias("__nn"),
+        md5_uniform(seed, "step", F.col("__c"), F.col("j")).alias("__u"))
+    nn = knn_join(src, src, features, k, key=key, by=[label], exclude_self=True, block_rows=block_rows)
+    ranked = rank_by_hash(src.select(key, label), [label], seed, key, salt="base", buckets=buckets, out="p")
+    numbers = F.array(*[F.col(f"`{f}`").cast("double") for f in features])  # one column: plans do not grow with features
+    own = ranked.join(src.select(key, numbers.alias("__a")), key).select(F.col(label).alias("__c"), "p", F.col(key).alias("__base"), "__a")
+    other = src.select(F.col(key).alias("__nbr"), numbers.alias("__b"))
+    near = nn.select(F.col("left_id").alias("__base"), F.col("rank").alias("__nn"), F.col("right_id").alias("__nbr")).join(other, "__nbr")
+    syn = syn.join(own, ["__c", "p"]).join(near.drop("__nbr"), ["__base", "__nn"], "left")
+    x = F.when(F.col("__nn") == 0, F.col("__a")).otherwise(
+        F.zip_with("__a", "__b", lambda a, b: a + F.col("__u") * (b - a)))
+    syn = syn.withColumn("__x", x)
+    return out.unionByName(syn.select(
+        (-(F.lit(1) + F.col("j") * F.col("__nc") + F.col("__ci"))).cast("bigint").alias(key), F.col("__c").alias(label),
+        *[F.col("__x")[i].alias(f) for i, f in enumerate(features)], F.lit(1).alias("synthetic")))

@@ -13,7 +13,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.longform import feature_positions, to_long
+from foldwise.operators.longform import to_long
+
+
+def _every_feature(scores: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, position, score) with a row for each feature; without a usable value its
+    score is NULL, which ranks last."""
+    names = scores.sparkSession.createDataFrame(list(zip(features, range(len(features)))), "feature string, position int")
+    return names.join(scores.select("feature", "score"), "feature", "left")
 
 
 def _xlogx(c):
@@ -42,11 +49,12 @@ def mutual_info_long(long: DataFrame, label: str = "DX") -> DataFrame:
 def info_gain(df: DataFrame, features: list[str], label: str = "DX", key: str = "row_id") -> DataFrame:
     """(feature, position, score) with score = MI(feature; label)."""
     mi = mutual_info_long(to_long(df, features, key, label), label)
-    return mi.select("feature", feature_positions(features).alias("position"), F.col("mi").alias("score"))
+    return _every_feature(mi.select("feature", F.col("mi").alias("score")), features)
 
 
 def anova_f(df: DataFrame, features: list[str], label: str = "DX", key: str = "row_id") -> DataFrame:
-    """One-way ANOVA F per feature: F = (SSB/(k-1)) / (SSW/(N-k)); (feature, position, score)."""
+    """One-way ANOVA F per feature: F = (SSB/(k-1)) / (SSW/(N-k)); (feature, position, score).
+    A feature that is constant within classes but not between them has F = infinity."""
     long = to_long(df, features, key, label).where(F.col("value").isNotNull() & F.col(label).isNotNull())
     g = long.groupBy("feature", label).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
@@ -57,9 +65,9 @@ def anova_f(df: DataFrame, features: list[str], label: str = "DX", key: str = "r
     s = g.groupBy("feature").agg(
         F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ssb"),
         F.sum("m2").alias("ssw"), F.count(F.lit(1)).alias("k"), F.first("n_all").alias("n_all"))
-    score = F.when(F.col("k") > 1, F.try_divide(F.col("ssb") / (F.col("k") - 1),
-                                                 F.col("ssw") / (F.col("n_all") - F.col("k"))))
-    return s.select("feature", feature_positions(features).alias("position"), score.alias("score"))
+    score = F.when((F.col("k") > 1) & (F.col("ssw") == 0) & (F.col("ssb") > 0), F.lit(math.inf)).when(
+        F.col("k") > 1, F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n_all") - F.col("k"))))
+    return _every_feature(s.select("feature", score.alias("score")), features)
 
 
 def rank_scores(scores: DataFrame, group_cols=(), tie: str = "first") -> DataFrame:
@@ -93,16 +101,26 @@ def mrmr_miq(df: DataFrame, features: list[str], n: int, label: str = "DX", key:
     step 1: argmax MI(f; label); step t: argmax MI(f; label) / (mean_s MI(f; s) + eps) over
     the picks s so far. One job per step: the wide rows are unpivoted with the last pick's
     value carried along, so MI(f; last pick) for all remaining f is one aggregate, no join.
-    Ties go to the earlier column. Returns (rank, feature, position, relevance, score).
-    The picks (n names) are the only values brought to the driver.
+    Ties go to the earlier column; a feature without a usable value comes last, with NULL
+    scores. Returns (rank, feature, position, relevance, score). The features and the label
+    are written once and read by every step; one number per feature and step reaches the
+    driver.
     """
     n = max(1, min(int(n), len(features)))
+    if n > 1:
+        from foldwise.sources.sink import write_and_read
+        df = write_and_read(df.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features], label), "mrmr_input")
     rel = {r["feature"]: r["mi"] for r in mutual_info_long(to_long(df, features, key, label), label).collect()}
-    pos = {f: i for i, f in enumerate(features)}
-    first = max(features, key=lambda f: (rel[f], -pos[f]))
-    picks = [(first, rel[first])]
-    red_sum = {f: 0.0 for f in features if f != first}
-    while len(picks) < n:
+    empty = [f for f in features if rel.get(f) is None]
+    features_all, features = features, [f for f in features if f not in empty]
+    n_scored = min(n, len(features))
+    pos = {f: i for i, f in enumerate(features_all)}
+    picks = []
+    if features:
+        first = max(features, key=lambda f: (rel[f], -pos[f]))
+        picks = [(first, rel[first])]
+        red_sum = {f: 0.0 for f in features if f != first}
+    while 0 < len(picks) < n_scored:
         last = picks[-1][0]
         remaining = [f for f in features if f not in {p for p, _ in picks}]
         long = (df.select(key, F.col(f"`{last}`").cast("double").alias("__s"),
@@ -116,7 +134,8 @@ def mrmr_miq(df: DataFrame, features: list[str], n: int, label: str = "DX", key:
         picks.append((best, score[best]))
         del red_sum[best]
     spark = df.sparkSession
-    rows = [(i + 1, f, pos[f], float(rel[f]), float(s)) for i, (f, s) in enumerate(picks)]
+    picks += [(f, None) for f in empty[:n - len(picks)]]
+    rows = [(i + 1, f, pos[f], rel.get(f), s) for i, (f, s) in enumerate(picks)]
     return spark.createDataFrame(rows, "rank int, feature string, position int, relevance double, score double")
 
 
@@ -147,7 +166,8 @@ def dispatch(method: str, df: DataFrame, features: list[str], n, label: str = "D
         ranked = top_n(rf_importance(df, features, label, seed=seed, num_trees=kw.get("num_trees", 38)), n)
     else:
         return ["All"], None
-    ranked = ranked.cache()
+    from foldwise.sources.sink import write_and_read
+    ranked = write_and_read(ranked, "ranking")  # a row per feature, read for the names and the report
     order = "position" if method == "univariate" else "rank"
     names = [r["feature"] for r in ranked.orderBy(order).select("feature").collect()]
     return names, ranked

@@ -1,7 +1,8 @@
 """Experiment orchestration: configs -> datasets -> selection -> cross-validation -> metrics.
 
 Design choices where the original pipeline was ambiguous:
-- one ``fold`` per row key, shared by every classifier slot (slots stay row-aligned);
+- one ``fold`` per row key, shared by every classifier slot (slots stay row-aligned); rows
+  with a NULL in any slot are left out of all, with a warning that counts them;
 - SMOTE runs per slot dataset before the split (the reference order); synthetic keys depend
   only on (class, j), so the slots' synthetic rows line up too;
 - test rows are scaled with their own statistics by default (``fit_on='self'``);
@@ -14,17 +15,23 @@ from __future__ import annotations
 
 import os
 import warnings
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from operator import and_
 
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators import ensemble, metrics, models, sampling, scaling, selectors
+from foldwise.operators import ensemble, metrics, models, projection, sampling, scaling, selectors
 from foldwise.operators.datasets import features_of
 from foldwise.plans.tables import CONF_DIR
 from foldwise.sources.sink import write_and_read
 
 
+SELECTORS = ("ig", "univariate", "mrmr", "relieff", "rf")
+
+
 def load_configs(path: str | None = None) -> dict:
     with open(path or os.path.join(CONF_DIR, "experiments.yml")) as fh:
         return yaml.safe_load(fh)
@@ -58,6 +65,8 @@ def select_slots(cfg: dict, datasets: dict[str, DataFrame], seed: int = 1, name:
     for i, (dname, method, n, clf) in enumerate(check_config(name, cfg, strict)):
         df = datasets[dname]
         feats = features_of(df)
+        if n is None and method in SELECTORS:  # as many features as the best mixture has components
+            n = projection.gmm_components(df, feats, seed=seed).where("chosen").first()["k"]
         n = int(n) if n is not None else len(feats)
         names, ranked = selectors.dispatch(method, df, feats, n, seed=seed)
         if names == ["All"]:
@@ -75,63 +84,106 @@ def select_slots(cfg: dict, datasets: dict[str, DataFrame], seed: int = 1, name:
     return out, report
 
 
-def slot_scores(classifier: str, train: DataFrame, test: DataFrame, features: list[str], n_classes: int,
-                cfg: dict, seed: int = 1, sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Long class scores of one slot; the family is 'dl' by substring, else the name's prefix."""
+FAMILIES = ("knn", "nb", "svc", "xgb", "dl")
+#: Fits of iterative slots that run at once.
+PARALLEL_FITS = 4
+
+
+def family_of(classifier: str) -> str:
+    """The family is 'dl' by substring, else the name's prefix."""
     family = "dl" if "dl" in classifier else classifier.split("_")[0]
+    if family not in FAMILIES:
+        raise ValueError(f"unknown classifier '{classifier}'")
+    return family
+
+
+def slot_scores(classifier: str, train: DataFrame, test: DataFrame, features: list[str], n_classes: int,
+                cfg: dict, seed: int = 1) -> DataFrame:
+    """Long class scores (row_id, class, p) of one slot for one split."""
+    family = family_of(classifier)
     if family == "knn":
-        tr, te = sizes or (None, None)
-        return models.knn_scores(train, test, features, 2, train_rows=tr, test_rows=te)
+        return models.knn_scores(train, test, features, 2)
     if family == "nb":
         return models.gaussian_nb(train, test, features)
     if family == "svc":
         return models.rbf_svc(train, test, features, seed=seed)
     if family == "xgb":
-        return models.boosted_trees(train, test, features, rounds=int(cfg.get("rounds", 20)), seed=seed)
-    if family == "dl":
-        return models.mlp_classifier(train, test, features, n_classes, layers=cfg.get("layers", [["64", "tanh"], ["5", "softmax"]]),
-                                     dropouts=cfg.get("dropouts", ["0", "0"]), epochs=int(cfg.get("epochs", 40)),
-                                     batch_size=int(cfg.get("batch_size", 32)), seed=seed)
-    raise ValueError(f"unknown classifier '{classifier}'")
+        return models.boosted_trees(train, test, features, rounds=int(cfg.get("rounds", 100)), seed=seed)
+    return models.mlp_classifier(train, test, features, n_classes, layers=cfg.get("layers", [["64", "tanh"], ["5", "softmax"]]),
+                                 dropouts=cfg.get("dropouts", ["0", "0"]), epochs=int(cfg.get("epochs", 40)),
+                                 batch_size=int(cfg.get("batch_size", 32)), seed=seed, opt=str(cfg.get("opt", "adam")),
+                                 loss=str(cfg.get("loss", "categorical_crossentropy")))
+
+
+def fold_scores(classifier: str, df: DataFrame, features: list[str], per: dict, params: dict, n_classes: int,
+                cfg: dict, seed: int = 1) -> DataFrame:
+    """Scores of all tested folds of one slot. Closed-form slots do them in one pass; for the
+    others each fold is a fit of its own, a few at a time."""
+    family = family_of(classifier)
+    if family == "nb":
+        return models.gaussian_nb_fold_scores(df, features, per, params)
+    if family == "knn":
+        return models.knn_fold_scores(df, features, params)
+
+    def one(i):
+        train = scaling.apply_scale(df.where(F.col("fold") != i), features, params[i]["train"])
+        test = scaling.apply_scale(df.where(F.col("fold") == i), features, params[i]["test"])
+        return slot_scores(classifier, train, test, features, n_classes, cfg, seed).select(
+            "row_id", F.col("class").cast("int").alias("class"), "p")
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, list(params)))
+
+
+def same_rows(slots: list[tuple[DataFrame, list[str]]], nulls: str = "exclude") -> list[tuple[DataFrame, list[str]]]:
+    """All slots on one set of rows, whatever their order: those with a label and complete
+    features in every slot. With nulls="error" a row that is not in this set is an error;
+    with "exclude" it is left out of all slots, and a warning says how many were."""
+    if nulls not in ("error", "exclude"):
+        raise ValueError("nulls must be 'error' or 'exclude'")
+    whole = [F.col("DX").isNotNull() & reduce(and_, [F.col(f"`{f}`").isNotNull() for f in feats], F.lit(True)) for _, feats in slots]
+    counts = [df.agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok")).first() for (df, _), ok in zip(slots, whole)]
+    if all(c["n"] == c["ok"] for c in counts) and len({c["n"] for c in counts}) == 1:
+        return slots
+    keys = reduce(lambda a, b: a.join(b, "row_id", "left_semi"), [df.where(ok).select("row_id") for (df, _), ok in zip(slots, whole)])
+    keys = write_and_read(keys.distinct(), "cv_rows")
+    left_out = max(c["n"] for c in counts) - keys.count()
+    if nulls == "error":
+        raise ValueError(f"{left_out} rows have a NULL label or feature in some slot")
+    warnings.warn(f"{left_out} rows with a NULL label or feature in some slot are left out of all slots")
+    return [(df.join(keys, "row_id", "left_semi"), feats) for df, feats in slots]
 
 
 def cross_validate(cfg: dict, slots: list[tuple[DataFrame, list[str]]], seed: int = 1, use_smote: bool = True,
-                   fit_on: str = "self") -> tuple[DataFrame, DataFrame]:
-    """k-fold CV of the soft-voting ensemble. Returns (predictions, per-fold metrics)."""
-    k = int(cfg.get("folds", 3))
+                   fit_on: str = "self", nulls: str = "exclude") -> tuple[DataFrame, DataFrame]:
+    """k-fold CV of the soft-voting ensemble, or one ordered hold-out if ``data_split`` says so
+    (its test rows are fold 0, the others fold -1). Returns (predictions, per-fold metrics)."""
     classifiers = cfg["classifiers"][:len(slots)]
-    base = slots[0][0].where(F.col("DX").isNotNull())
-    n_classes = base.select("DX").distinct().count()
+    slots = same_rows(slots, nulls)
+    n_classes = slots[0][0].select("DX").distinct().count()
     prepared = []
     for df, feats in slots:
-        df = df.where(F.col("DX").isNotNull()).dropna(subset=feats)
         if use_smote:
             df = sampling.smote(df, feats, k=5, seed=seed).drop("synthetic")
         prepared.append((df, feats))
-    folds = sampling.stratified_folds(prepared[0][0].select("row_id", "DX"), k, seed).select("row_id", "fold")
-    tagged, fold_params = [], []
-    for s, (df, feats) in enumerate(prepared):
-        # written once to the shared checkpoint folder: later fold jobs read it, and neither
+    labels = prepared[0][0].select("row_id", "DX")
+    if str(cfg.get("data_split", "k-fold")) == "hold-out":
+        split = sampling.ordered_holdout(labels, float(cfg.get("test_size", 0.33)))
+        folds, tested = split.select("row_id", (F.col("is_test").cast("int") - 1).alias("fold")), [0]
+    else:
+        k = int(cfg.get("folds", 3))
+        folds, tested = sampling.stratified_folds(labels, k, seed).select("row_id", "fold"), list(range(k))
+    scores, truth = [], None
+    for s, ((df, feats), clf) in enumerate(zip(prepared, classifiers)):
+        # written once to the shared checkpoint folder: later jobs read it, and neither
         # recompute nor depend on the SMOTE / neighbour lineage
         t = write_and_read(df.join(folds, "row_id"), f"cv_slot{s}")
-        tagged.append((t, feats))
-        fold_params.append(scaling.fold_scale_params(t, feats, k, fit_on))
-    fold_n = {r["fold"]: r["count"] for r in tagged[0][0].groupBy("fold").count().collect()}
-    total = sum(fold_n.values())
-    preds = None
-    for i in range(k):
-        scores = None
-        for s, ((df, feats), clf) in enumerate(zip(tagged, classifiers)):
-            params = fold_params[s][i]
-            train = scaling.apply_scale(df.where(F.col("fold") != i), feats, params["train"])
-            test = scaling.apply_scale(df.where(F.col("fold") == i), feats, params["test"])
-            sizes = (total - fold_n.get(i, 0), fold_n.get(i, 0))
-            sc = slot_scores(clf, train, test, feats, n_classes, cfg, seed, sizes).withColumn("slot", F.lit(s))
-            scores = sc if scores is None else scores.unionByName(sc)
-        vote = ensemble.soft_vote(scores, len(tagged))
-        truth = tagged[0][0].where(F.col("fold") == i).select("row_id", "DX")
-        p = vote.join(truth, "row_id").select(F.lit(i).alias("fold"), "row_id", "DX", "pred")
-        preds = p if preds is None else preds.unionByName(p)
+        truth = t.select("row_id", "DX", "fold") if truth is None else truth
+        per = scaling.fold_moments(t, feats)
+        params = scaling.fold_scale_params(per, feats, tested, fit_on)
+        sc = fold_scores(clf, t, feats, per, params, n_classes, cfg, seed)
+        scores.append(sc.select("row_id", F.lit(s).alias("slot"), F.col("class").cast("int").alias("class"), "p"))
+    vote = ensemble.soft_vote(reduce(DataFrame.unionByName, scores), len(scores), n_classes)
+    preds = vote.join(truth.where(F.col("fold").isin(tested)), "row_id").select("fold", "row_id", "DX", "pred")
     preds = write_and_read(preds, "cv_predictions")
     return preds, metrics.fold_metrics(preds, n_classes)
 
@@ -142,7 +194,7 @@ def run_experiment(name: str, cfg: dict, datasets: dict[str, DataFrame], seed: i
     holds the mean over folds."""
     slots, report = select_slots(cfg, datasets, seed, name, strict)
     _, m = cross_validate(cfg, slots, seed)
-    m = m.persist()
+    m = write_and_read(m, "cv_metrics")
     avg = metrics.fold_average(m).select(F.lit(-1).alias("fold"), "metric", "class", "value")
     allm = m.select("fold", "metric", "class", "value").unionByName(avg)
     return allm.select(F.lit(name).alias("config"), "*"), report

@@ -140,7 +140,7 @@ def anova_ctes(long_cte: str, sfx: str = "") -> str:
 gt{x} AS (SELECT feature, sum(n) AS nn, count(*) AS k, sum(n * mean) / sum(n) AS grand FROM g{x} GROUP BY feature),
 fs{x} AS (SELECT feature, sum(n * (mean - grand) * (mean - grand)) AS ssb, sum(m2) AS ssw, any_value(nn) AS nn, any_value(k) AS k
     FROM g{x} JOIN gt{x} USING (feature) GROUP BY feature),
-fa{x} AS (SELECT feature, CASE WHEN ssw = 0 OR k < 2 THEN NULL ELSE (ssb / (k - 1)) / (ssw / (nn - k)) END AS score FROM fs{x})"""
+fa{x} AS (SELECT feature, CASE WHEN k < 2 OR (ssw = 0 AND ssb = 0) THEN NULL WHEN ssw = 0 THEN CAST('Infinity' AS DOUBLE) ELSE (ssb / (k - 1)) / (ssw / (nn - k)) END AS score FROM fs{x})"""
 
 
 LINE_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -191,6 +191,8 @@ def metric_runs_sql(repetitions=(1, 2), levels=(0.5, 0.6, 0.7, 0.8), k=5) -> str
 EMB_WIDE = lambda dims, start=0: "ew AS (SELECT vec_id AS row_id, " + ", ".join(
     f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i:02d}" for i in range(start, start + dims)) + ", label AS DX FROM embeddings)"
 
+EMB = [f"e{i:02d}" for i in range(64)]
+
 EMB_SPLIT = f"""ef AS (SELECT vec_id AS row_id, label AS DX, CAST(embedding AS DOUBLE[]) AS v,
     CAST((row_number() OVER (PARTITION BY label ORDER BY {u32(1, 'vec_id')}, vec_id) - 1) % 3 AS INTEGER) AS fold FROM embeddings),
 etr AS (SELECT * FROM ef WHERE fold <> 0), ete AS (SELECT * FROM ef WHERE fold = 0)"""
@@ -384,12 +386,11 @@ jll AS (SELECT t.row_id, t.DX, cs.c, sum(-0.5 * ln(2 * pi() * cs.var) - (t.x - c
   FROM tel t JOIN cs ON cs.i = t.i GROUP BY t.row_id, t.DX, cs.c),
 tot AS (SELECT row_id, DX, jll.c, s + ln(prior) AS j FROM jll JOIN pri USING (c))
 SELECT row_id, DX, CAST(c AS INTEGER) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY j DESC, c) AS r FROM tot) WHERE r = 1"""
-    f8 = [f"e{i:02d}" for i in range(8)]
-    S["relieff"] = f"""WITH e8 AS (SELECT vec_id AS row_id, label AS DX, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(8))} FROM embeddings),
-rg AS (SELECT {', '.join(f'CASE WHEN max(f{i}) - min(f{i}) = 0 THEN 1.0 ELSE max(f{i}) - min(f{i}) END AS r{i}' for i in range(8))} FROM e8),
-x AS (SELECT row_id, DX, {', '.join(f'f{i} / r{i} AS x{i}' for i in range(8))} FROM e8, rg),
-pr AS (SELECT a.row_id AS aid, a.DX AS ac, b.row_id AS bid, b.DX AS bc, {', '.join(f'abs(a.x{i} - b.x{i}) AS d{i}' for i in range(8))},
-  {' + '.join(f'abs(a.x{i} - b.x{i})' for i in range(8))} AS dist FROM x a JOIN x b ON a.row_id <> b.row_id),
+    S["relieff"] = f"""WITH e64 AS (SELECT vec_id AS row_id, label AS DX, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(64))} FROM embeddings),
+rg AS (SELECT {', '.join(f'CASE WHEN max(f{i}) - min(f{i}) = 0 THEN 1.0 ELSE max(f{i}) - min(f{i}) END AS r{i}' for i in range(64))} FROM e64),
+x AS (SELECT row_id, DX, {', '.join(f'f{i} / r{i} AS x{i}' for i in range(64))} FROM e64, rg),
+pr AS (SELECT a.row_id AS aid, a.DX AS ac, b.row_id AS bid, b.DX AS bc, {', '.join(f'abs(a.x{i} - b.x{i}) AS d{i}' for i in range(64))},
+  {' + '.join(f'abs(a.x{i} - b.x{i})' for i in range(64))} AS dist FROM x a JOIN x b ON a.row_id <> b.row_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY aid, bc ORDER BY dist, bid) AS rn FROM pr),
 nb AS (SELECT * FROM rk WHERE rn <= 10),
 nf AS (SELECT aid, bc, count(*) AS nf FROM nb GROUP BY aid, bc),
@@ -397,7 +398,7 @@ cnt AS (SELECT DX, count(*) AS n FROM x GROUP BY DX), tot AS (SELECT count(*) AS
 wt AS (SELECT nb.*, (CASE WHEN ac = bc THEN -1.0 ELSE (cb.n * 1.0 / m) / (1 - ca.n * 1.0 / m) END) / nf AS w
   FROM nb JOIN nf USING (aid, bc) JOIN cnt ca ON ca.DX = ac JOIN cnt cb ON cb.DX = bc, tot)
 """ + "\nUNION ALL\n".join(f"SELECT '{f}' AS feature, {i} AS position, {r6(f'sum(w * d{i}) / any_value(m)')} AS score FROM wt, tot"
-                             for i, f in enumerate(f8))
+                             for i, f in enumerate(EMB))
 
     # ensemble / metrics
     S["one_hot"] = f"""WITH {WIDE} SELECT row_id, CAST(c AS INTEGER) AS class, CAST(CASE WHEN DX = c THEN 1.0 ELSE 0.0 END AS DOUBLE) AS y FROM w, range(0, 5) r(c)"""
@@ -411,6 +412,14 @@ SELECT a.fold, a.l AS actual, b.l AS predicted, CAST(coalesce(cm.n, 0) AS BIGINT
 LEFT JOIN pr_cm cm ON cm.fold = a.fold AND cm.actual = a.l AND cm.predicted = b.l"""
     S["accuracy"] = P + f"SELECT fold, {r6('avg(CASE WHEN DX = pred THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n FROM pr GROUP BY fold"
     S["auc_micro"] = P + f"SELECT fold, {r6('value')} AS auc FROM pr_m WHERE metric = 'auc'"
+    S["auc_micro_soft"] = f"""WITH {WIDE}, x AS (SELECT row_id, DX, c.class FROM w, (SELECT unnest(range(5)) AS class) c),
+sc AS (SELECT CAST(DX = class AS INTEGER) AS y, floor({uni(9, 'row_id', 'class')} * 3 + CAST(DX = class AS INTEGER)) / 3.0 AS p FROM x),
+h AS (SELECT y, p, count(*) AS n FROM sc GROUP BY y, p),
+t AS (SELECT CAST(i AS INTEGER) AS i, CASE WHEN i = 0 THEN -1e-7 WHEN i = 199 THEN 1 + 1e-7 ELSE i / 199.0 END AS t FROM (SELECT unnest(range(200)) AS i)),
+r AS (SELECT i, sum(CASE WHEN y = 1 AND p > t THEN n ELSE 0 END) / sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS tpr,
+    sum(CASE WHEN y = 0 AND p > t THEN n ELSE 0 END) / sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS fpr FROM t, h GROUP BY i),
+l AS (SELECT tpr, fpr, lead(tpr) OVER (ORDER BY i) AS tpr2, lead(fpr) OVER (ORDER BY i) AS fpr2 FROM r)
+SELECT {r6('sum((fpr - fpr2) * (tpr + tpr2) / 2)')} AS auc FROM l WHERE tpr2 IS NOT NULL"""
     S["class_rates"] = P + f"""SELECT a.fold, a.class, {r6('a.value')} AS sensitivity, {r6('b.value')} AS specificity FROM pr_m a JOIN pr_m b
   ON a.fold = b.fold AND a.class = b.class AND a.metric = 'sensitivity' AND b.metric = 'specificity'"""
     S["fold_average"] = P + f"SELECT metric, class, {r6('avg(value)')} AS value, count(value) AS n_folds FROM pr_m GROUP BY metric, class"

@@ -161,7 +161,10 @@ def q_filter_in_list(spark, sf):
         .select("Feature", "Grouping", "source", F.col("n_nonnull").cast("bigint"))
 
 
-def _metric_runs(spark, sf, repetitions=(1, 2), levels=(0.5, 0.6, 0.7, 0.8), k=5) -> DataFrame:
+NOISE_LEVELS = (0.5, 0.6, 0.7, 0.8)
+
+
+def _metric_runs(spark, sf, repetitions=(1, 2), levels=NOISE_LEVELS, k=5) -> DataFrame:
     """Per-fold metrics of several (repetition, noise level) runs in one pipeline: each order
     row is repeated once per run (the runs are rows, not plan branches), its prediction drawn
     with the run's seed, and all metrics grouped by run."""
@@ -461,7 +464,9 @@ def q_ranking_grid(spark, sf):
     layout = spark.createDataFrame([(v, f, i) for v in grid_views for i, (f, _) in enumerate(parts[v])],
                                    "dataset string, feature string, position int")
     per_view = layout.join(scored, "feature")
-    ranked = selectors.rank_scores(per_view, ["dataset", "selector"])
+    # equal scores go to the later column for select-k-best, to the earlier one otherwise
+    ranked = selectors.rank_scores(per_view.where("selector = 'ig'"), ["dataset", "selector"]).unionByName(
+        selectors.rank_scores(per_view.where("selector = 'univariate'"), ["dataset", "selector"], tie="last"))
     grid = spark.createDataFrame([(d, m, n) for d in grid_views for m in ("ig", "univariate") for n in (1, 2, 3)],
                                  "dataset string, selector string, n int")
     return finish(grid.join(ranked, ["dataset", "selector"]).where(F.col("rank") <= F.col("n"))
@@ -509,7 +514,7 @@ def q_smote(spark, sf):
 
 # 2.5 / 2.10 neighbours and classifiers --------------------------------------------------------
 EMB64 = [f"e{i:02d}" for i in range(64)]
-EMB8 = EMB64[:8]
+BOOST_ROUNDS = 100
 
 
 @query("knn_join")
@@ -527,7 +532,7 @@ def _emb_train_test(spark, sf):
 def q_knn_predict(spark, sf):
     train, test = _emb_train_test(spark, sf)
     s = models.knn_scores(train, test, EMB64, 2).withColumn("slot", F.lit(0))
-    v = ensemble.soft_vote(s, 1)
+    v = ensemble.soft_vote(s, 1, 10)
     return v.join(test.select("row_id", "DX"), "row_id").select("row_id", "DX", "pred")
 
 
@@ -535,55 +540,57 @@ def q_knn_predict(spark, sf):
 def q_gaussian_nb(spark, sf):
     train, test = _emb_train_test(spark, sf)
     s = models.gaussian_nb(train, test, EMB64).withColumn("slot", F.lit(0))
-    v = ensemble.soft_vote(s, 1)
+    v = ensemble.soft_vote(s, 1, 10)
     return v.join(test.select("row_id", "DX"), "row_id").select("row_id", "DX", "pred")
 
 
 @query("relieff")
 def q_relieff(spark, sf):
-    return finish(relieff(tb.embeddings_wide(spark, sf, 8), EMB8, k=10))
+    return finish(relieff(tb.embeddings_wide(spark, sf), EMB64, k=10))
 
 
 @query("rf_importance")
 def q_rf_importance(spark, sf):
-    r = selectors.rank_scores(models.rf_importance(tb.embeddings_wide(spark, sf, 8), EMB8, seed=1))
+    r = selectors.rank_scores(models.rf_importance(tb.embeddings_wide(spark, sf), EMB64, seed=1))
     return r.select("rank", "feature", "position", "score")
 
 
 @query("pca_project")
 def q_pca_project(spark, sf):
-    out, ratios = projection.pca_project(tb.embeddings_wide(spark, sf, 8), EMB8, 3)
-    return out
+    out, ratios = projection.pca_project(tb.embeddings_wide(spark, sf), EMB64, 3)
+    return out.withColumn("explained", F.array(*[F.lit(r) for r in ratios]))
 
 
 @query("lda_project")
 def q_lda_project(spark, sf):
-    out, ratios = projection.lda_project(tb.embeddings_wide(spark, sf, 8), EMB8, 3)
-    return out
+    out, ratios = projection.lda_project(tb.embeddings_wide(spark, sf), EMB64, 3)
+    return out.withColumn("explained", F.array(*[F.lit(r) for r in ratios]))
 
 
 @query("gmm_components")
 def q_gmm_components(spark, sf):
-    return projection.gmm_components(tb.embeddings_wide(spark, sf, 4), EMB8[:4], max_k=3, seed=1)
+    """Every size from 1 to the number of features, on the documents' text counts."""
+    docs = tb.documents_toxic(spark, sf).select(*[F.log1p(f).alias(f) for f in SMOTE_FEATURES])
+    return projection.gmm_components(docs, SMOTE_FEATURES, seed=1)
 
 
 @query("boosted_trees")
 def q_boosted_trees(spark, sf):
     train, test = _emb_train_test(spark, sf)
-    return models.boosted_trees(train, test, EMB8, rounds=10, seed=1)
+    return models.boosted_trees(train, test, EMB64, rounds=BOOST_ROUNDS, seed=1)
 
 
 @query("mlp_classifier")
 def q_mlp_classifier(spark, sf):
     train, test = _emb_train_test(spark, sf)
-    return models.mlp_classifier(train, test, EMB8, 10, layers=[["32", "tanh"], ["10", "softmax"]],
-                                 dropouts=["0", "0"], epochs=30, seed=1)
+    return models.mlp_classifier(train, test, EMB64, 10, layers=[["64", "tanh"], ["64", "tanh"], ["10", "softmax"]],
+                                 dropouts=["0", "0.1", "0"], epochs=40, seed=1)
 
 
 @query("rbf_svc")
 def q_rbf_svc(spark, sf):
     train, test = _emb_train_test(spark, sf)
-    return models.rbf_svc(train, test, EMB8, seed=1)
+    return models.rbf_svc(train, test, EMB64, seed=1)
 
 
 @query("train_slots")
@@ -617,7 +624,7 @@ def q_soft_vote(spark, sf):
     s = (o.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2))))
          .withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(4))))
          .withColumn("p", F.floor(md5_uniform(5, F.col("slot"), F.col("row_id"), F.col("class")) * 4) / 4.0))
-    return finish(ensemble.soft_vote(s, 3))
+    return finish(ensemble.soft_vote(s, 3, 5))
 
 
 @query("confusion_matrix")
@@ -632,10 +639,16 @@ def q_accuracy(spark, sf):
 
 @query("auc_micro")
 def q_auc_micro(spark, sf):
-    p = md5_predictions(spark, sf)
-    y = metrics.one_hot(p.select("row_id", "fold", "DX"), "DX", 5).join(p.select("row_id", "fold"), "row_id")
-    s = metrics.one_hot(p.select("row_id", "pred"), "pred", 5).withColumnRenamed("y", "p")
-    return finish(metrics.auc_micro(y.join(s, ["row_id", "class"]), ["fold"]))
+    return finish(metrics.auc_micro(metrics.flat_pairs(md5_predictions(spark, sf), 5, ["fold"]), ["fold"]))
+
+
+@query("auc_micro_soft")
+def q_auc_micro_soft(spark, sf):
+    """Ungrouped, with soft scores: four values of a draw, one of them on a threshold."""
+    x = order_labels(spark, sf).select("row_id", "DX", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("class"))
+    y = (F.col("DX") == F.col("class")).cast("double")
+    p = F.floor(md5_uniform(9, F.col("row_id"), F.col("class")) * 3 + y) / 3.0
+    return finish(metrics.auc_micro(x.select(y.alias("y"), p.alias("p"))))
 
 
 @query("class_rates")
@@ -659,7 +672,7 @@ def q_boxplot_stats(spark, sf):
 @query("metric_scatter")
 def q_metric_scatter(spark, sf):
     m = _metric_runs(spark, sf, repetitions=(1,))
-    return finish(metrics.metric_scatter(metrics.fold_average(m, ["config"])))
+    return finish(metrics.metric_scatter(metrics.fold_average(m, ["config"]), [f"noise_{lv}" for lv in NOISE_LEVELS]))
 
 
 @query("order_ig_top3")

@@ -45,7 +45,7 @@ def test_lda_caps_components_and_separates(spark):
 
 def test_gmm_single_gaussian_closed_form(spark):
     df = planted(spark)
-    res = {r["k"]: r for r in projection.gmm_components(df, ["n1", "n2"], max_k=2).collect()}
+    res = {r["k"]: r for r in projection.gmm_components(df, ["n1", "n2"], max_k=2, ridge=0.0).collect()}
     X = np.array([[r["n1"], r["n2"]] for r in df.collect()])
     mu, cov = X.mean(axis=0), np.cov(X.T, bias=True)
     inv, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
