@@ -49,27 +49,31 @@ def spaced(text: Column) -> Column:
 
 def template(flat: Column) -> Column:
     """Template of a text in the form of :func:`spaced`; word k stays word k."""
-    names = F.regexp_replace(flat, r"(?<=[^.!?:\s] )\p{Lu}[\p{L}'’-]*(?=[\s\p{P}]|$)", NAME)
+    # patterns begin with what is rare, and look back from there
+    names = F.regexp_replace(flat, r"\p{Lu}(?<=[^.!?:\s] \p{Lu})[\p{L}'’-]*(?=[\s\p{P}]|$)", NAME)
     numbers = F.regexp_replace(names, r"[-+$€£]?\d+(?:[.,:/]\d+)*", NUMBER)
-    units = F.regexp_replace(numbers, rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?=[\s\p{{P}}]|$)", UNIT)
+    units = F.regexp_replace(numbers, rf"(?i)({NUMBER} )(?:{'|'.join(UNITS)})(?=[\s\p{{P}}]|$)", f"$1{UNIT}")
     return F.lower(F.regexp_replace(units, r"[^\p{L}\p{M}<> ]+", ""))
 
 
 def _exploded(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     """(key, flat, words, size, pos, hash) of every window of a table (key, flat)."""
     rows = df.withColumn("words", F.split(template(F.col("flat")), " "))
-    rows = rows.withColumn("__hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    n = F.size("words")
+    rows = rows.select(key, "flat", "words", F.posexplode("words").alias("pos", "word"))
 
-    def run(size):  # the hashes of words are made once, those of windows from them
-        at = F.sequence(F.lit(1), n - F.lit(size - 1))
-        return F.when(n >= size, F.transform(at, lambda i: F.xxhash64(F.slice("__hashes", i, size)))).otherwise(
-            F.array().cast("array<bigint>"))
+    def run(size):  # of words that lie in the text; others are null
+        return F.when(F.col("pos") <= F.size("words") - size, F.xxhash64(*[F.get("words", F.col("pos") + k) for k in range(size)]))
     if len(sizes) == 1:
-        return rows.select(key, "flat", "words", F.lit(sizes[0]).alias("size"), F.posexplode(run(sizes[0])).alias("pos", "hash"))
-    runs = F.array(*[F.struct(F.lit(s).alias("size"), run(s).alias("run")) for s in sizes])
-    return (rows.select(key, "flat", "words", F.inline(runs))
-            .select(key, "flat", "words", "size", F.posexplode("run").alias("pos", "hash")))
+        rows = rows.select(key, "flat", "words", F.lit(sizes[0]).alias("size"), "pos", run(sizes[0]).alias("hash"))
+    else:
+        runs = F.array(*[F.struct(F.lit(s).alias("size"), run(s).alias("hash")) for s in sizes])
+        rows = rows.select(key, "flat", "words", "pos", F.inline(runs))
+    return rows.where(F.col("hash").isNotNull())
+
+
+def bare(value: Column) -> Column:
+    """A slot's value without the punctuation around it."""
+    return F.lower(F.regexp_replace(value, r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", ""))
 
 
 def part_of(words: Column) -> Column:
@@ -105,7 +109,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int
     hits = hits.where(F.col("doc_words") == F.col("item_words"))
     slot = F.filter(F.arrays_zip("item_words", "item_values", "doc_values"),
                     lambda s: s["item_words"].rlike(SLOT))
-    slots = F.transform(slot, lambda s: F.struct(s["item_words"].alias("kind"), s["item_values"].alias("a"), s["doc_values"].alias("b")))
+    slots = F.transform(slot, lambda s: F.struct(s["item_words"].alias("kind"), bare(s["item_values"]).alias("a"),
+                                                     bare(s["doc_values"]).alias("b")))
     found = (hits.select("doc_id", "item_id", "shift", "item_pos", slots.alias("slots"))
              .groupBy("doc_id", "item_id", "shift")
              .agg(F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
