@@ -412,6 +412,29 @@ SELECT a.fold, a.l AS actual, b.l AS predicted, CAST(coalesce(cm.n, 0) AS BIGINT
 LEFT JOIN pr_cm cm ON cm.fold = a.fold AND cm.actual = a.l AND cm.predicted = b.l"""
     S["accuracy"] = P + f"SELECT fold, {r6('avg(CASE WHEN DX = pred THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n FROM pr GROUP BY fold"
     S["auc_micro"] = P + f"SELECT fold, {r6('value')} AS auc FROM pr_m WHERE metric = 'auc'"
+    S["csv_round_trip"] = """SELECT c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""
+    S["csv_inferred"] = f"""SELECT c_mktsegment, CAST(sum(c_custkey) AS BIGINT) AS key_sum, {r6('avg(c_acctbal)')} AS mean_acctbal
+FROM customer GROUP BY c_mktsegment"""
+    S["left_join_composite"] = """SELECT a.l_orderkey, a.l_linenumber, round(CAST(a.l_quantity AS DOUBLE), 6) AS l_quantity,
+    round(CAST(b.l_quantity AS DOUBLE), 6) AS returned_qty
+FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND b.l_returnflag = 'R'"""
+    S["left_join_duplicates"] = """SELECT o_orderkey AS row_id, o_orderpriority, l_linenumber, round(CAST(l_quantity AS DOUBLE), 6) AS l_quantity
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey"""
+    nulls = f"""{CUST_RAW}, nb AS (SELECT c_custkey AS row_id, acctbal, CAST(nation_code AS DOUBLE) AS nation_code, CAST(NULL AS DOUBLE) AS nothing,
+    CAST({case_codes('c_mktsegment', tb.SEGMENT_LABELS)} AS DOUBLE) AS exact,
+    CASE WHEN c_custkey % 13 <> 0 THEN {case_codes('c_mktsegment', tb.SEGMENT_LABELS)} END AS DX FROM cust_raw)"""
+    nfeats = ["acctbal", "nation_code", "nothing", "exact"]
+    nlong = " UNION ALL ".join(f"SELECT row_id, DX, '{f}' AS feature, {f} AS value FROM nb" for f in nfeats)
+    names = ", ".join(f"('{f}', {i})" for i, f in enumerate(nfeats))
+    S["anova_nulls"] = f"""WITH {nulls}, lg AS ({nlong}),\n{anova_ctes('lg')},
+ft AS (SELECT * FROM (VALUES {names}) t(feature, position))
+SELECT feature, CAST(position AS INTEGER) AS position, {r6("CASE WHEN score = CAST('Infinity' AS DOUBLE) THEN -1.0 ELSE score END")} AS score
+FROM ft LEFT JOIN fa USING (feature)"""
+    S["info_gain_nulls"] = f"""WITH {nulls}, lg AS ({nlong}),\n{mi_ctes('lg')},
+ft AS (SELECT * FROM (VALUES {names}) t(feature, position))
+SELECT feature, CAST(position AS INTEGER) AS position, {r6('mi')} AS score FROM ft LEFT JOIN mi USING (feature)"""
+    S["folds_null_labels"] = f"""WITH {nulls} SELECT row_id, DX,
+    CAST((row_number() OVER (PARTITION BY DX ORDER BY {u32(1, 'row_id')}, row_id) - 1) % 4 AS INTEGER) AS fold FROM nb"""
     S["auc_micro_soft"] = f"""WITH {WIDE}, x AS (SELECT row_id, DX, c.class FROM w, (SELECT unnest(range(5)) AS class) c),
 sc AS (SELECT CAST(DX = class AS INTEGER) AS y, floor({uni(9, 'row_id', 'class')} * 3 + CAST(DX = class AS INTEGER)) / 3.0 AS p FROM x),
 h AS (SELECT y, p, count(*) AS n FROM sc GROUP BY y, p),

@@ -62,15 +62,17 @@ def lineitem_dataset(spark, sf):
                      "l_linenumber", F.col("l_returnflag").alias("DX"))
 
 
-def raw_modalities(spark, sf) -> dict[str, DataFrame]:
-    return ds.modality_datasets(tb.order_table(spark, sf), tb.full_catalog(spark), tb.MODALITIES)
+def wide_table(spark, sf) -> DataFrame:
+    """The enriched entity table, joined once and written: for queries that read it more than
+    once (fitted means, then the data; several datasets)."""
+    return write_and_read(tb.order_table(spark, sf), "wide")
 
 
 def cleaned_modalities(spark, sf) -> dict[str, DataFrame]:
     """Each modality cleaned by its own rule program; the programs' means are fitted by one
     aggregate over the wide table, and each modality is a projection of it."""
     from foldwise.operators.rules import fit_together
-    wide = tb.order_table(spark, sf)
+    wide = wide_table(spark, sf)
     rules = tb.rule_groups()
     raw = ds.modality_datasets(wide, tb.full_catalog(spark), tb.MODALITIES)
     programs = {n: RuleProgram(d, rules[n]) for n, d in raw.items()}
@@ -83,7 +85,7 @@ def cleaned_modalities(spark, sf) -> dict[str, DataFrame]:
 def cleaned_views(spark, sf) -> dict[str, DataFrame]:
     """Modalities cleaned by their own rule programs; since no program filters rows, every
     view is one projection of the wide table (no joins)."""
-    wide = tb.order_table(spark, sf)
+    wide = wide_table(spark, sf)
     rules = tb.rule_groups()
     raw = ds.modality_datasets(wide, tb.full_catalog(spark), tb.MODALITIES)
     programs = {n: RuleProgram(d, rules[n]) for n, d in raw.items()}
@@ -154,6 +156,32 @@ def q_feature_catalog_union(spark, sf):
         .select("Feature", "Grouping", "source", F.col("n_nonnull").cast("bigint"))
 
 
+CSV_SCHEMA = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+@query("csv_round_trip")
+def q_csv_round_trip(spark, sf):
+    """Customers to CSV with a header, read back through an alias with an explicit schema."""
+    from foldwise.session import scratch_path
+    from foldwise.sources.catalog import Catalog, Entry
+    from foldwise.sources.sink import write_table
+    cols = [c.split()[0] for c in CSV_SCHEMA.split(", ")]
+    path = write_table(tb.table(spark, sf, "customer", cols), scratch_path(spark, "customer_csv"), fmt="csv")
+    return Catalog({"customer": Entry(path, "csv", CSV_SCHEMA)}).read(spark, "customer")
+
+
+@query("csv_inferred")
+def q_csv_inferred(spark, sf):
+    """The same file with inferred types, as the reference reads; per segment."""
+    from foldwise.session import scratch_path
+    from foldwise.sources.catalog import Catalog, Entry
+    from foldwise.sources.sink import write_table
+    path = write_table(tb.table(spark, sf, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"]),
+                       scratch_path(spark, "customer_csv"), fmt="csv")
+    c = Catalog({"customer": Entry(path, "csv")}).read(spark, "customer", ["c_mktsegment", "c_custkey", "c_acctbal"])
+    return finish(c.groupBy("c_mktsegment").agg(F.sum("c_custkey").cast("bigint").alias("key_sum"), F.avg("c_acctbal").alias("mean_acctbal")))
+
+
 @query("filter_in_list")
 def q_filter_in_list(spark, sf):
     cat = _tagged_catalog(spark).filter(F.col("Grouping").isin(tb.MODALITIES["customer"]))
@@ -233,32 +261,74 @@ def q_left_join_enrich_variant(spark, sf):
         "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "n_lines", "c_mktsegment", "c_acctbal")
 
 
+@query("left_join_composite")
+def q_left_join_composite(spark, sf):
+    """A two-column key whose right side repeats keys and misses some: lines enriched by the
+    returned lines of the same order and line number."""
+    cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
+    li = tb.table(spark, sf, "lineitem", cols)
+    back = li.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("returned_qty"))
+    return finish(left_join_enrich(li.select(*cols[:3]), [(back, ["l_orderkey", "l_linenumber"])]))
+
+
+@query("left_join_duplicates")
+def q_left_join_duplicates(spark, sf):
+    """Duplicate right keys multiply rows, as in SQL: orders with each of their lines."""
+    o = tb.table(spark, sf, "orders", ["o_orderkey", "o_orderpriority"]).withColumnRenamed("o_orderkey", "row_id")
+    li = tb.table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"])
+    return finish(left_join_enrich(o, [(li, {"row_id": "l_orderkey"})]))
+
+
+@query("anova_nulls")
+def q_anova_nulls(spark, sf):
+    """ANOVA on columns with NULL values, NULL labels, no value at all, and a perfect one."""
+    c = _null_bearing(spark, sf)
+    return finish(selectors.anova_f(c, NULL_FEATURES).withColumn("score", F.when(F.col("score") < float("inf"), F.col("score"))
+                                                                 .otherwise(F.when(F.col("score").isNotNull(), F.lit(-1.0)))))
+
+
+@query("info_gain_nulls")
+def q_info_gain_nulls(spark, sf):
+    return finish(selectors.info_gain(_null_bearing(spark, sf), NULL_FEATURES))
+
+
+@query("folds_null_labels")
+def q_folds_null_labels(spark, sf):
+    return sampling.stratified_folds(_null_bearing(spark, sf).select("row_id", "DX"), 4, 1)
+
+
+NULL_FEATURES = ["acctbal", "nation_code", "nothing", "exact"]
+
+
+def _null_bearing(spark, sf) -> DataFrame:
+    c = tb.customer_raw(spark, sf)
+    dx = F.when(F.col("c_custkey") % 13 != 0, label_encode("c_mktsegment", tb.SEGMENT_LABELS))
+    return c.select(F.col("c_custkey").alias("row_id"), "acctbal", "nation_code", F.lit(None).cast("double").alias("nothing"),
+                    label_encode("c_mktsegment", tb.SEGMENT_LABELS).cast("double").alias("exact"), dx.alias("DX"))
+
+
 @query("feature_subset")
 def q_feature_subset(spark, sf):
     return finish(ds.feature_subset(tb.order_table(spark, sf), tb.full_catalog(spark), tb.MODALITIES["customer"]))
 
 
-def _counts_long(name: str, df: DataFrame, label="dataset") -> DataFrame:
-    feats = ds.features_of(df)
-    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{f}`")).alias(f) for f in feats])
-    return wide.unpivot(["__n"], feats, "feature", "n_nonnull").select(
-        F.lit(name).alias(label), "feature", F.col("n_nonnull").cast("bigint"), F.col("__n").cast("bigint").alias("n_rows"))
-
-
 @query("modality_datasets")
 def q_modality_datasets(spark, sf):
-    out = None
-    for name, df in raw_modalities(spark, sf).items():
-        s = _counts_long(name, df)
-        out = s if out is None else out.unionByName(s)
-    return out
+    """All modalities from one aggregate of the wide table."""
+    wide = tb.order_table(spark, sf)
+    parts = {n: ds.features_of(d) for n, d in ds.modality_datasets(wide, tb.full_catalog(spark), tb.MODALITIES).items()}
+    feats = sorted({f for fs in parts.values() for f in fs})
+    counts = wide.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{f}`")).alias(f) for f in feats])
+    rows = [F.struct(F.lit(n).alias("dataset"), F.lit(f).alias("feature"), F.col(f"`{f}`").cast("bigint").alias("n_nonnull"),
+                     F.col("__n").cast("bigint").alias("n_rows")) for n, fs in parts.items() for f in fs]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def cleaned_parts(spark, sf, views: bool = False):
     """(wide table, {name: [(feature, cleaning expression)]}) for the modalities (or views):
     all cleaned datasets are projections of the one wide table, fitted by one aggregate."""
     from foldwise.operators.rules import fit_together
-    wide = tb.order_table(spark, sf)
+    wide = wide_table(spark, sf)
     rules = tb.rule_groups()
     raw = ds.modality_datasets(wide, tb.full_catalog(spark), tb.MODALITIES)
     programs = {n: RuleProgram(d, rules[n]) for n, d in raw.items()}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -14,17 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.driver.memory": "16g",
-    # wide projections with many aliases (SMOTE, ReliefF) make constraint inference blow up
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
-RUNTIME_CONF = {"spark.sql.constraintPropagation.enabled": "false"}
-
-
-def apply_runtime_conf(spark: SparkSession) -> None:
-    for k, v in RUNTIME_CONF.items():
-        spark.conf.set(k, v)
+_written: dict[str, list[str]] = {}  # application id -> scratch tables
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -40,7 +35,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    apply_runtime_conf(spark)
     checkpoint_dir(spark)
     return spark
 
@@ -48,16 +42,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is read, never replaced. Only when it is
-    unset (local tests) a private scratch folder is created and registered.
+    On a cluster this is set by the deployment and is read, never replaced; without it there
+    is no folder that all executors see, which is an error. Only a session whose executors
+    are threads of this process (master ``local``) gets a private folder instead, removed at
+    the end.
     """
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not path:
-        path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        # unset only in local tests: use a private scratch folder
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="foldwise-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -65,6 +61,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-path of the shared checkpoint folder for written intermediate tables."""
-    import uuid
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this application; returns how many. For callers that are
+    done with all results so far (results are lazy and may still read them)."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(hadoop).delete(path, True)
+    return len(paths)
