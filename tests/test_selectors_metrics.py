@@ -72,15 +72,15 @@ def test_fold_ranks_do_not_depend_on_bucket_count(spark):
 def test_soft_vote_tie_lowest(spark):
     s = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 0.5), (1, 1, 0, 0.5), (1, 1, 1, 0.5)],
                               "row_id long, slot int, class int, p double")
-    assert ensemble.soft_vote(s, 2).collect()[0]["pred"] == 0
+    assert ensemble.soft_vote(s, 2, 2).collect()[0]["pred"] == 0
 
 
 def test_soft_vote_slot_order_invariant(spark):
     rows = [(r, s, c, ((r * 7 + s * 3 + c) % 5) / 5.0) for r in range(20) for s in range(3) for c in range(4)]
     a = spark.createDataFrame(rows, "row_id long, slot int, class int, p double")
     b = a.withColumn("slot", 2 - F.col("slot"))
-    va = {r["row_id"]: r["pred"] for r in ensemble.soft_vote(a, 3).collect()}
-    vb = {r["row_id"]: r["pred"] for r in ensemble.soft_vote(b, 3).collect()}
+    va = {r["row_id"]: r["pred"] for r in ensemble.soft_vote(a, 3, 4).collect()}
+    vb = {r["row_id"]: r["pred"] for r in ensemble.soft_vote(b, 3, 4).collect()}
     assert va == vb
 
 
