@@ -412,6 +412,9 @@ SELECT a.fold, a.l AS actual, b.l AS predicted, CAST(coalesce(cm.n, 0) AS BIGINT
 LEFT JOIN pr_cm cm ON cm.fold = a.fold AND cm.actual = a.l AND cm.predicted = b.l"""
     S["accuracy"] = P + f"SELECT fold, {r6('avg(CASE WHEN DX = pred THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n FROM pr GROUP BY fold"
     S["auc_micro"] = P + f"SELECT fold, {r6('value')} AS auc FROM pr_m WHERE metric = 'auc'"
+    # what must hold for projections onto all axes, whatever their signs
+    S["pca_axes"] = """SELECT count(*) AS n_rows, CAST(64 AS DOUBLE) AS total_variance, CAST(0 AS DOUBLE) AS largest_covariance FROM embeddings"""
+    S["lda_axes"] = """SELECT count(*) AS n_rows, CAST(0 AS DOUBLE) AS largest_correlation FROM embeddings"""
     S["csv_round_trip"] = """SELECT c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""
     S["csv_inferred"] = f"""SELECT c_mktsegment, CAST(sum(c_custkey) AS BIGINT) AS key_sum, {r6('avg(c_acctbal)')} AS mean_acctbal
 FROM customer GROUP BY c_mktsegment"""

@@ -772,6 +772,43 @@ def q_experiment_run(spark, sf):
     return run_all({k: cfgs[k] for k in ("ORDERS_NB_IG", "ORDERS_FULL_NB")}, views, seed=1)
 
 
+def _docs(spark, sf) -> dict[str, DataFrame]:
+    return {"docs": write_and_read(tb.documents_toxic(spark, sf), "documents_toxic")}
+
+
+@query("experiment_all_slots")
+def q_experiment_all_slots(spark, sf):
+    """Five slots of five families behind five selectors, voting together."""
+    from foldwise.plans.experiment import load_configs, run_all
+    return run_all({"DOCS_ALL_SLOTS": load_configs()["DOCS_ALL_SLOTS"]}, _docs(spark, sf), seed=1)
+
+
+@query("experiment_hold_out")
+def q_experiment_hold_out(spark, sf):
+    from foldwise.plans.experiment import load_configs, run_all
+    return run_all({"DOCS_HOLD_OUT": load_configs()["DOCS_HOLD_OUT"]}, _docs(spark, sf), seed=1)
+
+
+@query("pca_axes")
+def q_pca_axes(spark, sf):
+    """All axes: their variances add up to the number of features, and they do not correlate."""
+    out, _ = projection.pca_project(tb.embeddings_wide(spark, sf), EMB64, 64)
+    total = sum((F.var_pop(f"pc{i}") for i in range(64)), F.lit(0.0))
+    largest = F.greatest(*[F.abs(F.covar_pop(f"pc{i}", f"pc{i + 1}")) for i in range(63)])
+    return finish(out.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("total_variance"), largest.alias("largest_covariance")))
+
+
+@query("lda_axes")
+def q_lda_axes(spark, sf):
+    """The discriminant axes do not correlate within classes."""
+    out, _ = projection.lda_project(tb.embeddings_wide(spark, sf), EMB64, 9)
+    by = out.groupBy("DX").agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop("ld0", f"ld{i}").alias(f"c{i}") for i in range(1, 9)],
+                               *[F.var_pop(f"ld{i}").alias(f"v{i}") for i in range(9)])
+    pooled = F.greatest(*[F.abs(F.sum(F.col(f"c{i}") * F.col("n"))) / F.sqrt(F.sum(F.col("v0") * F.col("n")) * F.sum(F.col(f"v{i}") * F.col("n")))
+                          for i in range(1, 9)])
+    return finish(by.agg(F.sum("n").cast("bigint").alias("n_rows"), pooled.alias("largest_correlation")))
+
+
 @query("repeat_experiments")
 def q_repeat_experiments(spark, sf):
     from foldwise.plans.experiment import load_configs, repeat
