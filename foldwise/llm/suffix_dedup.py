@@ -5,8 +5,8 @@ The suffixes are sorted column by column: a collection of strings takes one symb
 each round, from the right; every round the new suffixes are merged into the collection's
 Burrows-Wheeler transform and array of common prefixes, each read and rewritten front to back
 (Bauer, Cox and Rosone 2013; Cox et al. 2016). Neighbours in the final order whose common
-prefix has LENGTH bytes are repeats. Symbols are words of 8 bytes; a string enters once for
-each of its 8 alignments, so a window is LENGTH / 8 symbols at any start.
+prefix has LENGTH bytes are repeats. Symbols are words of WORD bytes; a string enters once for
+each of its WORD alignments, so a window is LENGTH / WORD symbols at any start.
 
 One collection for a whole corpus would take as many rounds as the longest text has symbols
 and rewrite everything in each. Instead, strings that can share a window meet in small
@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 
 from .common import chunks, texts_of, written
 
-LENGTH, GRAM, WORD = 200, 40, 8
+LENGTH, GRAM, WORD = 200, 40, 20
 GROUP_STRINGS, BATCH_BYTES = 2000, 1 << 19
 #: Windows of a run when a hot group is cut, level by level.
 CUTS = (24, 1)
-_PIECE = 1 << 19  # window starts hashed at once; below 2 ** 20, see anchors()
+_PIECE = 1 << 15  # window starts hashed at once: arrays stay in the cache; below 2 ** 20, see anchors()
 _MUL, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -163,33 +163,31 @@ def sort_collection(symbols: np.ndarray, last: np.ndarray, sizes: np.ndarray, st
     """Suffix order of a collection: (string, suffix length, common prefix with the one before).
 
     String s has sizes[s] symbols, the last at symbols[last[s]], the one before `step` lower.
-    Symbols are at least 1. Round j puts the j-th last symbol of all strings in front of their
+    Symbols are at least 1 and strings have under 64 of them. Round j puts the j-th last symbol of all strings in front of their
     suffixes. A suffix is kept as its first symbol and the place of the rest, so the order of
     new suffixes follows from the transform without comparing strings.
     """
     m = len(sizes)
     low = (1 << 32) - 1
     order = np.arange(m)  # first symbol << 32 | place of the rest; empty suffixes come first
-    bwt = symbols[last]
-    name = np.arange(m) << 16  # string << 16 | suffix length
+    # the transform's symbol << 32 | string << 6 | suffix length
+    bwt = symbols[last].astype(np.int64) << 32 | np.arange(m) << 6
     common = np.zeros(m, np.uint8)
     place = np.arange(m)
     for j in range(int(sizes.max()) if m else 0):
         act = np.flatnonzero(sizes > j)
-        key = bwt[place[act]] << 32 | place[act]
+        key = (bwt[place[act]] & ~low) | place[act]
         by = np.argsort(key)
         key, act = key[by], act[by]
         before = np.searchsorted(order, key)
         at = before + np.arange(len(key))
         kept = np.ones(len(order) + len(key), bool)
         kept[at] = False
-        left = sizes[act] - j - 1
-        previous = np.where(left > 0, symbols[np.maximum(last[act] - step * (j + 1), 0)], 0)
+        previous = np.where(sizes[act] > j + 1, symbols[np.maximum(last[act] - step * (j + 1), 0)], 0).astype(np.int64)
         prefixes = common
-        moved = np.arange(len(order)) + np.cumsum(np.bincount(before, minlength=len(order) + 1))[:len(order)]
+        moved = np.cumsum(np.bincount(before, minlength=len(order) + 1))  # by how much each place moves up
         order = _merge(order, key, at, kept)
-        bwt = _merge(bwt, previous, at, kept)
-        name = _merge(name, act << 16 | j + 1, at, kept)
+        bwt = _merge(bwt, previous << 32 | act << 6 | j + 1, at, kept)
         common = _merge(common, np.zeros(len(at), np.uint8), at, kept)
         border = np.concatenate([at, at + 1])
         border = border[(border > 0) & (border < len(order))]
@@ -198,9 +196,27 @@ def sort_collection(symbols: np.ndarray, last: np.ndarray, sizes: np.ndarray, st
         common[border] = 0
         deep = _range_minimum(prefixes, (a[same] & low) + 1, b[same] & low)
         common[border[same]] = np.minimum(deep, 250) + 1
-        order = (order & ~low) | moved[order & low]
+        order += moved[order & low]
         place[act] = at
-    return name >> 16, name & 0xFFFF, common
+    return (bwt & low) >> 6, bwt & 63, common
+
+
+def word_ranks(x: np.ndarray) -> np.ndarray:
+    """A number for the WORD bytes from each position on, by the rank of a 64-bit hash of them.
+
+    Words in different order than their bytes sort the collection in another, equally good
+    order. (A wrong repeat would need two windows that differ in colliding words only.)"""
+    n = len(x) - WORD
+    wide = np.zeros(len(x) - 7, np.uint64)
+    for i in range(8):
+        wide = wide << np.uint64(8) | x[i:len(x) - 7 + i]
+    h = np.zeros(n, np.uint64)
+    for at in (*range(0, WORD - 7, 8), WORD - 8):  # eight bytes at a time; the last ones may overlap
+        h = (h ^ wide[at:at + n]) * np.uint64(_MUL)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(_MIX | 1)
+        h ^= h >> np.uint64(32)
+    return (np.unique(h, return_inverse=True)[1] + 1).astype(np.int32)
 
 
 def repeated_windows(strings: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,11 +225,8 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray) -> tuple[np.ndar
     need = LENGTH // WORD
     lens = np.fromiter(map(len, strings), np.int64, len(strings))
     begins = np.cumsum(lens) - lens
-    x = np.frombuffer(b"".join(strings) + bytes(WORD), np.uint8).astype(np.uint64)
-    words = np.zeros(len(x) - WORD, np.uint64)
-    for i in range(WORD):
-        words = words << np.uint64(8) | x[i:len(x) - WORD + i]
-    symbols = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
+    x = np.frombuffer(b"".join(strings) + bytes(WORD), np.uint8)
+    symbols = word_ranks(x)
     phases = np.minimum(WORD, lens - LENGTH + 1)
     of = np.repeat(np.arange(len(strings)), phases)
     phase = np.arange(len(of)) - np.repeat(np.cumsum(phases) - phases, phases)
@@ -225,8 +238,8 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray) -> tuple[np.ndar
     weight = np.bincount(group[whole], weights=weights[of[row[whole]]], minlength=int(group[-1]) + 1 if len(group) else 0)
     row, size = row[whole & (weight[group] >= 2)], size[whole & (weight[group] >= 2)]
     string, start = of[row], phase[row] + WORD * (sizes[row] - size)
-    by = np.lexsort((start, string))
-    return string[by], start[by]
+    both = np.sort(string << 32 | start)
+    return both >> 32, both & 0xFFFFFFFF
 
 
 # -- Spark ----------------------------------------------------------------------------------
@@ -346,7 +359,9 @@ def _solve(strings: DataFrame, level: int = 0) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, spans): byte ranges [a, b) that are covered by repeated strings, overlaps not
     yet merged, over (doc_id, text); tag is the crc32 of a text."""
+    # written, so that the join below has two plain shuffles, of which a hot hash can be split
     twice = docs.mapInArrow(_hash_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    twice = written(twice, "repeated-hashes")
     occ = written(docs.mapInArrow(_anchor_rows, _OCC).join(twice, "h", "left_semi"), "anchors")
     rep = F.min(F.struct("doc_id", "tag", "first", "windows", "back"))
     reps = occ.groupBy("h", "d").agg(F.count("*").alias("n"), rep.alias("r")).select("h", "d", "n", "r.*")
