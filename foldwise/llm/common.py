@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foldwise.session import scratch_path
 
 #: Text bytes that a task holds in working arrays at once (one longer text goes alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
