@@ -178,7 +178,7 @@ def one_by_one(encode):
 class SliceTable:
     """Ids of text slices, each distinct slice encoded once; emptied when it holds `limit` slices."""
 
-    def __init__(self, encode_many, limit: int = 400_000):
+    def __init__(self, encode_many, limit: int = 600_000):
         """encode_many: slices -> (ids of all in a row, ids per slice)."""
         self.encode_many, self.limit = encode_many, limit
         self._clear()

@@ -49,6 +49,14 @@ BIT_LENGTH = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 NO_ID = -(1 << 63)
 
 
+def _widest(most: np.ndarray, shift: int, n: int) -> np.ndarray:
+    """The larger of each entry and the one `shift` further on."""
+    out = most.copy()
+    if shift < n:
+        np.maximum(most[:-shift], most[shift:], out=out[:-shift])
+    return out
+
+
 def pack(ids: np.ndarray) -> np.ndarray:
     """Words of an id sequence: from each position the selector that takes most ids."""
     ids = np.ascontiguousarray(ids, np.uint64)
@@ -63,27 +71,21 @@ def pack(ids: np.ndarray) -> np.ndarray:
         if not high.any():
             break
         bits = np.where(high > 0, shift + BIT_LENGTH[high & np.uint64(0xFFFF)], bits).astype(np.uint8)
-    most = {1: bits}  # most[c][i]: widest of ids i .. i + c - 1; the end is padded with zeros
-    c = 1
-    while c < 60:
-        prev = most[c]
-        most[2 * c] = np.maximum(prev, np.concatenate([prev[c:], np.zeros(min(c, n), np.uint8)])[:n])
-        c *= 2
-    choice = np.full(n, ESCAPE, np.uint8)
-    for k in range(len(SELECTORS) - 2, -1, -1):
-        count, width = SELECTORS[k]
-        p = 1 << (count.bit_length() - 1)
-        w = most[p]
-        if not (w <= width).any():
-            continue
-        if count > p:
-            w = np.maximum(w, np.concatenate([w[count - p:], np.zeros(min(count - p, n), np.uint8)])[:n])
-        choice[w <= width] = k
-    jump, at, i = np.array([c for c, _ in SELECTORS] + [1, 1], np.uint8)[choice].tobytes(), [], 0
+    most, span = bits, 1  # most[i]: widest of ids i .. i + span - 1; past the end lie zeros
+    fitting = np.zeros(n, np.uint8)  # selectors that hold the ids from i on: if one does, all before it do
+    for count, width in SELECTORS[-2::-1]:
+        while 2 * span <= count:
+            most, span = _widest(most, span, n), 2 * span
+        ok = (_widest(most, count - span, n) if count > span else most) <= width
+        if not ok.any():
+            break
+        fitting += ok
+    choice = np.where(fitting > 0, len(SELECTORS) - 1 - fitting, ESCAPE).astype(np.uint8)
+    jump, begins, i = np.array([c for c, _ in SELECTORS] + [1, 1], np.uint8)[choice].tobytes(), bytearray(n), 0
     while i < n:
-        at.append(i)
+        begins[i] = 1
         i += jump[i]
-    at = np.array(at)
+    at = np.flatnonzero(np.frombuffer(begins, np.uint8))
     chosen = choice[at]
     words = np.zeros(len(at), np.uint64)
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
@@ -158,12 +160,15 @@ class LibraryEncoder:
         if self.tok.normalizer is not None or type(self.tok.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("slices need a byte-level tokenizer without a normalizer")
         self.model, self.spelling = self.tok.model, {b: c for c, b in byte_of_char().items()}
+        self.space = self.spelling[0x20]  # of printable ASCII, only the space is spelled otherwise
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.table = SliceTable(self._encode)
 
     def _encode(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's model on each slice, spelled in its byte-level alphabet."""
-        found = [[t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.spelling))] for s in slices]
+        spelled = [s.replace(" ", self.space) if s.isascii() and s.isprintable()
+                   else s.encode().decode("latin-1").translate(self.spelling) for s in slices]
+        found = [[t.id for t in self.model.tokenize(s)] for s in spelled]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
