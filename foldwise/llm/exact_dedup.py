@@ -30,12 +30,9 @@ HEAD_CHARS = 32
 
 def _hot_texts(rows: DataFrame, parts: int) -> DataFrame:
     """(hash, salts) of texts with more copies than half a partition's share of rows."""
+    share = max(1, -(-rows.count() // (2 * parts)))
     counts = rows.groupBy(F.xxhash64(_TEXT).alias("__h")).agg(F.count("*").alias("__n"))
-    total = rows.agg(F.count("*").alias("__total"))
-    share = F.greatest(F.ceil(F.col("__total") / F.lit(2 * parts)), F.lit(1))
-    return (counts.join(F.broadcast(total), F.col("__n") * (2 * parts) > F.col("__total"))  # one row
-            .where((F.col("__n") > share) & (F.col("__n") > 1))
-            .select("__h", F.ceil(F.col("__n") / share).cast("int").alias("__salts")))
+    return counts.where(F.col("__n") > share).select("__h", F.ceil(F.col("__n") / F.lit(share)).cast("int").alias("__salts"))
 
 
 def _decide(df: DataFrame, id_col: str, text_col: str, normalise, keep: str, whole_rows: bool) -> DataFrame:
