@@ -249,15 +249,14 @@ _CTX = "h long, d long, n long, back int, data binary"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-    from xxhash import xxh3_64_intdigest
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
     for keys, texts in chunks(batches, 1 << 21):
         data = [t.encode() for t in texts]
         t, h, pos, first, last = anchors_of_texts(data)
         back = pos - first
         digest = np.array([xxh3_64_intdigest(data[i][a:b + LENGTH], seed=k) for i, a, b, k in
                            zip(t.tolist(), first.tolist(), last.tolist(), back.tolist())], np.uint64).view(np.int64)
-        tags = np.array([zlib.crc32(x) for x in data], np.int64)
+        tags = np.array([xxh64_intdigest(x, 42) for x in data], np.uint64).view(np.int64)  # as F.xxhash64
         yield pa.RecordBatch.from_arrays(
             [pa.array(h), pa.array(digest), keys.take(pa.array(t)), pa.array(tags[t]), pa.array(first),
              pa.array((last - first + 1).astype(np.int32)), pa.array(back.astype(np.int32))],
@@ -358,7 +357,7 @@ def _solve(strings: DataFrame, level: int = 0) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, spans): byte ranges [a, b) that are covered by repeated strings, overlaps not
-    yet merged, over (doc_id, text); tag is the crc32 of a text."""
+    yet merged, over (doc_id, text); tag is the 64-bit hash of a text and tells rows of one doc_id apart."""
     # written, so that the join below has two plain shuffles, of which a hot hash can be split
     twice = docs.mapInArrow(_hash_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     twice = written(twice, "repeated-hashes")
@@ -366,7 +365,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rep = F.min(F.struct("doc_id", "tag", "first", "windows", "back"))
     reps = occ.groupBy("h", "d").agg(F.count("*").alias("n"), rep.alias("r")).select("h", "d", "n", "r.*")
     reps = reps.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "d", "n", "back", "first", "windows")).alias("reps"))
-    one = docs.groupBy("doc_id", F.crc32(F.col("text").cast("binary")).alias("tag")).agg(F.first("text").alias("text"))
+    one = docs.groupBy("doc_id", F.xxhash64("text").alias("tag")).agg(F.first("text").alias("text"))
     texts = one.join(reps.withColumnRenamed("doc_id", "__id").withColumnRenamed("tag", "__tag"),
                      F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag")))
     strings = written(texts.select("text", "reps").mapInArrow(_string_rows, _CTX), "strings")
@@ -390,7 +389,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_bytes, removed array<struct<a, b>>, kept binary) of every row."""
     docs = texts_of(df, id_col, text_col)
     spans = repeated_spans(docs).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "spans")
-    rows = docs.withColumn("tag", F.crc32(F.col("text").cast("binary"))).join(
+    rows = docs.withColumn("tag", F.xxhash64("text")).join(
         spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
