@@ -115,10 +115,9 @@ def gaussian_nb(train: DataFrame, test: DataFrame, features: list[str], label: s
 
 # -- k nearest neighbours ---------------------------------------------------------------------
 def knn_scores(train: DataFrame, test: DataFrame, features: list[str], k: int = 2, label: str = "DX",
-               key: str = "row_id", block_rows: int = 20000, train_rows: int | None = None,
-               test_rows: int | None = None) -> DataFrame:
+               key: str = "row_id", block_rows: int = 20000, test_rows: int | None = None) -> DataFrame:
     """Uniform vote share of each class among the k nearest training rows."""
-    nn = knn_join(test, train, features, k, key=key, block_rows=block_rows, right_rows=train_rows)
+    nn = knn_join(test, train, features, k, key=key, block_rows=block_rows, left_rows=test_rows)
     lab = train.select(F.col(key).alias("right_id"), F.col(label).alias("class"))
     return (nn.join(lab, "right_id").groupBy(F.col("left_id").alias(key), "class")
             .agg((F.count(F.lit(1)) / F.lit(float(k))).alias("p")))

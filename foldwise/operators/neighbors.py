@@ -1,11 +1,12 @@
 """Exact k-nearest-neighbour join that leaves out what cannot be a neighbour.
 
-Without ``by`` keys, rows are assigned to the nearest of at most MAX_PIVOTS pivots (Lu et al.,
+Rows are assigned to the nearest of at most MAX_PIVOTS pivots (Lu et al.,
 "Efficient processing of k nearest neighbor joins using MapReduce", 2012). The left radius of
 each cell and the k smallest pivot distances of each right cell give, by the triangle
 inequality, a bound on the k-th neighbour distance of every row of a left cell; a right row
 is sent only to the cells whose bound it can meet. The result is exact whatever the pivots;
-they decide only how much is left out. With ``by`` keys, the keys take the place of cells.
+they decide only how much is left out. A join whose pairs fit one round of tasks is not cut. With ``by`` keys (class, fold), each of their values has
+bounds of its own.
 
 A cell's rows are dealt into blocks, and every left block meets every right block once in a
 ``cogroup`` task, where numpy keeps each left row's best k. Only k rows per (left row, right
@@ -28,7 +29,9 @@ from foldwise.sources.sink import write_and_read
 
 OUT_SCHEMA = "left_id long, right_id long, dist double, grp string"
 METRICS = ("euclidean", "manhattan")
-MAX_PIVOTS = 256
+MAX_PIVOTS, MAX_BOUNDS = 256, 1_000_000
+#: Row pairs that one task compares in about a second.
+TASK_PAIRS = 5_000_000
 #: Bounds are widened by this share, so that rounding never leaves out a neighbour.
 SLACK = 1e-9
 
@@ -81,12 +84,16 @@ def _parallelism(df: DataFrame) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _cells(left: DataFrame, right: DataFrame, k: int, metric: str, n_right: int) -> tuple[DataFrame, DataFrame]:
+def _cells(left: DataFrame, right: DataFrame, k: int, metric: str, n_right: int, groups: int = 1) -> tuple[DataFrame, DataFrame]:
     """(left with its cell, right with a row for every cell that it can matter to), both written.
-    The driver holds the pivots and k + 1 numbers for each."""
-    count = min(MAX_PIVOTS, max(1, math.isqrt(n_right)))
+
+    Both sides have __id, __grp and x; bounds hold within a group. The driver holds the pivots
+    and, for every group, a radius and k distances a pivot: with many groups there are fewer
+    pivots, so that this stays under MAX_BOUNDS numbers."""
+    count = max(1, min(MAX_PIVOTS, math.isqrt(n_right), MAX_BOUNDS // (groups * k)))
     rows = right.orderBy(F.xxhash64("__id"), "__id").limit(count).select("x").collect()
     pivots = np.array([r["x"] for r in rows], dtype=np.float64)
+    lcols, rcols = (", ".join(f"{c} {t}" for c, t in df.dtypes) for df in (left, right))
 
     def assign(batches):
         for pdf in batches:
@@ -96,29 +103,35 @@ def _cells(left: DataFrame, right: DataFrame, k: int, metric: str, n_right: int)
 
     def nearest(batches):
         for pdf in assign(batches):
-            first = pdf.sort_values(["cell", "d"]).groupby("cell").head(k)
-            yield first[["cell", "d"]]
-    left = write_and_read(left.mapInPandas(assign, "__id long, __grp string, x array<double>, cell int, d double"), "knn_left")
-    radius = {r["cell"]: r["u"] for r in left.groupBy("cell").agg(F.max("d").alias("u")).collect()}
-    w = Window.partitionBy("cell").orderBy("d")  # over k rows of each cell and batch
-    close = (right.mapInPandas(nearest, "cell int, d double").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
-             .select("cell", "d").collect())
+            first = pdf.sort_values(["__grp", "cell", "d"]).groupby(["__grp", "cell"]).head(k)
+            yield first[["__grp", "cell", "d"]]
+    left = write_and_read(left.mapInPandas(assign, f"{lcols}, cell int, d double"), "knn_left")
+    w = Window.partitionBy("__grp", "cell").orderBy("d")  # over k rows of each cell and batch
+    close = (right.mapInPandas(nearest, "__grp string, cell int, d double").withColumn("n", F.row_number().over(w))
+             .where(F.col("n") <= k).groupBy("__grp").agg(F.collect_list(F.struct("cell", "d")).alias("close")))
+    radii = left.groupBy("__grp", "cell").agg(F.max("d").alias("u")).groupBy("__grp").agg(
+        F.collect_list(F.struct("cell", "u")).alias("radii"))
     between = _distances(pivots, pivots, metric)
-    bound = np.full(len(pivots), -np.inf)  # how far from pivot i a right row may be to matter to cell i
-    for i, u in radius.items():
-        to_kth = sorted(u + between[i, r["cell"]] + r["d"] for r in close)
-        bound[i] = (u + to_kth[k - 1]) * (1 + SLACK) if len(to_kth) >= k else np.inf
+    bounds = {}  # group -> how far from each pivot a right row may be to matter to that cell
+    for r in radii.join(close, "__grp").collect():
+        cell, d = np.array([c["cell"] for c in r["close"]]), np.array([c["d"] for c in r["close"]])
+        bound = np.full(len(pivots), -np.inf)
+        for c in r["radii"]:
+            to_kth = np.sort(c["u"] + between[c["cell"], cell] + d)
+            bound[c["cell"]] = (c["u"] + to_kth[k - 1]) * (1 + SLACK) if len(to_kth) >= k else np.inf
+        bounds[r["__grp"]] = bound
 
     def send(batches):
         for pdf in batches:
-            if len(pdf):
-                d = _distances(_matrix(pdf), pivots, metric)
-                r, c = np.nonzero(d * (1 - SLACK) <= bound[None, :])
-                out = pdf.iloc[r].copy()
-                out["cell"] = c.astype(np.int32)
-                yield out
-    right = write_and_read(right.mapInPandas(send, "__id long, x array<double>, cell int"), "knn_right")
-    return left.drop("d"), right
+            for grp, rows in pdf.groupby("__grp"):
+                if grp in bounds:
+                    d = _distances(_matrix(rows), pivots, metric)
+                    r, c = np.nonzero(d * (1 - SLACK) <= bounds[grp][None, :])
+                    out = rows.iloc[r].copy()
+                    out["cell"] = c.astype(np.int32)
+                    yield out
+    right = write_and_read(right.mapInPandas(send, f"{rcols}, cell int"), "knn_right")
+    return left.drop("d"), right.drop("__grp")
 
 
 def _in_blocks(left: DataFrame, right: DataFrame, keys: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -145,13 +158,12 @@ def _in_blocks(left: DataFrame, right: DataFrame, keys: list[str], block_rows: i
 def knn_join(left: DataFrame, right: DataFrame, features: list[str], k: int, key: str = "row_id",
              by: list[str] | None = None, exclude_self: bool = False, metric: str = "euclidean",
              block_rows: int = 20000, right_features: list[str] | None = None,
-             left_by: list[str] | None = None, left_rows: int | None = None,
-             right_rows: int | None = None, nulls: str = "error") -> DataFrame:
+             left_by: list[str] | None = None, left_rows: int | None = None, nulls: str = "error") -> DataFrame:
     """(left_id, rank, right_id, dist): the k nearest right rows of every left row.
 
     ``by``: right columns whose values must equal the left's ``left_by`` columns (default the
     same names) — e.g. the class for same-class neighbours; NULL equals nothing. ``nulls``:
-    policy for rows with a NULL feature on either side. ``right_rows``: the number of right
+    policy for rows with a NULL feature on either side. ``left_rows``: the number of left
     rows, if known.
     """
     if metric not in METRICS:
@@ -159,15 +171,23 @@ def knn_join(left: DataFrame, right: DataFrame, features: list[str], k: int, key
     by = list(by or [])
     left_by = list(left_by or by)
     rf = right_features or features
-    grp = F.concat_ws("|", *[F.col(c).cast("string") for c in left_by]) if left_by else F.lit("")
-    keys = [f"__by{i}" for i in range(len(by))] or ["cell"]
-    L = _vectors(complete_features(left, features, "k-NN join, left side", nulls), key, features, grp.alias("__grp"),
+    def group(cols):
+        return (F.concat_ws("|", *[F.col(c).cast("string") for c in cols]) if cols else F.lit("")).alias("__grp")
+    keys = [f"__by{i}" for i in range(len(by))]
+    L = _vectors(complete_features(left, features, "k-NN join, left side", nulls), key, features, group(left_by),
                  *[F.col(c).alias(f"__by{i}") for i, c in enumerate(left_by)])
-    R = _vectors(complete_features(right, rf, "k-NN join, right side", nulls), key, rf,
+    R = _vectors(complete_features(right, rf, "k-NN join, right side", nulls), key, rf, group(by),
                  *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)])
-    if not by:
-        n_right = right_rows if right_rows is not None else R.count()
-        L, R = _cells(L, R, k + int(exclude_self), metric, n_right)
+    sizes = R.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("__grp").alias("g")).first()
+    n_right, groups = sizes["n"], max(1, sizes["g"])
+    n_left = left_rows if left_rows is not None else L.count()
+    # looking for what to leave out takes passes of its own; it pays beyond one round of tasks
+    if n_left * n_right / groups > TASK_PAIRS * _parallelism(left):
+        L, R = _cells(L, R, k + int(exclude_self), metric, n_right, groups)
+        keys.append("cell")
+    elif not by:
+        L, R = L.withColumn("cell", F.lit(0)), R.withColumn("cell", F.lit(0))
+        keys.append("cell")
     L, R = _in_blocks(L, R, keys, block_rows)
     blocks = [*keys, "__lb", "__rb"]
     cand = L.groupBy(*blocks).cogroup(R.groupBy(*blocks)).applyInPandas(_block_topk(k, exclude_self, metric), OUT_SCHEMA)

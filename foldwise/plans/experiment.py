@@ -209,9 +209,7 @@ def run_all(cfgs: dict, datasets: dict[str, DataFrame], seed: int = 1) -> DataFr
 
 
 def repeat(cfgs: dict, datasets: dict[str, DataFrame], seeds=tuple(range(1, 21))) -> DataFrame:
-    """Every config once per seed; all draws derive from the seed."""
-    out = None
-    for s in seeds:
-        m = run_all(cfgs, datasets, s).withColumn("repetition", F.lit(s))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Every config once per seed, a few seeds at a time; all draws derive from the seed."""
+    with ThreadPool(PARALLEL_FITS) as pool:
+        runs = pool.map(lambda s: run_all(cfgs, datasets, s).withColumn("repetition", F.lit(s)), seeds)
+    return reduce(DataFrame.unionByName, runs)

@@ -177,7 +177,7 @@ def fold_metric_ctes(pred: str, n_classes: int = 5, extra: str = "") -> str:
   UNION ALL SELECT {ex}fold, 'specificity', class, CASE WHEN tn + fp = 0 THEN NULL ELSE tn / (tn + fp) END FROM {pred}_rates)"""
 
 
-def metric_runs_sql(repetitions=(1, 2), levels=(0.5, 0.6, 0.7, 0.8), k=5) -> str:
+def metric_runs_sql(repetitions=tuple(range(1, 21)), levels=(0.5, 0.6, 0.7, 0.8), k=5) -> str:
     ctes, unions = [], []
     for rep in repetitions:
         for lv in levels:
@@ -487,7 +487,7 @@ UNION ALL
 SELECT row_id, CAST(c AS INTEGER), {r6('exp(j - m) / z')}, 1 FROM jt JOIN jm USING (row_id) JOIN js USING (row_id)"""
     S["cross_validate"] = cv_sql()
     S["repeat_experiments"] = " UNION ALL ".join(
-        f"SELECT config, fold, metric, class, value, {rep} AS repetition FROM ({cv_sql(seed=rep)})" for rep in (1, 2))
+        f"SELECT config, fold, metric, class, value, {rep} AS repetition FROM ({cv_sql(seed=rep)})" for rep in range(1, 21))
     S["order_ig_top3"] = f"""WITH {CLEAN_W}, lg AS ({long_sql('cw', VIEW_COLS['buyer'])}),\n{mi_ctes('lg')}
 SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY mi DESC, {pos_case(VIEW_COLS['buyer'])}) AS INTEGER) AS rank, feature, {r6('mi')} AS score FROM mi) WHERE rank <= 3"""
     return S

@@ -192,7 +192,7 @@ def q_filter_in_list(spark, sf):
 NOISE_LEVELS = (0.5, 0.6, 0.7, 0.8)
 
 
-def _metric_runs(spark, sf, repetitions=(1, 2), levels=NOISE_LEVELS, k=5) -> DataFrame:
+def _metric_runs(spark, sf, repetitions=tuple(range(1, 21)), levels=NOISE_LEVELS, k=5) -> DataFrame:
     """Per-fold metrics of several (repetition, noise level) runs in one pipeline: each order
     row is repeated once per run (the runs are rows, not plan branches), its prediction drawn
     with the run's seed, and all metrics grouped by run."""
@@ -813,5 +813,6 @@ def q_lda_axes(spark, sf):
 def q_repeat_experiments(spark, sf):
     from foldwise.plans.experiment import load_configs, repeat
     cfgs = {"EMB_KNN_NB": load_configs()["EMB_KNN_NB"]}
-    data = {"emb_a": tb.embeddings_wide(spark, sf, 32, 0), "emb_b": tb.embeddings_wide(spark, sf, 32, 32)}
-    return finish(repeat(cfgs, data, seeds=(1, 2)))
+    data = {"emb_a": write_and_read(tb.embeddings_wide(spark, sf, 32, 0), "emb_a"),
+            "emb_b": write_and_read(tb.embeddings_wide(spark, sf, 32, 32), "emb_b")}
+    return finish(repeat(cfgs, data))

@@ -11,6 +11,7 @@ import __spark_entry__ as E
 from tests.conftest import ROOT, SF
 
 SQL = E.oracle_sql()
+SLOW = {"repeat_experiments"}  # twenty runs of what cross_validate checks; tools/check_oracle.py compares it
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,7 @@ def test_every_query_has_a_name_and_sql_keys_are_queries():
     assert len(qs) >= 60
 
 
-@pytest.mark.parametrize("name", sorted(n for n in SQL if not n.startswith("op")))
+@pytest.mark.parametrize("name", sorted(n for n in SQL if not re.match(r"op\d", n) and n not in SLOW))
 def test_query_matches_sql(spark, con, name):
     import sys
     sys.path.insert(0, os.path.join(ROOT, "tools"))

@@ -60,8 +60,25 @@ def clusters(spark):
     return spark.createDataFrame(rows, "row_id long, " + ", ".join(f"f{i} double" for i in range(5))), x
 
 
+def test_pruned_join_within_groups_is_exact(clusters, monkeypatch):
+    monkeypatch.setattr(neighbors, "TASK_PAIRS", 0)
+    df, x = clusters
+    feats = [f"f{i}" for i in range(5)]
+    df2 = df.withColumn("g", F.when(F.col("row_id") % 7 != 0, (F.col("row_id") / 3).cast("int") % 4))
+    group = [None if i * 3 % 7 == 0 else i % 4 for i in range(len(x))]
+    got = {}
+    for r in knn_join(df2, df2, feats, 3, by=["g"], exclude_self=True, block_rows=60).collect():
+        got.setdefault(r["left_id"], []).append((r["rank"], r["right_id"]))
+    d = neighbors._distances(x, x, "euclidean")
+    for i in range(len(x)):
+        want = sorted((d[i, j], j * 3) for j in range(len(x)) if j != i and group[i] is not None and group[j] == group[i])[:3]
+        assert sorted(got.get(i * 3, [])) == [(n + 1, j) for n, (_, j) in enumerate(want)]
+
+
+@pytest.mark.parametrize("pairs", [0, 5_000_000])
 @pytest.mark.parametrize("metric", neighbors.METRICS)
-def test_pruned_join_is_exact(clusters, metric):
+def test_pruned_join_is_exact(clusters, metric, pairs, monkeypatch):
+    monkeypatch.setattr(neighbors, "TASK_PAIRS", pairs)  # 0: cut whatever the size
     df, x = clusters
     feats = [f"f{i}" for i in range(5)]
     got = {}
@@ -78,7 +95,7 @@ def test_pruned_join_is_exact(clusters, metric):
 def test_rows_out_of_reach_are_left_out(clusters):
     df, x = clusters
     v = neighbors._vectors(df, "row_id", [f"f{i}" for i in range(5)], F.lit("").alias("__grp"))
-    left, right = neighbors._cells(v, v.drop("__grp"), 5, "euclidean", len(x))
+    left, right = neighbors._cells(v, v, 5, "euclidean", len(x))
     n, m = ({r["cell"]: r["count"] for r in t.groupBy("cell").count().collect()} for t in (left, right))
     assert sum(n.values()) == len(x)
     compared = sum(n[c] * m.get(c, 0) for c in n)
