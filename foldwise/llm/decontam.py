@@ -1,22 +1,22 @@
 """Benchmark decontamination by template canonicalisation (operator 8), DataFrame functions only.
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after
-a number turn into typed placeholders, all else is lower-cased without punctuation. Windows
-of template words of all benchmark items are hash-joined with the windows of all documents;
-joined windows are compared word by word. Windows of a document and an item at one distance
-form an alignment, whose slots must be consistent: a benchmark value stands for one document
-value and the other way round. So a question with other numbers or names is found, and a
-chance agreement of templates with contradicting values is not.
+a number turn into typed placeholders, all else is lower-cased without punctuation. Windows of all benchmark items are hash-joined with the windows of all documents; joined windows are compared
+word by word and agree if one form does. Windows of a document text and an item at one
+distance form an alignment, whose slots must be consistent: a benchmark value stands for one
+document value and the other way round. So a question with other numbers or names is found, and a chance agreement of
+templates with contradicting values is not.
 
 An alignment is a leak if at least `need` of its windows agree (all, if the item has fewer).
 Items shorter than the window are one window of their own length. Windows in which more than
-half the words are placeholders prove nothing and are left out.
+half the words are placeholders prove nothing.
 
 The benchmark side is broadcast if its windows, which are counted, are at most
 BROADCAST_WINDOWS; else both sides are shuffled by hash.
 
 Defined results: null or empty texts and items without words match nothing; null ids match
-like others; repeated documents or items give repeated pairs once per pair of ids; other
+like others; texts that share an id are judged one by one; repeated documents or items give
+repeated pairs once per pair of ids; other
 columns are not read; empty tables give an empty result; texts of any length count whole.
 """
 
@@ -47,28 +47,38 @@ def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\s ]+", " "))
 
 
-def template(flat: Column) -> Column:
+INSIDE = r"\p{Lu}(?<=[^.!?:\s] \p{Lu})[\p{L}'’-]*(?=[\s\p{P}]|$)"
+
+
+def template(flat: Column, capitals: str = INSIDE) -> Column:
     """Template of a text in the form of :func:`spaced`; word k stays word k."""
     # patterns begin with what is rare, and look back from there
-    names = F.regexp_replace(flat, r"\p{Lu}(?<=[^.!?:\s] \p{Lu})[\p{L}'’-]*(?=[\s\p{P}]|$)", NAME)
+    names = F.regexp_replace(flat, capitals, NAME)
     numbers = F.regexp_replace(names, r"[-+$€£]?\d+(?:[.,:/]\d+)*", NUMBER)
     units = F.regexp_replace(numbers, rf"(?i)({NUMBER} )(?:{'|'.join(UNITS)})(?=[\s\p{{P}}]|$)", f"$1{UNIT}")
     return F.lower(F.regexp_replace(units, r"[^\p{L}\p{M}<> ]+", ""))
 
 
-def _exploded(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, flat, words, size, pos, hash) of every window of a table (key, flat)."""
-    rows = df.withColumn("words", F.split(template(F.col("flat")), " "))
-    rows = rows.select(key, "flat", "words", F.posexplode("words").alias("pos", "word"))
+#: The forms under which a window may agree: names inside sentences.
+FORMS = {"inside": template}
+
 
-    def run(size):  # of words that lie in the text; others are null
-        return F.when(F.col("pos") <= F.size("words") - size, F.xxhash64(*[F.get("words", F.col("pos") + k) for k in range(size)]))
+def _exploded(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """(keys, flat, a word array of each form, size, pos, hashes) of every window of a table (keys, flat)."""
+    rows = df.select(*keys, "flat", *[F.split(form(F.col("flat")), " ").alias(name) for name, form in FORMS.items()])
+    rows = rows.select(*keys, "flat", *FORMS, F.posexplode("inside").alias("pos", "word"))
+
+    def run(name, size):
+        return F.xxhash64(*[F.get(name, F.col("pos") + k) for k in range(size)])
+
+    def hashes(size):  # of words that lie in the text; others are null
+        return F.when(F.col("pos") <= F.size("inside") - size, F.array(*[run(name, size) for name in FORMS]))
     if len(sizes) == 1:
-        rows = rows.select(key, "flat", "words", F.lit(sizes[0]).alias("size"), "pos", run(sizes[0]).alias("hash"))
+        rows = rows.select(*keys, "flat", *FORMS, F.lit(sizes[0]).alias("size"), "pos", hashes(sizes[0]).alias("hashes"))
     else:
-        runs = F.array(*[F.struct(F.lit(s).alias("size"), run(s).alias("hash")) for s in sizes])
-        rows = rows.select(key, "flat", "words", "pos", F.inline(runs))
-    return rows.where(F.col("hash").isNotNull())
+        runs = F.array(*[F.struct(F.lit(s).alias("size"), hashes(s).alias("hashes")) for s in sizes])
+        rows = rows.select(*keys, "flat", *FORMS, "pos", F.inline(runs))
+    return rows.where(F.col("hashes").isNotNull())
 
 
 def bare(value: Column) -> Column:
@@ -81,52 +91,76 @@ def part_of(words: Column) -> Column:
     return F.slice(words, F.col("pos") + 1, F.col("size"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int = NEED) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, n_slots, reparameterised) of every leaked pair."""
-    flat = docs.select(docs["doc_id"].cast("long").alias("doc_id"), spaced(docs["text"]).alias("flat")).where("flat <> ''")
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, need: int) -> DataFrame:
+    """(doc_id, tag, item_id, n_windows, item_windows, n_slots, reparameterised) of every leak; a tag is a hash of
+    the text, so that rows of one id stay apart."""
+    text = docs["text"].cast("string")
+    flat = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), spaced(text).alias("flat")).where("flat <> ''")
     items = (benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), spaced(benchmark["text"]).alias("flat"))
-             .where("flat <> ''").distinct())
+             .where("flat <> ''").distinct().withColumn("item_tag", F.xxhash64("flat")))
     words_of_item = F.size(F.split("flat", " "))
     items = items.withColumn("own", F.least(words_of_item, F.lit(window)))
     sizes = sorted(r["own"] for r in items.select("own").distinct().collect())  # at most `window` numbers
     if not sizes:
         sizes = [window]
-    own = [_exploded(items.where(F.col("own") == size).select("item_id", "flat"), "item_id", [size]) for size in sizes]
+    own = [_exploded(items.where(F.col("own") == size).select("item_id", "item_tag", "flat"), ["item_id", "item_tag"], [size])
+           for size in sizes]
     item_windows = reduce(DataFrame.unionByName, own)
-    item_windows = item_windows.select("item_id", "size", F.col("pos").alias("item_pos"), "hash",
-                                       part_of(F.col("words")).alias("item_words"),
+
+    def proves(name):  # the words themselves always do
+        words = part_of(F.col(name))
+        return F.lit(True) if name == "literal" else F.size(F.filter(words, lambda w: w.rlike(SLOT))) * 2 <= F.col("size")
+    hashes = [F.when(proves(name), F.get("hashes", F.lit(k))) for k, name in enumerate(FORMS)]
+    item_windows = item_windows.select("item_id", "item_tag", "size", F.col("pos").alias("item_pos"),
+                                       F.array_distinct(F.array_compact(F.array(*hashes))).alias("hashes"),
+                                       *[F.when(proves(name), part_of(F.col(name))).alias(f"item_{name}") for name in FORMS],
                                        part_of(F.split("flat", " ")).alias("item_values"))
-    holes = F.size(F.filter("item_words", lambda w: w.rlike(SLOT)))
-    item_windows = item_windows.where(holes * 2 <= F.col("size"))
-    item_windows = written(item_windows, "item-windows")
-    per_item = item_windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
-    if item_windows.count() <= BROADCAST_WINDOWS:
+    item_windows = written(item_windows.where("item_inside is not null"), "item-windows")
+    by_form = F.col("item_inside").isNotNull()
+    per_item = item_windows.groupBy("item_id", "item_tag").agg(F.count("*").alias("item_windows"), F.count_if(by_form).alias("form_windows"))
+    few = item_windows.count() <= BROADCAST_WINDOWS
+    item_windows = item_windows.withColumn("hash", F.explode("hashes")).drop("hashes")
+    if few:
         item_windows, per_item = F.broadcast(item_windows), F.broadcast(per_item)
-    doc_windows = _exploded(flat, "doc_id", sizes)
+    doc_windows = _exploded(flat, ["doc_id", "tag"], sizes)
+    doc_windows = doc_windows.withColumn("hash", F.explode(F.array_distinct("hashes")))
     hits = doc_windows.join(item_windows, ["hash", "size"]).select(
-        "doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_words", "item_values",
-        part_of(F.col("words")).alias("doc_words"), part_of(F.split("flat", " ")).alias("doc_values"))
-    hits = hits.where(F.col("doc_words") == F.col("item_words"))
-    slot = F.filter(F.arrays_zip("item_words", "item_values", "doc_values"),
-                    lambda s: s["item_words"].rlike(SLOT))
-    slots = F.transform(slot, lambda s: F.struct(s["item_words"].alias("kind"), bare(s["item_values"]).alias("a"),
-                                                     bare(s["doc_values"]).alias("b")))
-    found = (hits.select("doc_id", "item_id", "shift", "item_pos", slots.alias("slots"))
-             .groupBy("doc_id", "item_id", "shift")
-             .agg(F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
+        "doc_id", "tag", "item_id", "item_tag", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
+        *[f"item_{name}" for name in FORMS], "item_values",
+        *[part_of(F.col(name)).alias(f"doc_{name}") for name in FORMS], part_of(F.split("flat", " ")).alias("doc_values"))
+    same = {name: F.coalesce(F.col(f"doc_{name}") == F.col(f"item_{name}"), F.lit(False)) for name in FORMS}
+    hits = hits.withColumns({"by_form": same["inside"], "agrees": reduce(Column.__or__, same.values())}).where("agrees")
+    # the slots of the form that agrees; words that agree themselves are slots with their own values
+    kinds = F.when(same["inside"], F.col("item_inside")).otherwise(F.col("doc_inside"))
+    hits = hits.withColumn("kinds", kinds)
+    slot = F.filter(F.arrays_zip("kinds", "item_values", "doc_values"), lambda s: s["kinds"].rlike(SLOT))
+    slots = F.transform(slot, lambda s: F.struct(s["kinds"].alias("kind"), bare(s["item_values"]).alias("a"),
+                                                 bare(s["doc_values"]).alias("b")))
+    found = (hits.select("doc_id", "tag", "item_id", "item_tag", "shift", "item_pos", "by_form", slots.alias("slots"))
+             .groupBy("doc_id", "tag", "item_id", "item_tag", "shift")
+             .agg(F.countDistinct("item_pos").alias("n_windows"),
+                  F.countDistinct(F.when(F.col("by_form"), F.col("item_pos"))).alias("n_form"),
+                  F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
     pairs = F.size("slots")
     one_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["a"]))))
     other = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["b"]))))
     changed = F.exists("slots", lambda s: s["a"] != s["b"])
-    found = (found.where((pairs == one_way) & (pairs == other)).join(per_item, "item_id")
-             .where(F.col("n_windows") >= F.least(F.lit(need), "item_windows")))
-    best = F.max(F.struct("n_windows", pairs.alias("n_slots"), (~changed).alias("same")))
-    return (found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.first("item_windows").alias("item_windows"))
-            .select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), "item_windows",
+    enough = ((F.col("n_windows") >= F.least(F.lit(need), "item_windows"))
+              | ((F.col("form_windows") > 0) & (F.col("n_form") >= F.least(F.lit(need), "form_windows"))))
+    return (found.where((pairs == one_way) & (pairs == other)).join(per_item, ["item_id", "item_tag"]).where(enough)
+            .select("doc_id", "tag", "item_id", "n_windows", "item_windows", pairs.alias("n_slots"), (~changed).alias("same")))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int = NEED) -> DataFrame:
+    """(doc_id, item_id, n_windows, item_windows, n_slots, reparameterised) of every leaked pair."""
+    best = F.max(F.struct("n_windows", "n_slots", "same", "item_windows"))
+    return (_found(docs, benchmark, window, need).groupBy("doc_id", "item_id").agg(best.alias("best"))
+            .select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.item_windows").alias("item_windows"),
                     F.col("best.n_slots").cast("long").alias("n_slots"), (~F.col("best.same")).alias("reparameterised")))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int = NEED) -> DataFrame:
     """The rows of documents without a leak, with their own columns."""
-    bad = leaks(docs, benchmark, window, need).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__leaked"]), "left_anti")
+    bad = _found(docs, benchmark, window, need).select(F.col("doc_id").alias("__leaked"), F.col("tag").alias("__tag")).distinct()
+    own = docs["doc_id"].cast("long").eqNullSafe(bad["__leaked"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__tag"])
+    return docs.join(bad, own, "left_anti")
