@@ -3,9 +3,9 @@
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after
 a number turn into typed placeholders, all else is lower-cased without punctuation. Windows of all benchmark items are hash-joined with the windows of all documents; joined windows are compared
 word by word and agree if one form does. Windows of a document text and an item at one
-distance form an alignment, whose slots must be consistent: a benchmark value stands for one
-document value and the other way round. So a question with other numbers or names is found, and a chance agreement of
-templates with contradicting values is not.
+distance form an alignment, whose names must be consistent: a benchmark name stands for one
+document name. So a question with other numbers or names is found, and a chance agreement of
+templates with contradicting names is not. Numbers and units may change one by one.
 
 An alignment is a leak if at least `need` of its windows agree (all, if the item has fewer).
 Items shorter than the window are one window of their own length. Windows in which more than
@@ -142,12 +142,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, need: int) -> Dat
                   F.countDistinct(F.when(F.col("by_form"), F.col("item_pos"))).alias("n_form"),
                   F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
     pairs = F.size("slots")
-    one_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["a"]))))
-    other = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["b"]))))
+    names = F.filter("slots", lambda s: s["kind"].contains(NAME))
+    one_name = F.size(names) == F.size(F.array_distinct(F.transform(names, lambda s: F.struct(s["kind"], s["a"]))))
     changed = F.exists("slots", lambda s: s["a"] != s["b"])
     enough = ((F.col("n_windows") >= F.least(F.lit(need), "item_windows"))
               | ((F.col("form_windows") > 0) & (F.col("n_form") >= F.least(F.lit(need), "form_windows"))))
-    return (found.where((pairs == one_way) & (pairs == other)).join(per_item, ["item_id", "item_tag"]).where(enough)
+    return (found.where(one_name).join(per_item, ["item_id", "item_tag"]).where(enough)
             .select("doc_id", "tag", "item_id", "n_windows", "item_windows", pairs.alias("n_slots"), (~changed).alias("same")))
 
 

@@ -21,3 +21,10 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark):
     apart = ["x " + " ".join(words[:11]), "x " + " ".join(words[:7]) + " y " + " ".join(words[8:])]
     df = spark.createDataFrame([(7, t) for t in apart], "doc_id long, text string")
     assert decontam.leaks(df, bench, need=6).count() == 0 and decontam.keep_clean(df, bench).count() == 2
+
+
+def test_numbers_may_change_one_by_one(spark):
+    item = "a box holds 3 apples and 5 oranges and a bag holds 3 pears so how many fruits are there in all of them"
+    equal = item.replace("3 apples and 5 oranges", "4 apples and 4 oranges")
+    one = item.replace("3 pears", "7 pears")
+    assert _leaked(spark, [equal, one], [item]) == {(0, 0), (1, 0)}
