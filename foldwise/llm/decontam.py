@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation (operator 8), DataFrame functions only.
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after
-a number turn into typed placeholders, all else is lower-cased without punctuation. Windows of all benchmark items are hash-joined with the windows of all documents; joined windows are compared
+a number turn into typed placeholders, all else is lower-cased without punctuation. A second
+form has the words themselves, numbers and signs included. Windows of all benchmark items in
+these forms are hash-joined with the windows of all documents; joined windows are compared
 word by word and agree if one form does. Windows of a document text and an item at one
 distance form an alignment, whose names must be consistent: a benchmark name stands for one
 document name. So a question with other numbers or names is found, and a chance agreement of
@@ -9,7 +11,7 @@ templates with contradicting names is not. Numbers and units may change one by o
 
 An alignment is a leak if at least `need` of its windows agree (all, if the item has fewer).
 Items shorter than the window are one window of their own length. Windows in which more than
-half the words are placeholders prove nothing.
+half the words are placeholders prove nothing as templates and count only word by word.
 
 The benchmark side is broadcast if its windows, which are counted, are at most
 BROADCAST_WINDOWS; else both sides are shuffled by hash.
@@ -59,8 +61,14 @@ def template(flat: Column, capitals: str = INSIDE) -> Column:
     return F.lower(F.regexp_replace(units, r"[^\p{L}\p{M}<> ]+", ""))
 
 
-#: The forms under which a window may agree: names inside sentences.
-FORMS = {"inside": template}
+def literal(flat: Column) -> Column:
+    """A text with its numbers and signs, lower-cased, without the other punctuation."""
+    bare_words = F.regexp_replace(flat, r"[^\p{L}\p{M}\p{N}\p{S}./,:%* -]+|(?<![\p{Nd} ])[./,:-]+|[./,:-]+(?![\p{Nd} ])|[.,:]+(?= |$)", "")
+    return F.lower(bare_words)
+
+
+#: The forms under which a window may agree: names inside sentences, and the words themselves.
+FORMS = {"inside": template, "literal": literal}
 
 
 def _exploded(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
@@ -115,7 +123,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, need: int) -> Dat
                                        F.array_distinct(F.array_compact(F.array(*hashes))).alias("hashes"),
                                        *[F.when(proves(name), part_of(F.col(name))).alias(f"item_{name}") for name in FORMS],
                                        part_of(F.split("flat", " ")).alias("item_values"))
-    item_windows = written(item_windows.where("item_inside is not null"), "item-windows")
+    item_windows = written(item_windows, "item-windows")
     by_form = F.col("item_inside").isNotNull()
     per_item = item_windows.groupBy("item_id", "item_tag").agg(F.count("*").alias("item_windows"), F.count_if(by_form).alias("form_windows"))
     few = item_windows.count() <= BROADCAST_WINDOWS

@@ -28,3 +28,10 @@ def test_numbers_may_change_one_by_one(spark):
     equal = item.replace("3 apples and 5 oranges", "4 apples and 4 oranges")
     one = item.replace("3 pears", "7 pears")
     assert _leaked(spark, [equal, one], [item]) == {(0, 0), (1, 0)}
+
+
+def test_exact_copies_are_found_whatever_the_template_says(spark):
+    items = ["What is the capital city of France?", "12 + 30 = 42"]
+    docs = ["Geography quiz\nWhat is the capital city of France?\nParis.", "We know that 12 + 30 = 42, as it should be.",
+            "We know that 12 - 30 = 42 is wrong.", "We know that 13 + 29 = 42."]
+    assert _leaked(spark, docs, items) == {(0, 0), (1, 1)}
