@@ -2,6 +2,7 @@
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after
 a number turn into typed placeholders, all else is lower-cased without punctuation. A second
+template takes every capitalised word as a name, also at the start of a sentence; a third
 form has the words themselves, numbers and signs included. Windows of all benchmark items in
 these forms are hash-joined with the windows of all documents; joined windows are compared
 word by word and agree if one form does. Windows of a document text and an item at one
@@ -50,6 +51,7 @@ def spaced(text: Column) -> Column:
 
 
 INSIDE = r"\p{Lu}(?<=[^.!?:\s] \p{Lu})[\p{L}'’-]*(?=[\s\p{P}]|$)"
+ANYWHERE = r"\p{Lu}(?<=(?:^|[ \"“‘'(])\p{Lu})[\p{L}'’-]*(?=[\s\p{P}]|$)"
 
 
 def template(flat: Column, capitals: str = INSIDE) -> Column:
@@ -67,8 +69,8 @@ def literal(flat: Column) -> Column:
     return F.lower(bare_words)
 
 
-#: The forms under which a window may agree: names inside sentences, and the words themselves.
-FORMS = {"inside": template, "literal": literal}
+#: The forms under which a window may agree: names inside sentences, names anywhere, and the words themselves.
+FORMS = {"inside": template, "anywhere": lambda flat: template(flat, ANYWHERE), "literal": literal}
 
 
 def _exploded(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
@@ -124,7 +126,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, need: int) -> Dat
                                        *[F.when(proves(name), part_of(F.col(name))).alias(f"item_{name}") for name in FORMS],
                                        part_of(F.split("flat", " ")).alias("item_values"))
     item_windows = written(item_windows, "item-windows")
-    by_form = F.col("item_inside").isNotNull()
+    by_form = F.col("item_inside").isNotNull() | F.col("item_anywhere").isNotNull()
     per_item = item_windows.groupBy("item_id", "item_tag").agg(F.count("*").alias("item_windows"), F.count_if(by_form).alias("form_windows"))
     few = item_windows.count() <= BROADCAST_WINDOWS
     item_windows = item_windows.withColumn("hash", F.explode("hashes")).drop("hashes")
@@ -137,9 +139,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, need: int) -> Dat
         *[f"item_{name}" for name in FORMS], "item_values",
         *[part_of(F.col(name)).alias(f"doc_{name}") for name in FORMS], part_of(F.split("flat", " ")).alias("doc_values"))
     same = {name: F.coalesce(F.col(f"doc_{name}") == F.col(f"item_{name}"), F.lit(False)) for name in FORMS}
-    hits = hits.withColumns({"by_form": same["inside"], "agrees": reduce(Column.__or__, same.values())}).where("agrees")
+    hits = hits.withColumns({"by_form": same["inside"] | same["anywhere"], "agrees": reduce(Column.__or__, same.values())}).where("agrees")
     # the slots of the form that agrees; words that agree themselves are slots with their own values
-    kinds = F.when(same["inside"], F.col("item_inside")).otherwise(F.col("doc_inside"))
+    kinds = F.when(same["inside"], F.col("item_inside")).when(same["anywhere"], F.col("item_anywhere")).otherwise(F.col("doc_inside"))
     hits = hits.withColumn("kinds", kinds)
     slot = F.filter(F.arrays_zip("kinds", "item_values", "doc_values"), lambda s: s["kinds"].rlike(SLOT))
     slots = F.transform(slot, lambda s: F.struct(s["kinds"].alias("kind"), bare(s["item_values"]).alias("a"),

@@ -35,3 +35,10 @@ def test_exact_copies_are_found_whatever_the_template_says(spark):
     docs = ["Geography quiz\nWhat is the capital city of France?\nParis.", "We know that 12 + 30 = 42, as it should be.",
             "We know that 12 - 30 = 42 is wrong.", "We know that 13 + 29 = 42."]
     assert _leaked(spark, docs, items) == {(0, 0), (1, 1)}
+
+
+def test_names_that_begin_sentences_may_change(spark):
+    item = "Tom has 3 red apples in a basket. Tom gives Anna 2 of them at noon. Tom eats one on the way home."
+    copy = item.replace("Tom", "Bob").replace("Anna", "Carla").replace("3", "8")
+    docs = ["Some words before. " + copy, copy.replace("Bob eats", "Dan eats").replace("Bob gives", "Eve gives")]
+    assert _leaked(spark, docs, [item]) == {(0, 0)}
