@@ -8,8 +8,10 @@ marker stands for the text. No knowledge of the template is used.
 
 The default template escapes its control strings inside texts, so its output can be read back.
 
-Conversations stream through a task in order of turn; it holds one window of turns, never a
-conversation. Defined results: a null text or role is an empty one; a null conv_id is a
+Every turn is rendered after its whole conversation so far, which the task then holds, and the
+work grows with the square of its turns. Only for templates known to join turns that are
+rendered one by one (LOCAL) is a window of turns enough: there the task never holds a
+conversation. Conversations stream through a task in order of turn. Defined results: a null text or role is an empty one; a null conv_id is a
 conversation of its own; turns sort by number (null first), then role and text, and repeated
 rows are turns of their own; other columns are not read; an empty table gives an empty
 result; texts of any length are formatted whole.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns that one rendering covers; older ones of a longer conversation leave the window.
+#: Turns that one rendering covers under a template of LOCAL; older ones of a longer conversation leave the window.
 WINDOW_TURNS = 32
 MARKER = "\ue0f1\ue0f2\ue0f3"
 
@@ -61,6 +63,10 @@ def default_template(turns: list[Turn]) -> str:
     return "".join(f"### {role_name(r)}: {escape(t)}{END}" for r, t in turns)
 
 
+#: Templates whose output is that of each turn alone, joined.
+LOCAL = {default_template}
+
+
 def read_turn(piece: str) -> Turn:
     """(role, text) of one formatted turn of the default template."""
     head = _HEADER.match(piece)
@@ -74,16 +80,17 @@ class RewritesHistory(ValueError):
 
 
 class IncrementalRenderer:
-    """Spans of successive turns under a template of which nothing is known."""
+    """Spans of successive turns under a template of which nothing is known; with a window, under
+    one for which the turns before the window do not matter."""
 
-    def __init__(self, template: Template, window: int = WINDOW_TURNS):
-        self.template, self.window = template, max(2, window)
+    def __init__(self, template: Template, window: int | None = None):
+        self.template, self.window = template, window and max(2, window)
         self.turns: list[Turn] = []
         self.out = ""
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         """(appended string, begin and end of the text in it)."""
-        if len(self.turns) >= self.window:  # go on from the last half of the window
+        if self.window and len(self.turns) >= self.window:  # go on from the last half of the window
             self.turns = self.turns[-(self.window // 2):]
             self.out = self.template(self.turns)
         marker = MARKER
@@ -108,7 +115,7 @@ class IncrementalRenderer:
 
 
 def rewrites_history(template: Template, turns: list[Turn]) -> bool:
-    r = IncrementalRenderer(template, len(turns) + 2)
+    r = IncrementalRenderer(template)
     try:
         for role, text in turns:
             r.add(role, text)
@@ -117,14 +124,16 @@ def rewrites_history(template: Template, turns: list[Turn]) -> bool:
     return False
 
 
-def format_turns(df: DataFrame, template: Template = default_template, window: int = WINDOW_TURNS,
+def format_turns(df: DataFrame, template: Template = default_template, window: int | None = None,
                  loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, nth, piece, text_begin, text_end, in_loss, rewrites), conversations in order.
 
     The formatted conversation is its pieces in a row; `in_loss` marks turns whose text is
-    learned. `rewrites` is true from the first turn on that changes earlier output; that
+    learned. Without a `window`, templates of LOCAL have one of WINDOW_TURNS and others none. `rewrites` is true from the first turn on that changes earlier output; that
     turn and those after it have no piece.
     """
+    if window is None and template in LOCAL:
+        window = WINDOW_TURNS
     empty = F.lit("")
     turns = df.select(df["conv_id"].cast("long").alias("conv_id"), df["turn"].cast("long").alias("turn"),
                       F.coalesce(df["role"].cast("string"), empty).alias("role"),

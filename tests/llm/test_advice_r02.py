@@ -1,6 +1,6 @@
 """Cases of the second review: each failed before the change it came with."""
 
-from foldwise.llm import decontam
+from foldwise.llm import chat, decontam
 
 
 def _leaked(spark, docs, items):
@@ -42,3 +42,16 @@ def test_names_that_begin_sentences_may_change(spark):
     copy = item.replace("Tom", "Bob").replace("Anna", "Carla").replace("3", "8")
     docs = ["Some words before. " + copy, copy.replace("Bob eats", "Dan eats").replace("Bob gives", "Eve gives")]
     assert _leaked(spark, docs, [item]) == {(0, 0)}
+
+
+def test_turns_are_rendered_after_the_whole_conversation(spark):
+    def numbered(turns):
+        return "".join(f"{i}[{r}]{t}" for i, (r, t) in enumerate(turns))
+
+    def late(turns):
+        return ("new" if len(turns) > 60 else "") + "".join(f"[{r}]{t}" for r, t in turns)
+    turns = [("user" if i % 2 else "assistant", f"t{i}") for i in range(100)]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format_turns(df, template=numbered).collect(), key=lambda r: r["nth"])
+    assert "".join(r["piece"] for r in got) == numbered(turns)
+    assert {r["nth"] for r in chat.format_turns(df, template=late).where("rewrites").collect()} == set(range(60, 100))
