@@ -1,6 +1,10 @@
 """Cases of the second review: each failed before the change it came with."""
 
-from foldwise.llm import chat, decontam
+from collections import Counter
+
+import numpy as np
+
+from foldwise.llm import chat, decontam, quality
 
 
 def _leaked(spark, docs, items):
@@ -55,3 +59,30 @@ def test_turns_are_rendered_after_the_whole_conversation(spark):
     got = sorted(chat.format_turns(df, template=numbered).collect(), key=lambda r: r["nth"])
     assert "".join(r["piece"] for r in got) == numbered(turns)
     assert {r["nth"] for r in chat.format_turns(df, template=late).where("rewrites").collect()} == set(range(60, 100))
+
+
+def test_copies_of_a_labelled_row_reach_the_driver_once(spark, monkeypatch):
+    rows = [(i % 40, f"some text {i % 40} of {'words' * (i % 5)}") for i in range(400)] + [(40, "a hot text")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, n=None, accept=0.3: seen.append((x, y, n)) or fit(x, y, n, accept))
+    quality.learn(docs, labels)
+    quality.learn(docs, labels, max_labels=10)
+    copies = Counter(d for d, _ in rows)
+    (x, y, n), (few, _, _) = seen
+    assert len(x) <= 41 and len(few) <= 10 and n.sum() == sum(copies[d] for d in range(41) if quality_trains(d))
+
+
+def quality_trains(d):
+    import zlib
+    return zlib.crc32(str(d).encode()) % 5 != 0
+
+
+def test_weights_are_copies():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + rng.normal(scale=0.5, size=300) > 0).astype(int)
+    n = rng.integers(1, 6, 300)
+    a, b = quality.fit(x, y, n), quality.fit(np.repeat(x, n, axis=0), np.repeat(y, n))
+    assert np.allclose(a.mean, b.mean) and np.allclose(a.scale, b.scale) and np.allclose(a.w, b.w, atol=0.15)
