@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from foldwise.llm import chat, decontam, quality
+from foldwise.llm import chat, decontam, pst, quality
 
 
 def _leaked(spark, docs, items):
@@ -86,3 +86,19 @@ def test_weights_are_copies():
     n = rng.integers(1, 6, 300)
     a, b = quality.fit(x, y, n), quality.fit(np.repeat(x, n, axis=0), np.repeat(y, n))
     assert np.allclose(a.mean, b.mean) and np.allclose(a.scale, b.scale) and np.allclose(a.w, b.w, atol=0.15)
+
+
+def test_a_pair_of_words_is_learned_however_large_the_corpus(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 50, 400))) for i in range(500)]
+    trained = _ids(12, False)
+    held = _ids(2, True)
+    rows += [(d, f"w{d % 50} quark zeta") for d in trained] + [(held[0], "w1 quark zeta"), (held[1], "w1 zeta quark")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pst.score_documents(df).where(f"doc_id in ({held[0]}, {held[1]})").collect()}
+    assert got[held[0]] - got[held[1]] > 2  # 12 of some 170 000 tokens
+
+
+def _ids(n, held_out):
+    import zlib
+    return [d for d in range(1000, 1100) if (zlib.crc32(str(d).encode()) % 7 == 2) == held_out][:n]
