@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldwise.session import scratch_path
 
-from . import bpe, chat, decontam, exact_dedup, pst, quality, simhash, simple8b, suffix_dedup, token_counts
+from . import bpe, chat, decontam, exact_dedup, lexical, pst, quality, simhash, simple8b, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_suffix_dedup, op4_token_counts, op5_byte_bpe, op6_quality,
-                                   op7_chat_format, op8_decontamination, op9_suffix_tree_lm, op10_simhash)}
+                                   op7_chat_format, op8_decontamination, op9_suffix_tree_lm, op10_simhash, op11_lexical_search)}
