@@ -52,4 +52,4 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op11_lexical_search": OP11}
+    return {"op2_exact_dedup": OP2, "op11_lexical_search": OP11, "op12_hard_negatives": OP12}
