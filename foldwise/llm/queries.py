@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldwise.session import scratch_path
 
-from . import bpe, chat, decontam, exact_dedup, hard_negatives, lexical, pst, quality, simhash, simple8b, suffix_dedup, token_counts
+from . import bpe, chat, decontam, exact_dedup, hard_negatives, lexical, pst, quality, simhash, simple8b, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.transform("embedding", lambda x: F.lit(256.0) * x.cast("double")), F.col("id") % 50 == 0)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold=4, held_out=2, accept=0.3)
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_suffix_dedup, op4_token_counts, op5_byte_bpe, op6_quality,
                                    op7_chat_format, op8_decontamination, op9_suffix_tree_lm, op10_simhash, op11_lexical_search,
-                                   op12_hard_negatives)}
+                                   op12_hard_negatives, op13_toxicity)}
