@@ -44,3 +44,17 @@ def matched(df: DataFrame, count: Callable[[list[bytes]], Counter], id_col: str
                                              names=["doc_id", "n", "terms", "tfs"])
     texts = texts_of(df, id_col, text_col)
     return texts.select("doc_id", texts["text"].cast("binary")).mapInArrow(run, "doc_id long, n long, terms array<int>, tfs array<long>")
+
+
+def document_frequencies(found: DataFrame, size: int) -> np.ndarray:
+    """How many rows of :func:`matched` hold each of `size` terms: a task sends its sums."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(size, np.int64)
+        for batch in batches:
+            df += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], names=["t", "n"])
+    out = np.zeros(size, np.int64)
+    for r in found.select("terms").mapInArrow(run, "t int, n long").groupBy("t").sum("n").collect():
+        out[r["t"]] = r["sum(n)"]
+    return out

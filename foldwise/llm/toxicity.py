@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_held_out, texts_of, written
-from .terms import matched, words
+from .terms import document_frequencies, matched, words
 
 #: Labelled rows that serve as examples, terms of the space, bytes of prefixes, examples of a block, neighbours that vote.
 MAX_EXAMPLES, MAX_TERMS, PREFIXES, BLOCK, NEIGHBOURS = 20_000, 1_024, (4, 5, 6), 64, 15
@@ -231,10 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, max_examples: int
     some = examples(docs, labels, usable, max_examples)
     vocabulary = {t: i for i, t in enumerate(sorted(choose_terms(some, max_terms)))}
     found = written(matched(docs, counter(vocabulary)), "toxic-documents")
-    df = np.zeros(len(vocabulary))
-    for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term of the space
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + found.count()) / (1 + df)) + 1
+    idf = np.log((1 + found.count()) / (1 + document_frequencies(found, len(vocabulary)))) + 1
     keyed = some.select(F.col("doc_id"), "toxic", "tag", "text")
     count = counter(vocabulary)
 
