@@ -69,25 +69,25 @@ class _NaiveBayes:
 
 
 def gaussian_nb_fold_scores(df: DataFrame, features: list[str], per: dict, params: dict, key: str = "row_id") -> DataFrame:
-    """Scores of all tested folds (the keys of ``params``) in one pass: each fold's model
+    """(rep, key, class, p) of all tested folds (the keys of ``params``) in one pass: each fold's model
     comes from the other folds' moments, in that fold's scaled space."""
     models, shift, scale = {}, {}, {}
-    for i, p in params.items():
-        classes = sorted({c for j, by_class in per.items() if j != i for c in by_class})
-        train = {c: {f: merge_moments([by[c][f] for j, by in per.items() if j != i and c in by]) for f in features} for c in classes}
-        models[i] = _NaiveBayes(gaussian_nb_model({c: scaled_moments(m, p["train"]) for c, m in train.items()}, features), features)
-        shift[i] = np.array([p["test"][f][0] for f in features])
-        scale[i] = np.array([p["test"][f][1] for f in features])
+    for (rep, i), p in params.items():
+        others = [by for j, by in per[rep].items() if j != i]
+        train = {c: {f: merge_moments([by[c][f] for by in others if c in by]) for f in features} for c in sorted({c for by in others for c in by})}
+        models[rep, i] = _NaiveBayes(gaussian_nb_model({c: scaled_moments(m, p["train"]) for c, m in train.items()}, features), features)
+        shift[rep, i] = np.array([p["test"][f][0] for f in features])
+        scale[rep, i] = np.array([p["test"][f][1] for f in features])
 
     def score(batches):
         for pdf in batches:
-            for i, rows in pdf.groupby("fold"):
-                x = (rows[features].to_numpy(dtype=np.float64) - shift[i]) / scale[i]
-                yield models[i].rows(rows[key].to_numpy(), x, key)
-    df = df.where(F.col("fold").isin(list(params)))
-    sel = df.select(F.col(key).cast("long").alias(key), F.col("fold").cast("int").alias("fold"),
+            for of, rows in pdf.groupby(["rep", "fold"]):
+                x = (rows[features].to_numpy(dtype=np.float64) - shift[of]) / scale[of]
+                yield models[of].rows(rows[key].to_numpy(), x, key).assign(rep=of[0])
+    df = df.where(F.col("fold").isin([i for _, i in params]))
+    sel = df.select(F.col("rep").cast("long").alias("rep"), F.col(key).cast("long").alias(key), F.col("fold").cast("int").alias("fold"),
                     *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    return sel.mapInPandas(score, f"{key} long, class int, p double")
+    return sel.mapInPandas(score, f"rep long, {key} long, class int, p double")
 
 
 def gaussian_nb_scores(test: DataFrame, features: list[str], model: dict, key: str = "row_id",
@@ -125,18 +125,22 @@ def knn_scores(train: DataFrame, test: DataFrame, features: list[str], k: int =
 
 def knn_fold_scores(df: DataFrame, features: list[str], params: dict, k: int = 2, label: str = "DX",
                     key: str = "row_id") -> DataFrame:
-    """Vote shares of all tested folds by one join whose key holds the fold: a row is a test
-    row of its own fold and a training row of every other, scaled for each."""
-    from foldwise.operators.scaling import apply_scale
-
-    def side(rows_of, which):
-        return reduce(DataFrame.unionByName, [
-            apply_scale(df.where(rows_of(i)), features, p[which]).withColumn("__fold", F.lit(i)) for i, p in params.items()])
-    test = side(lambda i: F.col("fold") == i, "test")
-    train = side(lambda i: F.col("fold") != i, "train")
-    nn = knn_join(test, train, features, k, key=key, by=["__fold"])
-    lab = df.select(F.col(key).alias("right_id"), F.col(label).alias("class"))
-    return (nn.join(lab, "right_id").groupBy(F.col("left_id").alias(key), "class")
+    """(rep, key, class, p): vote shares of all tested folds by one join whose key holds repetition and
+    fold: a row is a test row of its own fold and a training row of every other, scaled for each. A key's
+    label is the same in all repetitions."""
+    numbers = [(rep, i, which == "test", [p[which][f][0] for f in features], [p[which][f][1] for f in features])
+               for (rep, i), p in params.items() for which in ("train", "test")]  # repetitions x folds x features
+    scales = df.sparkSession.createDataFrame(numbers, "rep long, tested int, is_test boolean, shift array<double>, scale array<double>")
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    rows = (df.select(F.col("rep").cast("long").alias("rep"), key, label, F.col("fold").cast("int").alias("fold"), x.alias("x"))
+            .withColumn("tested", F.explode(F.array(*[F.lit(i) for i in sorted({i for _, i in params})])))
+            .withColumn("is_test", F.col("fold") == F.col("tested")).join(F.broadcast(scales), ["rep", "tested", "is_test"]))
+    z = F.transform(F.arrays_zip("x", "shift", "scale"), lambda c: (c["x"] - c["shift"]) / c["scale"])
+    rows = rows.select("rep", "tested", "is_test", key, z.alias("z"))
+    nn = knn_join(rows.where("is_test"), rows.where("not is_test"), "z", k, key=key, by=["rep", "tested"])
+    lab = df.select(F.col(key).alias("right_id"), F.col(label).alias("class")).distinct()
+    rep = F.element_at(F.split("grp", r"\|"), 1).cast("long").alias("rep")
+    return (nn.join(lab, "right_id").groupBy(rep, F.col("left_id").alias(key), "class")
             .agg((F.count(F.lit(1)) / F.lit(float(k))).alias("p")))
 
 

@@ -36,9 +36,40 @@ TASK_PAIRS = 5_000_000
 SLACK = 1e-9
 
 
+#: Numbers of a working array (32 MB).
+CELLS = 4_000_000
+
+
+def _paired(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances along the last axis."""
+    diff = a - b
+    return np.sqrt(np.sum(diff * diff, axis=-1)) if metric == "euclidean" else np.sum(np.abs(diff), axis=-1)
+
+
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    diff = a[:, None, :] - b[None, :, :]
-    return np.sqrt(np.sum(diff * diff, axis=2)) if metric == "euclidean" else np.sum(np.abs(diff), axis=2)
+    """All distances, from working arrays of at most about CELLS numbers."""
+    step = max(1, CELLS // max(1, b.size))
+    return np.concatenate([_paired(a[s:s + step, None, :], b[None, :, :], metric) for s in range(0, max(1, len(a)), step)])
+
+
+def _near_pairs(a: np.ndarray, b: np.ndarray, k: int, metric: str, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of pairs that hold the k nearest rows of ``b`` for each of ``a``, and all that tie with the
+    k-th. Euclidean distances are first taken from one matrix product, whose error is bounded; the pairs within
+    that error of the k-th are computed in full. ``same``: pairs that do not count."""
+    if metric == "euclidean":
+        aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+        d = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+        slack = 8 * (a.shape[1] + 4) * np.finfo(float).eps * (aa[:, None] + bb.max())
+    else:
+        d, slack = _distances(a, b, metric), 0.0
+    if same is not None:
+        d[same] = np.inf
+    kk = min(k, d.shape[1])
+    i, j = np.nonzero((d <= np.partition(d, kk - 1, axis=1)[:, kk - 1:kk] + slack) & np.isfinite(d))
+    if metric != "euclidean":
+        return i, j, d[i, j]
+    step = max(1, CELLS // max(1, a.shape[1]))
+    return i, j, np.concatenate([_paired(a[i[s:s + step]], b[j[s:s + step]], metric) for s in range(0, max(1, len(i)), step)])
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -55,28 +86,23 @@ def _block_topk(k: int, exclude_self: bool, metric: str):
         L, R = _matrix(left), _matrix(right)
         lid = left["__id"].to_numpy(dtype=np.int64)
         rid = right["__id"].to_numpy(dtype=np.int64)
-        step = max(1, int(4e6 // max(1, R.size)))
+        step = max(1, CELLS // max(1, len(rid)))
         outs = []
         for s in range(0, len(lid), step):
-            d = _distances(L[s:s + step], R, metric)
-            if exclude_self:
-                d[lid[s:s + step, None] == rid[None, :]] = np.inf
-            kk = min(k, d.shape[1])
-            # all rows up to the k-th distance, so that ties at it are settled by key
-            i, j = np.nonzero((d <= np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]) & np.isfinite(d))
-            order = np.lexsort((rid[j], d[i, j], i))
-            i, j = i[order], j[order]
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j = i[nth < k], j[nth < k]
-            outs.append((lid[s + i], rid[j], d[i, j]))
+            same = lid[s:s + step, None] == rid[None, :] if exclude_self else None
+            i, j, d = _near_pairs(L[s:s + step], R, k, metric, same)
+            order = np.lexsort((rid[j], d, i))  # ties at the k-th distance are settled by key
+            i, j, d = i[order], j[order], d[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            outs.append((lid[s + i[first]], rid[j[first]], d[first]))
         out = pd.DataFrame({c: np.concatenate(v) for c, v in zip(("left_id", "right_id", "dist"), zip(*outs))})
         out["grp"] = str(left["__grp"].iloc[0])
         return out
     return fn
 
 
-def _vectors(df: DataFrame, key: str, features: list[str], *extra) -> DataFrame:
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+def _vectors(df: DataFrame, key: str, features: list[str] | str, *extra) -> DataFrame:
+    x = F.col(features) if isinstance(features, str) else F.array(*[F.col(f"`{f}`").cast("double") for f in features])
     return df.select(F.col(key).cast("long").alias("__id"), *extra, x.alias("x"))
 
 
@@ -155,7 +181,7 @@ def _in_blocks(left: DataFrame, right: DataFrame, keys: list[str], block_rows: i
     return left, right
 
 
-def knn_join(left: DataFrame, right: DataFrame, features: list[str], k: int, key: str = "row_id",
+def knn_join(left: DataFrame, right: DataFrame, features: list[str] | str, k: int, key: str = "row_id",
              by: list[str] | None = None, exclude_self: bool = False, metric: str = "euclidean",
              block_rows: int = 20000, right_features: list[str] | None = None,
              left_by: list[str] | None = None, left_rows: int | None = None, nulls: str = "error") -> DataFrame:
@@ -164,7 +190,7 @@ def knn_join(left: DataFrame, right: DataFrame, features: list[str], k: int, key
     ``by``: right columns whose values must equal the left's ``left_by`` columns (default the
     same names) — e.g. the class for same-class neighbours; NULL equals nothing. ``nulls``:
     policy for rows with a NULL feature on either side. ``left_rows``: the number of left
-    rows, if known.
+    rows, if known. Features may also be the name of one column of complete vectors.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
@@ -174,9 +200,11 @@ def knn_join(left: DataFrame, right: DataFrame, features: list[str], k: int, key
     def group(cols):
         return (F.concat_ws("|", *[F.col(c).cast("string") for c in cols]) if cols else F.lit("")).alias("__grp")
     keys = [f"__by{i}" for i in range(len(by))]
-    L = _vectors(complete_features(left, features, "k-NN join, left side", nulls), key, features, group(left_by),
+    if not isinstance(features, str):
+        left, right = complete_features(left, features, "k-NN join, left side", nulls), complete_features(right, rf, "k-NN join, right side", nulls)
+    L = _vectors(left, key, features, group(left_by),
                  *[F.col(c).alias(f"__by{i}") for i, c in enumerate(left_by)])
-    R = _vectors(complete_features(right, rf, "k-NN join, right side", nulls), key, rf, group(by),
+    R = _vectors(right, key, rf, group(by),
                  *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)])
     sizes = R.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("__grp").alias("g")).first()
     n_right, groups = sizes["n"], max(1, sizes["g"])

@@ -54,11 +54,11 @@ def rank_by_hash(df: DataFrame, part_cols: list[str], seed, key: str = "row_id",
 
 
 def stratified_folds(df: DataFrame, k: int, seed, label: str = "DX", key: str = "row_id",
-                     buckets: int | None = None) -> DataFrame:
+                     buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Add ``fold`` in 0..k-1: per class, rows in md5(seed|key) order are dealt round-robin,
     so fold sizes within a class differ by at most one. Rows without a label are dealt like a
-    class of their own."""
-    ranked = rank_by_hash(df, [label], seed, key, buckets=buckets)
+    class of their own. ``by``: columns whose values are dealt apart (``seed`` may be one of them)."""
+    ranked = rank_by_hash(df, [*(by or []), label], seed, key, buckets=buckets)
     return ranked.withColumn("fold", (F.col("rank0") % k).cast("int")).drop("rank0")
 
 
@@ -95,7 +95,7 @@ SMOTE_RUN = 10_000
 
 def smote(df: DataFrame, features: list[str], label: str = "DX", key: str = "row_id", k: int = 5,
           seed=1, buckets: int | None = None, block_rows: int = 20000, nulls: str = "error",
-          small_classes: str = "refuse") -> DataFrame:
+          small_classes: str = "refuse", repetitions: list | None = None) -> DataFrame:
     """Oversample every class below the majority count up to it (SMOTE, Chawla et al. 2002).
 
     For class c with n_c rows and need_c = n_max - n_c: synthetic j = 0..need_c-1 takes base
@@ -109,6 +109,9 @@ def smote(df: DataFrame, features: list[str], label: str = "DX", key: str = "row
     of one row repeats that row). A NULL label is an error; ``nulls`` is the policy for NULL
     features. Class counts stay a table; the numbers j are made in runs of SMOTE_RUN, so few
     base rows with many copies are still many tasks.
+
+    ``repetitions``: seeds that share one plan and one neighbour search; the output then has all
+    rows once for each, told apart by a column ``rep``.
     """
     from foldwise.operators.neighbors import knn_join
     from foldwise.operators.nulls import complete_features
@@ -128,28 +131,31 @@ def smote(df: DataFrame, features: list[str], label: str = "DX", key: str = "row
         bad = minority.where(F.col("__n") <= k).limit(3).collect()
         if bad:
             raise ValueError(f"smote: fewer than k + 1 = {k + 1} rows in class " + ", ".join(f"{r['__c']} ({r['__n']})" for r in bad))
-    out = base.withColumn("synthetic", F.lit(0))
+    reps = F.explode(F.array(*[F.lit(r) for r in (repetitions if repetitions is not None else [seed])])).alias("rep")
+    out = base.select(reps, "*").withColumn("synthetic", F.lit(0))
     src = base.join(minority.select(F.col("__c").alias(label)), label, "left_semi")
     runs = minority.withColumn("__run", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__need") / SMOTE_RUN) - 1)))
     first = F.col("__run") * SMOTE_RUN
     syn = (runs.repartition("__c", "__run")
            .withColumn("j", F.explode(F.sequence(first, F.least(first + SMOTE_RUN, F.col("__need")) - 1)))
-           .withColumn("p", F.col("j") % F.col("__n")))
+           .withColumn("p", F.col("j") % F.col("__n")).select(reps, "*"))
+    rep = F.col("rep")
     k_eff = F.least(F.lit(k), F.col("__n") - 1)
     syn = syn.select(
-        "__c", "__ci", "__nc", "j", "p",
-        F.when(k_eff > 0, F.floor(md5_uniform(seed, "nn", F.col("__c"), F.col("j")) * k_eff) + 1).otherwise(0).cast("int").alias("__nn"),
-        md5_uniform(seed, "step", F.col("__c"), F.col("j")).alias("__u"))
+        "rep", "__c", "__ci", "__nc", "j", "p",
+        F.when(k_eff > 0, F.floor(md5_uniform(rep, "nn", F.col("__c"), F.col("j")) * k_eff) + 1).otherwise(0).cast("int").alias("__nn"),
+        md5_uniform(rep, "step", F.col("__c"), F.col("j")).alias("__u"))
     nn = knn_join(src, src, features, k, key=key, by=[label], exclude_self=True, block_rows=block_rows)
-    ranked = rank_by_hash(src.select(key, label), [label], seed, key, salt="base", buckets=buckets, out="p")
+    ranked = rank_by_hash(src.select(reps, key, label), ["rep", label], rep, key, salt="base", buckets=buckets, out="p")
     numbers = F.array(*[F.col(f"`{f}`").cast("double") for f in features])  # one column: plans do not grow with features
-    own = ranked.join(src.select(key, numbers.alias("__a")), key).select(F.col(label).alias("__c"), "p", F.col(key).alias("__base"), "__a")
+    own = ranked.join(src.select(key, numbers.alias("__a")), key).select("rep", F.col(label).alias("__c"), "p", F.col(key).alias("__base"), "__a")
     other = src.select(F.col(key).alias("__nbr"), numbers.alias("__b"))
     near = nn.select(F.col("left_id").alias("__base"), F.col("rank").alias("__nn"), F.col("right_id").alias("__nbr")).join(other, "__nbr")
-    syn = syn.join(own, ["__c", "p"]).join(near.drop("__nbr"), ["__base", "__nn"], "left")
+    syn = syn.join(own, ["rep", "__c", "p"]).join(near.drop("__nbr"), ["__base", "__nn"], "left")
     x = F.when(F.col("__nn") == 0, F.col("__a")).otherwise(
         F.zip_with("__a", "__b", lambda a, b: a + F.col("__u") * (b - a)))
     syn = syn.withColumn("__x", x)
-    return out.unionByName(syn.select(
-        (-(F.lit(1) + F.col("j") * F.col("__nc") + F.col("__ci"))).cast("bigint").alias(key), F.col("__c").alias(label),
+    whole = out.unionByName(syn.select(
+        "rep", (-(F.lit(1) + F.col("j") * F.col("__nc") + F.col("__ci"))).cast("bigint").alias(key), F.col("__c").alias(label),
         *[F.col("__x")[i].alias(f) for i, f in enumerate(features)], F.lit(1).alias("synthetic")))
+    return whole if repetitions is not None else whole.drop("rep")

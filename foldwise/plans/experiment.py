@@ -116,20 +116,22 @@ def slot_scores(classifier: str, train: DataFrame, test: DataFrame, features: li
 
 
 def fold_scores(classifier: str, df: DataFrame, features: list[str], per: dict, params: dict, n_classes: int,
-                cfg: dict, seed: int = 1) -> DataFrame:
-    """Scores of all tested folds of one slot. Closed-form slots do them in one pass; for the
-    others each fold is a fit of its own, a few at a time."""
+                cfg: dict) -> DataFrame:
+    """(rep, row_id, class, p) of all repetitions and tested folds of one slot. Closed-form slots do them in one
+    pass; for the others each is a fit of its own, a few at a time."""
     family = family_of(classifier)
     if family == "nb":
         return models.gaussian_nb_fold_scores(df, features, per, params)
     if family == "knn":
         return models.knn_fold_scores(df, features, params)
 
-    def one(i):
-        train = scaling.apply_scale(df.where(F.col("fold") != i), features, params[i]["train"])
-        test = scaling.apply_scale(df.where(F.col("fold") == i), features, params[i]["test"])
-        return slot_scores(classifier, train, test, features, n_classes, cfg, seed).select(
-            "row_id", F.col("class").cast("int").alias("class"), "p")
+    def one(of):
+        rep, i = of
+        mine = df.where(F.col("rep") == rep)
+        train = scaling.apply_scale(mine.where(F.col("fold") != i), features, params[of]["train"])
+        test = scaling.apply_scale(mine.where(F.col("fold") == i), features, params[of]["test"])
+        return slot_scores(classifier, train, test, features, n_classes, cfg, rep).select(
+            F.lit(rep).cast("long").alias("rep"), "row_id", F.col("class").cast("int").alias("class"), "p")
     with ThreadPool(PARALLEL_FITS) as pool:
         return reduce(DataFrame.unionByName, pool.map(one, list(params)))
 
@@ -153,63 +155,100 @@ def same_rows(slots: list[tuple[DataFrame, list[str]]], nulls: str = "exclude")
     return [(df.join(keys, "row_id", "left_semi"), feats) for df, feats in slots]
 
 
-def cross_validate(cfg: dict, slots: list[tuple[DataFrame, list[str]]], seed: int = 1, use_smote: bool = True,
-                   fit_on: str = "self", nulls: str = "exclude") -> tuple[DataFrame, DataFrame]:
-    """k-fold CV of the soft-voting ensemble, or one ordered hold-out if ``data_split`` says so
-    (its test rows are fold 0, the others fold -1). Returns (predictions, per-fold metrics)."""
+def cross_validate_many(cfg: dict, slots: list[tuple[DataFrame, list[str]]], seeds: list[int], use_smote: bool = True,
+                        fit_on: str = "self", nulls: str = "exclude") -> tuple[DataFrame, DataFrame]:
+    """k-fold CV of the soft-voting ensemble for every seed, or one ordered hold-out if ``data_split``
+    says so (its test rows are fold 0, the others fold -1). Returns (predictions, per-fold metrics), both with
+    the seed as ``rep``.
+
+    The seed is a key column of one plan: synthetic rows of all seeds come from one neighbour search,
+    folds from one ranking, statistics from one aggregate, and the closed-form slots score all seeds and
+    folds in one pass; so the number of jobs does not depend on the number of seeds (but for iterative slots)."""
     classifiers = cfg["classifiers"][:len(slots)]
     slots = same_rows(slots, nulls)
     n_classes = slots[0][0].select("DX").distinct().count()
+    seeds = [int(s) for s in seeds]
     prepared = []
-    for df, feats in slots:
+    for s, (df, feats) in enumerate(slots):
         if use_smote:
-            df = sampling.smote(df, feats, k=5, seed=seed).drop("synthetic")
-        prepared.append((df, feats))
-    labels = prepared[0][0].select("row_id", "DX")
-    if str(cfg.get("data_split", "k-fold")) == "hold-out":
-        split = sampling.ordered_holdout(labels, float(cfg.get("test_size", 0.33)))
-        folds, tested = split.select("row_id", (F.col("is_test").cast("int") - 1).alias("fold")), [0]
+            df = sampling.smote(df, feats, k=5, repetitions=seeds).drop("synthetic")
+        else:
+            df = df.select(F.explode(F.array(*[F.lit(r) for r in seeds])).alias("rep"), "*")
+        prepared.append((write_and_read(df, f"cv_rows{s}"), feats))
+    labels = prepared[0][0].select("rep", "row_id", "DX")
+    if str(cfg.get("data_split", "k-fold")) == "hold-out":  # the keys are the same for every seed
+        split = sampling.ordered_holdout(labels.where(F.col("rep") == seeds[0]).drop("rep"), float(cfg.get("test_size", 0.33)))
+        folds = labels.select("rep", "row_id").join(split.select("row_id", (F.col("is_test").cast("int") - 1).alias("fold")), "row_id")
+        tested = [0]
     else:
         k = int(cfg.get("folds", 3))
-        folds, tested = sampling.stratified_folds(labels, k, seed).select("row_id", "fold"), list(range(k))
+        folds, tested = sampling.stratified_folds(labels, k, F.col("rep"), by=["rep"]).select("rep", "row_id", "fold"), list(range(k))
+    folds = write_and_read(folds, "cv_folds")
     scores, truth = [], None
     for s, ((df, feats), clf) in enumerate(zip(prepared, classifiers)):
         # written once to the shared checkpoint folder: later jobs read it, and neither
         # recompute nor depend on the SMOTE / neighbour lineage
-        t = write_and_read(df.join(folds, "row_id"), f"cv_slot{s}")
-        truth = t.select("row_id", "DX", "fold") if truth is None else truth
+        t = write_and_read(df.join(folds, ["rep", "row_id"]), f"cv_slot{s}")
+        truth = t.select("rep", "row_id", "DX", "fold") if truth is None else truth
         per = scaling.fold_moments(t, feats)
         params = scaling.fold_scale_params(per, feats, tested, fit_on)
-        sc = fold_scores(clf, t, feats, per, params, n_classes, cfg, seed)
-        scores.append(sc.select("row_id", F.lit(s).alias("slot"), F.col("class").cast("int").alias("class"), "p"))
-    vote = ensemble.soft_vote(reduce(DataFrame.unionByName, scores), len(scores), n_classes)
-    preds = vote.join(truth.where(F.col("fold").isin(tested)), "row_id").select("fold", "row_id", "DX", "pred")
+        sc = fold_scores(clf, t, feats, per, params, n_classes, cfg)
+        scores.append(sc.select("rep", "row_id", F.lit(s).alias("slot"), F.col("class").cast("int").alias("class"), "p"))
+    vote = ensemble.soft_vote(reduce(DataFrame.unionByName, scores), len(scores), n_classes, group_cols=["rep"])
+    preds = vote.join(truth.where(F.col("fold").isin(tested)), ["rep", "row_id"]).select(
+        F.col("rep").cast("int").alias("rep"), "fold", "row_id", "DX", "pred")
     preds = write_and_read(preds, "cv_predictions")
-    return preds, metrics.fold_metrics(preds, n_classes)
+    return preds, metrics.fold_metrics(preds, n_classes, ["rep"])
+
+
+def cross_validate(cfg: dict, slots: list[tuple[DataFrame, list[str]]], seed: int = 1, use_smote: bool = True,
+                   fit_on: str = "self", nulls: str = "exclude") -> tuple[DataFrame, DataFrame]:
+    """:func:`cross_validate_many` with one seed."""
+    preds, m = cross_validate_many(cfg, slots, [seed], use_smote, fit_on, nulls)
+    return preds.drop("rep"), m.drop("rep")
+
+
+def _seeded(cfg: dict) -> bool:
+    """Whether selection depends on the seed: a forest's draws, or a mixture that sets the number of features."""
+    methods = cfg.get("feature_selection")
+    return "rf" in methods or (cfg.get("n_components") is None and any(m in SELECTORS for m in methods))
+
+
+def run_many(name: str, cfg: dict, datasets: dict[str, DataFrame], seeds: list[int], strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(metrics, feature report) of one configuration for every seed. Metrics: (config, fold, metric, class,
+    value, repetition); fold = -1 holds the mean over folds. Seeds with the same selected features are
+    cross-validated together."""
+    check_config(name, cfg, strict)
+    chosen, reports = {}, []
+    for seed in seeds if _seeded(cfg) else seeds[:1]:
+        slots, report = select_slots(cfg, datasets, seed, name, strict)
+        alike = chosen.setdefault(tuple(tuple(f) for _, f in slots), (slots, []))
+        alike[1].extend([seed] if _seeded(cfg) else seeds)
+        reports.append(report.withColumn("repetition", F.lit(seed)))
+    out = []
+    for slots, alike in chosen.values():
+        m = write_and_read(cross_validate_many(cfg, slots, alike)[1], "cv_metrics")
+        avg = metrics.fold_average(m, ["rep"]).select("rep", F.lit(-1).alias("fold"), "metric", "class", "value")
+        out.append(m.select("rep", "fold", "metric", "class", "value").unionByName(avg))
+    rows = reduce(DataFrame.unionByName, out)
+    return (rows.select(F.lit(name).alias("config"), "fold", "metric", "class", "value", F.col("rep").cast("int").alias("repetition")),
+            reduce(DataFrame.unionByName, reports))
 
 
 def run_experiment(name: str, cfg: dict, datasets: dict[str, DataFrame], seed: int = 1,
                    strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(metrics, feature report). Metrics: (config, fold, metric, class, value); fold = -1
-    holds the mean over folds."""
-    slots, report = select_slots(cfg, datasets, seed, name, strict)
-    _, m = cross_validate(cfg, slots, seed)
-    m = write_and_read(m, "cv_metrics")
-    avg = metrics.fold_average(m).select(F.lit(-1).alias("fold"), "metric", "class", "value")
-    allm = m.select("fold", "metric", "class", "value").unionByName(avg)
-    return allm.select(F.lit(name).alias("config"), "*"), report
+    """:func:`run_many` with one seed: (config, fold, metric, class, value), and the report."""
+    m, report = run_many(name, cfg, datasets, [seed], strict)
+    return m.drop("repetition"), report.drop("repetition")
 
 
 def run_all(cfgs: dict, datasets: dict[str, DataFrame], seed: int = 1) -> DataFrame:
-    out = None
-    for name, cfg in cfgs.items():
-        m, _ = run_experiment(name, cfg, datasets, seed)
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Every config with one seed, a few at a time."""
+    with ThreadPool(PARALLEL_FITS) as pool:
+        runs = pool.map(lambda c: run_experiment(c[0], c[1], datasets, seed)[0], cfgs.items())
+    return reduce(DataFrame.unionByName, runs)
 
 
 def repeat(cfgs: dict, datasets: dict[str, DataFrame], seeds=tuple(range(1, 21))) -> DataFrame:
-    """Every config once per seed, a few seeds at a time; all draws derive from the seed."""
-    with ThreadPool(PARALLEL_FITS) as pool:
-        runs = pool.map(lambda s: run_all(cfgs, datasets, s).withColumn("repetition", F.lit(s)), seeds)
-    return reduce(DataFrame.unionByName, runs)
+    """Every config for every seed, the seeds of a config in one plan; all draws derive from the seed."""
+    return reduce(DataFrame.unionByName, [run_many(name, cfg, datasets, list(seeds))[0] for name, cfg in cfgs.items()])
