@@ -14,17 +14,19 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.operators.boosting import boosted_scores, fit_boosted
 from foldwise.operators.neighbors import knn_join
 from foldwise.operators.network import network_scores, network_shape, train_network
 from foldwise.operators.nulls import complete_features
 from foldwise.operators.scaling import merge_moments, moments, scaled_moments
+from foldwise.sources.sink import write_and_read
 
 
 # -- Gaussian naive Bayes -------------------------------------------------------------------
@@ -123,25 +125,44 @@ def knn_scores(train: DataFrame, test: DataFrame, features: list[str], k: int =
             .agg((F.count(F.lit(1)) / F.lit(float(k))).alias("p")))
 
 
-def knn_fold_scores(df: DataFrame, features: list[str], params: dict, k: int = 2, label: str = "DX",
-                    key: str = "row_id") -> DataFrame:
-    """(rep, key, class, p): vote shares of all tested folds by one join whose key holds repetition and
-    fold: a row is a test row of its own fold and a training row of every other, scaled for each. A key's
-    label is the same in all repetitions."""
-    numbers = [(rep, i, which == "test", [p[which][f][0] for f in features], [p[which][f][1] for f in features])
-               for (rep, i), p in params.items() for which in ("train", "test")]  # repetitions x folds x features
-    scales = df.sparkSession.createDataFrame(numbers, "rep long, tested int, is_test boolean, shift array<double>, scale array<double>")
+def fold_rows(df: DataFrame, features: list[str], params: dict, label: str = "DX", key: str = "row_id") -> DataFrame:
+    """(rep, tested, fit, is_test, key, label, z): every row once for each tested fold of its repetition, a test
+    row in its own fold and a training row in the others, scaled for each; ``fit`` numbers the keys of ``params``."""
+    numbers = [(rep, i, n, which == "test", [p[which][f][0] for f in features], [p[which][f][1] for f in features])
+               for n, ((rep, i), p) in enumerate(params.items()) for which in ("train", "test")]  # repetitions x folds x features
+    scales = df.sparkSession.createDataFrame(numbers, "rep long, tested int, fit int, is_test boolean, shift array<double>, scale array<double>")
     x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
     rows = (df.select(F.col("rep").cast("long").alias("rep"), key, label, F.col("fold").cast("int").alias("fold"), x.alias("x"))
             .withColumn("tested", F.explode(F.array(*[F.lit(i) for i in sorted({i for _, i in params})])))
             .withColumn("is_test", F.col("fold") == F.col("tested")).join(F.broadcast(scales), ["rep", "tested", "is_test"]))
     z = F.transform(F.arrays_zip("x", "shift", "scale"), lambda c: (c["x"] - c["shift"]) / c["scale"])
-    rows = rows.select("rep", "tested", "is_test", key, z.alias("z"))
-    nn = knn_join(rows.where("is_test"), rows.where("not is_test"), "z", k, key=key, by=["rep", "tested"])
+    return rows.select("rep", "tested", "fit", "is_test", key, label, z.alias("z"))
+
+
+def _of_repetition(scores: DataFrame, params: dict, key: str = "row_id") -> DataFrame:
+    """(rep, key, class, p) of scores (fit, key, class, p)."""
+    reps = F.array(*[F.lit(int(rep)).cast("long") for rep, _ in params])
+    return scores.select(F.get(reps, F.col("fit")).alias("rep"), key, "class", "p")
+
+
+def knn_fold_scores(df: DataFrame, features: list[str], params: dict, k: int = 2, label: str = "DX",
+                    key: str = "row_id") -> DataFrame:
+    """(rep, key, class, p): vote shares of all tested folds by one join whose key holds repetition and
+    fold. A key's label is the same in all repetitions."""
+    rows = fold_rows(df, features, params, label, key)
+    nn = knn_join(rows.where("is_test"), rows.where("not is_test"), "z", k, key=key, by=["fit"])
     lab = df.select(F.col(key).alias("right_id"), F.col(label).alias("class")).distinct()
-    rep = F.element_at(F.split("grp", r"\|"), 1).cast("long").alias("rep")
-    return (nn.join(lab, "right_id").groupBy(rep, F.col("left_id").alias(key), "class")
-            .agg((F.count(F.lit(1)) / F.lit(float(k))).alias("p")))
+    votes = (nn.join(lab, "right_id").groupBy(F.col("grp").cast("int").alias("fit"), F.col("left_id").alias(key), "class")
+             .agg((F.count(F.lit(1)) / F.lit(float(k))).alias("p")))
+    return _of_repetition(votes, params, key)
+
+
+def boosted_fold_scores(df: DataFrame, features: list[str], params: dict, n_classes: int, rounds: int = 100, label: str = "DX",
+                        key: str = "row_id") -> DataFrame:
+    """(rep, key, class, p) of all tested folds, whose models are grown together."""
+    rows = write_and_read(fold_rows(df, features, params, label, key), "boost_folds")
+    grown = fit_boosted(rows.where("not is_test"), "z", n_classes, rounds=rounds, label=label)
+    return _of_repetition(boosted_scores(rows.where("is_test"), "z", grown, n_classes, key), params, key)
 
 
 # -- pyspark.ml slots -------------------------------------------------------------------------
@@ -171,17 +192,11 @@ def _vector_scores(pred: DataFrame, key: str, col: str) -> DataFrame:
 
 
 def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX",
-                  key: str = "row_id", rounds: int = 100, depth: int = 3, step: float = 0.1,
-                  seed: int = 1) -> DataFrame:
-    """One-vs-rest gradient-boosted trees; class score sigmoid(2 margin), normalised."""
-    tr = _assemble(train, features).select("features", F.col(label).cast("double").alias("label")).persist()
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-    model = OneVsRest(classifier=gbt, parallelism=8).fit(tr)
-    tr.unpersist()
-    pred = model.transform(_assemble(test, features))
-    scores = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: 1 / (1 + F.exp(-2 * m)))
-    pred = pred.select(key, scores.alias("__s")).withColumn("__t", F.aggregate("__s", F.lit(0.0), lambda a, x: a + x))
-    return pred.select(key, F.posexplode(F.transform("__s", lambda x: x / F.col("__t"))).alias("class", "p"))
+                  key: str = "row_id", rounds: int = 100, depth: int = 3, step: float = 0.1) -> DataFrame:
+    """Softmax gradient-boosted trees (:mod:`foldwise.operators.boosting`); classes are 0..C-1."""
+    n_classes = (train.agg(F.max(label)).first()[0] or 0) + 1
+    grown = fit_boosted(train.withColumn("fit", F.lit(0)), features, n_classes, rounds, depth, step, label=label)
+    return boosted_scores(test.withColumn("fit", F.lit(0)), features, grown, n_classes, key).drop("fit")
 
 
 def mlp_layers(n_in: int, layers: list, dropouts: list, n_classes: int) -> list[int]:

@@ -108,7 +108,7 @@ def slot_scores(classifier: str, train: DataFrame, test: DataFrame, features: li
     if family == "svc":
         return models.rbf_svc(train, test, features, seed=seed)
     if family == "xgb":
-        return models.boosted_trees(train, test, features, rounds=int(cfg.get("rounds", 100)), seed=seed)
+        return models.boosted_trees(train, test, features, rounds=int(cfg.get("rounds", 100)))
     return models.mlp_classifier(train, test, features, n_classes, layers=cfg.get("layers", [["64", "tanh"], ["5", "softmax"]]),
                                  dropouts=cfg.get("dropouts", ["0", "0"]), epochs=int(cfg.get("epochs", 40)),
                                  batch_size=int(cfg.get("batch_size", 32)), seed=seed, opt=str(cfg.get("opt", "adam")),
@@ -124,6 +124,8 @@ def fold_scores(classifier: str, df: DataFrame, features: list[str], per: dict,
         return models.gaussian_nb_fold_scores(df, features, per, params)
     if family == "knn":
         return models.knn_fold_scores(df, features, params)
+    if family == "xgb":
+        return models.boosted_fold_scores(df, features, params, n_classes, rounds=int(cfg.get("rounds", 100)))
 
     def one(of):
         rep, i = of

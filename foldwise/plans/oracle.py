@@ -485,6 +485,7 @@ js AS (SELECT row_id, sum(exp(j - m)) AS z FROM jt JOIN jm USING (row_id) GROUP
 SELECT row_id, CAST(c AS INTEGER) AS class, {r6('p')} AS p, 0 AS slot FROM knn
 UNION ALL
 SELECT row_id, CAST(c AS INTEGER), {r6('exp(j - m) / z')}, 1 FROM jt JOIN jm USING (row_id) JOIN js USING (row_id)"""
+    S["boosted_stumps"] = stumps_sql()
     S["cross_validate"] = cv_sql()
     S["repeat_experiments"] = " UNION ALL ".join(
         f"SELECT config, fold, metric, class, value, {rep} AS repetition FROM ({cv_sql(seed=rep)})" for rep in range(1, 21))
@@ -557,3 +558,29 @@ pr AS (SELECT v.tf AS fold, v.row_id, keys.DX, CAST(v.c AS INTEGER) AS pred FROM
 {fold_metric_ctes('pr', 10)}
 SELECT '{name}' AS config, CAST(fold AS INTEGER) AS fold, metric, CAST(class AS INTEGER) AS class, {r6('value')} AS value FROM pr_m
 UNION ALL SELECT '{name}', -1, metric, CAST(class AS INTEGER), {r6('avg(value)')} FROM pr_m GROUP BY metric, class"""
+
+
+def stumps_sql(rounds: int = 2, n_classes: int = 10, bins: int = 64, step: float = 0.1) -> str:
+    """Softmax boosting with trees of depth 1: gradient p - y, hessian 2 p (1 - p), penalty 1, least child hessian 1."""
+    parts = [f"""{EMB_SPLIT},
+x AS (SELECT row_id, i, v[i] AS x FROM etr, range(1, 65) r(i)),
+rk AS (SELECT i, x, row_number() OVER (PARTITION BY i ORDER BY x) AS rn, count(*) OVER (PARTITION BY i) AS n FROM x),
+cuts AS (SELECT DISTINCT i, x AS cut FROM rk, range(1, {bins}) b(b) WHERE rn = greatest(1, CAST(ceil(b * n / {bins}.0) AS BIGINT))),
+side AS (SELECT c.i, c.cut, x.row_id FROM cuts c JOIN x ON x.i = c.i AND x.x <= c.cut),
+m0 AS (SELECT row_id, DX, CAST(k AS INTEGER) AS k, CAST(0 AS DOUBLE) AS m FROM etr, range(0, {n_classes}) c(k))"""]
+    for t in range(rounds):
+        parts.append(f"""z{t} AS (SELECT row_id, sum(exp(m)) AS z FROM m{t} GROUP BY row_id),
+p{t} AS (SELECT row_id, k, exp(m) / z AS p, CAST(DX = k AS INTEGER) AS y FROM m{t} JOIN z{t} USING (row_id)),
+g{t} AS (SELECT row_id, k, p - y AS g, 2 * p * (1 - p) AS h FROM p{t}),
+s{t} AS (SELECT k, sum(g) AS g, sum(h) AS h FROM g{t} GROUP BY k),
+l{t} AS (SELECT k, i, cut, sum(g) AS gl, sum(h) AS hl FROM side JOIN g{t} USING (row_id) GROUP BY k, i, cut),
+c{t} AS (SELECT k, i, cut, gl, hl, s.g - gl AS gr, s.h - hl AS hr,
+    round(gl * gl / (hl + 1) + (s.g - gl) * (s.g - gl) / (s.h - hl + 1) - s.g * s.g / (s.h + 1), 6) AS gain
+    FROM l{t} JOIN s{t} s USING (k) WHERE hl >= 1 AND s.h - hl >= 1),
+b{t} AS (SELECT k, i, cut, -{step} * gl / (hl + 1) AS wl, -{step} * gr / (hr + 1) AS wr
+    FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, i, cut) AS r FROM c{t} WHERE gain > 0.000001) q WHERE r = 1),
+m{t + 1} AS (SELECT m.row_id, m.DX, m.k, m.m + coalesce(CASE WHEN x.x <= b.cut THEN b.wl ELSE b.wr END, 0) AS m
+    FROM m{t} m LEFT JOIN b{t} b ON b.k = m.k LEFT JOIN x ON x.row_id = m.row_id AND x.i = b.i)""")
+    rows = " UNION ALL ".join(f"SELECT {t} AS round, k AS class, 'e' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, "
+                              f"{r6('cut')} AS cut, {r6('wl')} AS left, {r6('wr')} AS right FROM b{t}" for t in range(rounds))
+    return "WITH " + ",\n".join(parts) + "\n" + rows.replace("AS left", 'AS "left"').replace("AS right", 'AS "right"')

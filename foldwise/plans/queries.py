@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from foldwise.functions.hashing import md5_u32, md5_uniform
 from foldwise.operators import datasets as ds
-from foldwise.operators import ensemble, metrics, models, projection, sampling, scaling, selectors
+from foldwise.operators import boosting, ensemble, metrics, models, projection, sampling, scaling, selectors
 from foldwise.operators.joins import drop_columns, label_encode, left_join_enrich, rename_columns
 from foldwise.operators.neighbors import knn_join
 from foldwise.operators.relief import relieff
@@ -647,7 +647,15 @@ def q_gmm_components(spark, sf):
 @query("boosted_trees")
 def q_boosted_trees(spark, sf):
     train, test = _emb_train_test(spark, sf)
-    return models.boosted_trees(train, test, EMB64, rounds=BOOST_ROUNDS, seed=1)
+    return models.boosted_trees(train, test, EMB64, rounds=BOOST_ROUNDS)
+
+
+@query("boosted_stumps")
+def q_boosted_stumps(spark, sf):
+    """Every split and leaf of two rounds of depth 1."""
+    train = _emb_train_test(spark, sf)[0].withColumn("fit", F.lit(0))
+    grown = boosting.fit_boosted(train, EMB64, 10, rounds=2, depth=1)
+    return finish(boosting.split_table(spark, grown, EMB64).select("round", "class", "feature", "cut", "left", "right"))
 
 
 @query("mlp_classifier")
