@@ -15,13 +15,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (LinearSVC, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+                                       OneVsRest)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.boosting import boosted_scores, fit_boosted
+from foldwise.operators.forest import extra_trees, importances
 from foldwise.operators.neighbors import knn_join
 from foldwise.operators.network import network_scores, network_shape, train_network
 from foldwise.operators.nulls import complete_features
@@ -173,18 +174,10 @@ def _assemble(df: DataFrame, features: list[str], out: str = "features") -> Data
 
 
 def rf_importance(df: DataFrame, features: list[str], label: str = "DX", seed: int = 1,
-                  num_trees: int = 38, max_depth: int = 30) -> DataFrame:
-    """Impurity importances of a forest grown on all rows without bootstrap, sqrt(F)
-    candidate features per split: (feature, position, score). ``max_depth``: the library's
-    own limit by default."""
-    data = _assemble(df.where(F.col(label).isNotNull()), features).select(
-        "features", F.col(label).cast("double").alias("label")).persist()
-    model = RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy="sqrt", bootstrap=False,
-                                   maxDepth=max_depth, seed=seed, labelCol="label").fit(data)
-    data.unpersist()
-    imp = model.featureImportances.toArray().tolist()
-    rows = [(f, i, float(imp[i])) for i, f in enumerate(features)]
-    return df.sparkSession.createDataFrame(rows, "feature string, position int, score double")
+                  num_trees: int = 38, max_depth: int | None = None) -> DataFrame:
+    """Impurity importances of extremely randomised trees grown on all rows, sqrt(F) candidate features a
+    split (:mod:`foldwise.operators.forest`): (feature, position, score)."""
+    return importances(extra_trees(df, features, label, seed, num_trees, max_depth=max_depth), features, num_trees)
 
 
 def _vector_scores(pred: DataFrame, key: str, col: str) -> DataFrame:

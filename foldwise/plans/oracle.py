@@ -486,6 +486,7 @@ SELECT row_id, CAST(c AS INTEGER) AS class, {r6('p')} AS p, 0 AS slot FROM knn
 UNION ALL
 SELECT row_id, CAST(c AS INTEGER), {r6('exp(j - m) / z')}, 1 FROM jt JOIN jm USING (row_id) JOIN js USING (row_id)"""
     S["boosted_stumps"] = stumps_sql()
+    S["forest_splits"] = forest_sql()
     S["cross_validate"] = cv_sql()
     S["repeat_experiments"] = " UNION ALL ".join(
         f"SELECT config, fold, metric, class, value, {rep} AS repetition FROM ({cv_sql(seed=rep)})" for rep in range(1, 21))
@@ -584,3 +585,27 @@ m{t + 1} AS (SELECT m.row_id, m.DX, m.k, m.m + coalesce(CASE WHEN x.x <= b.cut T
     rows = " UNION ALL ".join(f"SELECT {t} AS round, k AS class, 'e' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, "
                               f"{r6('cut')} AS cut, {r6('wl')} AS left, {r6('wr')} AS right FROM b{t}" for t in range(rounds))
     return "WITH " + ",\n".join(parts) + "\n" + rows.replace("AS left", 'AS "left"').replace("AS right", 'AS "right"')
+
+
+def forest_sql(trees: int = 6, levels: int = 2, most: int = 8, seed: int = 1) -> str:
+    """Upper levels of extremely randomised trees on the embeddings; draws are md5(seed|tree|node|feature)."""
+    parts = [f"""e AS (SELECT vec_id AS row_id, label AS DX, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT row_id, DX, i, v[i] AS x FROM e, range(1, 65) r(i)),
+n0 AS (SELECT row_id, DX, CAST(t AS INTEGER) AS tree, '1' AS node FROM e, range(0, {trees}) r(t))"""]
+    for t in range(levels):
+        parts.append(f"""r{t} AS (SELECT tree, node, i, min(x) AS lo, max(x) AS hi, count(*) AS n, min(x.DX) <> max(x.DX) AS mixed
+    FROM n{t} JOIN x USING (row_id) GROUP BY tree, node, i),
+h{t} AS (SELECT *, md5('{seed}|' || CAST(tree AS VARCHAR) || '|' || node || '|' || CAST(i - 1 AS VARCHAR)) AS h FROM r{t} WHERE hi > lo AND mixed),
+d{t} AS (SELECT tree, node, i, n, lo + CAST(('0x' || substr(h, 9, 8)) AS BIGINT) / 4294967296.0 * (hi - lo) AS cut,
+    row_number() OVER (PARTITION BY tree, node ORDER BY CAST(('0x' || substr(h, 1, 8)) AS BIGINT), i) AS nth FROM h{t}),
+k{t} AS (SELECT d.tree, d.node, d.i, d.n, d.cut, d.nth, x.DX, count(*) AS c, count(*) FILTER (x.x <= d.cut) AS l
+    FROM d{t} d JOIN n{t} m ON m.tree = d.tree AND m.node = d.node JOIN x ON x.row_id = m.row_id AND x.i = d.i
+    WHERE d.nth <= {most} GROUP BY d.tree, d.node, d.i, d.n, d.cut, d.nth, x.DX),
+q{t} AS (SELECT tree, node, i, n, cut, nth, round(sum(l * l) / CAST(sum(l) AS DOUBLE) + sum((c - l) * (c - l)) / CAST(n - sum(l) AS DOUBLE)
+    - sum(c * c) / CAST(n AS DOUBLE), 9) AS decrease FROM k{t} GROUP BY tree, node, i, n, cut, nth HAVING sum(l) > 0 AND sum(l) < n),
+b{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY decrease DESC, nth) AS r FROM q{t}) WHERE r = 1),
+n{t + 1} AS (SELECT n.row_id, n.DX, n.tree, n.node || CASE WHEN x.x <= b.cut THEN '0' ELSE '1' END AS node
+    FROM n{t} n JOIN b{t} b USING (tree, node) JOIN x ON x.row_id = n.row_id AND x.i = b.i)""")
+    rows = " UNION ALL ".join(f"SELECT tree, node, 'e' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, {r6('cut')} AS cut, n, {r6('decrease')} AS decrease "
+                              f"FROM b{t}" for t in range(levels))
+    return "WITH " + ",\n".join(parts) + "\n" + rows

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from foldwise.functions.hashing import md5_u32, md5_uniform
 from foldwise.operators import datasets as ds
-from foldwise.operators import boosting, ensemble, metrics, models, projection, sampling, scaling, selectors
+from foldwise.operators import boosting, ensemble, forest, metrics, models, projection, sampling, scaling, selectors
 from foldwise.operators.joins import drop_columns, label_encode, left_join_enrich, rename_columns
 from foldwise.operators.neighbors import knn_join
 from foldwise.operators.relief import relieff
@@ -625,6 +625,13 @@ def q_rf_importance(spark, sf):
     return r.select("rank", "feature", "position", "score")
 
 
+@query("forest_splits")
+def q_forest_splits(spark, sf):
+    """The splits of the two upper levels of six trees."""
+    s = forest.extra_trees(tb.embeddings_wide(spark, sf), EMB64, seed=1, num_trees=6, max_depth=2)
+    return finish(s.select("tree", "node", F.get(F.array(*[F.lit(f) for f in EMB64]), "feature").alias("feature"), "cut", "n", "decrease"))
+
+
 @query("pca_project")
 def q_pca_project(spark, sf):
     out, ratios = projection.pca_project(tb.embeddings_wide(spark, sf), EMB64, 3)
