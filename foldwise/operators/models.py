@@ -1,28 +1,22 @@
 """Classifier slots. Every slot returns long class scores (row_id, class, p).
 
 Closed-form slots (Gaussian naive Bayes, k-NN vote shares) are aggregates and joins and can
-be checked exactly. Iterative slots wrap ``pyspark.ml`` estimators: random forest
-importances, one-vs-rest gradient-boosted trees, and an RBF-kernel SVM approximated by random
-Fourier features (Rahimi & Recht 2007) + linear SVMs with a multinomial logistic calibration
-of their margins; and a feed-forward net trained by summed mini-batch gradients.
+be checked exactly. Iterative slots are fitted by aggregates over the rows, for all folds and repetitions at once:
+softmax gradient-boosted trees, RBF-kernel SVMs, and a feed-forward net.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (LinearSVC, LogisticRegression,
-                                       OneVsRest)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.boosting import boosted_scores, fit_boosted
 from foldwise.operators.forest import extra_trees, importances
+from foldwise.operators.kernel_svm import fit_svc, svc_scores
 from foldwise.operators.neighbors import knn_join
 from foldwise.operators.network import network_scores, network_shape, train_network
 from foldwise.operators.nulls import complete_features
@@ -166,13 +160,7 @@ def boosted_fold_scores(df: DataFrame, features: list[str], params: dict, n_clas
     return _of_repetition(boosted_scores(rows.where("is_test"), "z", grown, n_classes, key), params, key)
 
 
-# -- pyspark.ml slots -------------------------------------------------------------------------
-def _assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    """Vectors of complete rows; a NULL feature is an error, in training and in scoring."""
-    df = complete_features(df, features, "classifier slot")
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(df)
-
-
+# -- iterative slots ----------------------------------------------------------------------------
 def rf_importance(df: DataFrame, features: list[str], label: str = "DX", seed: int = 1,
                   num_trees: int = 38, max_depth: int | None = None) -> DataFrame:
     """Impurity importances of extremely randomised trees grown on all rows, sqrt(F) candidate features a
@@ -180,10 +168,6 @@ def rf_importance(df: DataFrame, features: list[str], label: str = "DX", seed: i
     return importances(extra_trees(df, features, label, seed, num_trees, max_depth=max_depth), features, num_trees)
 
 
-def _vector_scores(pred: DataFrame, key: str, col: str) -> DataFrame:
-    return pred.select(key, F.posexplode(vector_to_array(F.col(col))).alias("class", "p"))
-
-
 def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX",
                   key: str = "row_id", rounds: int = 100, depth: int = 3, step: float = 0.1) -> DataFrame:
     """Softmax gradient-boosted trees (:mod:`foldwise.operators.boosting`); classes are 0..C-1."""
@@ -209,43 +193,15 @@ def mlp_classifier(train: DataFrame, test: DataFrame, features: list[str], n_cla
     return network_scores(test, features, weights, shape, key, hard)
 
 
-def rff_features(df: DataFrame, features: list[str], n_components: int = 64, gamma: float | None = None,
-                 seed: int = 1, key_cols=("row_id", "DX")) -> tuple[DataFrame, list[str]]:
-    """Random Fourier features z_j = sqrt(2/D) cos(w_j . x + b_j), w ~ N(0, 2 gamma I),
-    b ~ U(0, 2 pi); the (D x F) parameters are seeded draws, not data."""
-    d = len(features)
-    gamma = gamma or 1.0 / d
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
-    b = rng.uniform(0, 2 * math.pi, size=n_components)
-    scale = math.sqrt(2.0 / n_components)
-    keep = [c for c in key_cols if c in df.columns]
-    names = [f"rff{j}" for j in range(n_components)]
-
-    def project(batches):  # one matrix product per Arrow batch
-        for pdf in batches:
-            z = scale * np.cos(pdf[features].to_numpy(dtype=np.float64) @ W.T + b)
-            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(z, columns=names)], axis=1)
-    df = complete_features(df, features, "random Fourier features")
-    types = dict(df.dtypes)
-    sel = df.select(*keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{c} double" for c in names])
-    return sel.mapInPandas(project, schema), names
+def rbf_svc(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX", key: str = "row_id",
+            C: float = 0.0016, seed: int = 1) -> DataFrame:
+    """RBF-kernel SVM with coupled pairwise probabilities (:mod:`foldwise.operators.kernel_svm`)."""
+    fitted = fit_svc(train.withColumn("fit", F.lit(0)), features, C, label=label, key=key, seed=seed)
+    return svc_scores(test.withColumn("fit", F.lit(0)), features, fitted, key).drop("fit")
 
 
-def rbf_svc(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX", key: str = "row_id",
-            C: float = 0.0016, n_components: int = 64, seed: int = 1, max_iter: int = 20) -> DataFrame:
-    """RBF-kernel SVM stand-in: random Fourier features, one-vs-rest linear SVMs
-    (regParam = 1 / (C n)), margins calibrated by a multinomial logistic regression."""
-    n = train.count()
-    trf, cols = rff_features(train, features, n_components, seed=seed, key_cols=(key, label))
-    tef, _ = rff_features(test, features, n_components, seed=seed, key_cols=(key,))
-    tr = _assemble(trf, cols).select(key, "features", F.col(label).cast("double").alias("label")).persist()
-    svm = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter), parallelism=8)
-    ovr = svm.fit(tr)
-    tr_m = ovr.transform(tr).select("label", F.col("rawPrediction").alias("margins")).persist()
-    cal = LogisticRegression(featuresCol="margins", family="multinomial", maxIter=50).fit(tr_m)
-    tr.unpersist()
-    tr_m.unpersist()
-    te_m = ovr.transform(_assemble(tef, cols)).select(key, F.col("rawPrediction").alias("margins"))
-    return _vector_scores(cal.transform(te_m), key, "probability")
+def svc_fold_scores(df: DataFrame, features: list[str], params: dict, label: str = "DX", key: str = "row_id") -> DataFrame:
+    """(rep, key, class, p) of all tested folds, whose machines are fitted together."""
+    rows = write_and_read(fold_rows(df, features, params, label, key), "svm_folds")
+    fitted = fit_svc(rows.where("not is_test"), "z", label=label, key=key)
+    return _of_repetition(svc_scores(rows.where("is_test"), "z", fitted, key), params, key)

@@ -126,6 +126,8 @@ def fold_scores(classifier: str, df: DataFrame, features: list[str], per: dict,
         return models.knn_fold_scores(df, features, params)
     if family == "xgb":
         return models.boosted_fold_scores(df, features, params, n_classes, rounds=int(cfg.get("rounds", 100)))
+    if family == "svc":
+        return models.svc_fold_scores(df, features, params)
 
     def one(of):
         rep, i = of

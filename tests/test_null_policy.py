@@ -45,7 +45,7 @@ def test_incomplete_rows_are_an_error_or_dropped_on_request(rows):
     lambda d: models.knn_scores(d, d, ["a", "b"]),
     lambda d: models.gaussian_nb(d, d, ["a", "b"]),
     lambda d: models.boosted_trees(d, d, ["a", "b"], rounds=2),
-    lambda d: models.rbf_svc(d, d, ["a", "b"], max_iter=2),
+    lambda d: models.rbf_svc(d, d, ["a", "b"]),
     lambda d: models.rf_importance(d, ["a", "b"]),
     lambda d: models.mlp_classifier(d, d, ["a", "b"], 3, [["4", "tanh"], ["3", "softmax"]], ["0", "0"], epochs=1),
     lambda d: sampling.smote(d, ["a", "b"]),
