@@ -18,7 +18,7 @@ from foldwise.operators.boosting import boosted_scores, fit_boosted
 from foldwise.operators.forest import extra_trees, importances
 from foldwise.operators.kernel_svm import fit_svc, svc_scores
 from foldwise.operators.neighbors import knn_join
-from foldwise.operators.network import network_scores, network_shape, train_network
+from foldwise.operators.network import network_scores, network_shape, train_networks
 from foldwise.operators.nulls import complete_features
 from foldwise.operators.scaling import merge_moments, moments, scaled_moments
 from foldwise.sources.sink import write_and_read
@@ -189,8 +189,18 @@ def mlp_classifier(train: DataFrame, test: DataFrame, features: list[str], n_cla
     """Feed-forward net as configured (:mod:`foldwise.operators.network`). With ``hard`` the
     slot scores are the one-hot argmax, as the deep-learning slot reports them."""
     shape = network_shape(len(features), list(layers), list(dropouts), n_classes)
-    weights = train_network(train, features, shape, int(epochs), int(batch_size), opt, loss, rate, label, key, seed)
-    return network_scores(test, features, weights, shape, key, hard)
+    nets = train_networks(train.withColumn("fit", F.lit(0)), features, shape, int(epochs), int(batch_size), opt, loss, rate, label, key, {0: seed})
+    return network_scores(test.withColumn("fit", F.lit(0)), features, nets, shape, key, hard).drop("fit")
+
+
+def mlp_fold_scores(df: DataFrame, features: list[str], params: dict, n_classes: int, layers: list, dropouts: list, epochs: int, batch_size: int,
+                    opt: str, loss: str, label: str = "DX", key: str = "row_id") -> DataFrame:
+    """(rep, key, class, p) of all tested folds, whose networks are trained by the same jobs."""
+    rows = write_and_read(fold_rows(df, features, params, label, key), "network_folds")
+    shape = network_shape(len(features), list(layers), list(dropouts), n_classes)
+    seeds = {n: int(rep) for n, (rep, _) in enumerate(params)}
+    nets = train_networks(rows.where("not is_test"), "z", shape, epochs, batch_size, opt, loss, None, label, key, seeds)
+    return _of_repetition(network_scores(rows.where("is_test"), "z", nets, shape, key), params, key)
 
 
 def rbf_svc(train: DataFrame, test: DataFrame, features: list[str], label: str = "DX", key: str = "row_id",

@@ -85,8 +85,8 @@ def select_slots(cfg: dict, datasets: dict[str, DataFrame], seed: int = 1, name:
 
 
 FAMILIES = ("knn", "nb", "svc", "xgb", "dl")
-#: Fits of iterative slots that run at once.
-PARALLEL_FITS = 4
+#: Configurations that run at once.
+PARALLEL_CONFIGS = 4
 
 
 def family_of(classifier: str) -> str:
@@ -109,16 +109,18 @@ def slot_scores(classifier: str, train: DataFrame, test: DataFrame, features: li
         return models.rbf_svc(train, test, features, seed=seed)
     if family == "xgb":
         return models.boosted_trees(train, test, features, rounds=int(cfg.get("rounds", 100)))
-    return models.mlp_classifier(train, test, features, n_classes, layers=cfg.get("layers", [["64", "tanh"], ["5", "softmax"]]),
-                                 dropouts=cfg.get("dropouts", ["0", "0"]), epochs=int(cfg.get("epochs", 40)),
-                                 batch_size=int(cfg.get("batch_size", 32)), seed=seed, opt=str(cfg.get("opt", "adam")),
-                                 loss=str(cfg.get("loss", "categorical_crossentropy")))
+    return models.mlp_classifier(train, test, features, n_classes, seed=seed, **_network(cfg))
+
+
+def _network(cfg: dict) -> dict:
+    return {"layers": cfg.get("layers", [["64", "tanh"], ["5", "softmax"]]), "dropouts": cfg.get("dropouts", ["0", "0"]),
+            "epochs": int(cfg.get("epochs", 40)), "batch_size": int(cfg.get("batch_size", 32)), "opt": str(cfg.get("opt", "adam")),
+            "loss": str(cfg.get("loss", "categorical_crossentropy"))}
 
 
 def fold_scores(classifier: str, df: DataFrame, features: list[str], per: dict, params: dict, n_classes: int,
                 cfg: dict) -> DataFrame:
-    """(rep, row_id, class, p) of all repetitions and tested folds of one slot. Closed-form slots do them in one
-    pass; for the others each is a fit of its own, a few at a time."""
+    """(rep, row_id, class, p) of all repetitions and tested folds of one slot, fitted and scored together."""
     family = family_of(classifier)
     if family == "nb":
         return models.gaussian_nb_fold_scores(df, features, per, params)
@@ -128,16 +130,7 @@ def fold_scores(classifier: str, df: DataFrame, features: list[str], per: dict,
         return models.boosted_fold_scores(df, features, params, n_classes, rounds=int(cfg.get("rounds", 100)))
     if family == "svc":
         return models.svc_fold_scores(df, features, params)
-
-    def one(of):
-        rep, i = of
-        mine = df.where(F.col("rep") == rep)
-        train = scaling.apply_scale(mine.where(F.col("fold") != i), features, params[of]["train"])
-        test = scaling.apply_scale(mine.where(F.col("fold") == i), features, params[of]["test"])
-        return slot_scores(classifier, train, test, features, n_classes, cfg, rep).select(
-            F.lit(rep).cast("long").alias("rep"), "row_id", F.col("class").cast("int").alias("class"), "p")
-    with ThreadPool(PARALLEL_FITS) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, list(params)))
+    return models.mlp_fold_scores(df, features, params, n_classes, **_network(cfg))
 
 
 def same_rows(slots: list[tuple[DataFrame, list[str]]], nulls: str = "exclude") -> list[tuple[DataFrame, list[str]]]:
@@ -166,8 +159,8 @@ def cross_validate_many(cfg: dict, slots: list[tuple[DataFrame, list[str]]], see
     the seed as ``rep``.
 
     The seed is a key column of one plan: synthetic rows of all seeds come from one neighbour search,
-    folds from one ranking, statistics from one aggregate, and the closed-form slots score all seeds and
-    folds in one pass; so the number of jobs does not depend on the number of seeds (but for iterative slots)."""
+    folds from one ranking, statistics from one aggregate, and a slot's models of all seeds and folds are fitted by
+    the same jobs; so the number of jobs does not depend on the number of seeds."""
     classifiers = cfg["classifiers"][:len(slots)]
     slots = same_rows(slots, nulls)
     n_classes = slots[0][0].select("DX").distinct().count()
@@ -248,7 +241,7 @@ def run_experiment(name: str, cfg: dict, datasets: dict[str, DataFrame], seed: i
 
 def run_all(cfgs: dict, datasets: dict[str, DataFrame], seed: int = 1) -> DataFrame:
     """Every config with one seed, a few at a time."""
-    with ThreadPool(PARALLEL_FITS) as pool:
+    with ThreadPool(PARALLEL_CONFIGS) as pool:
         runs = pool.map(lambda c: run_experiment(c[0], c[1], datasets, seed)[0], cfgs.items())
     return reduce(DataFrame.unionByName, runs)
 
