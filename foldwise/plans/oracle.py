@@ -487,6 +487,11 @@ UNION ALL
 SELECT row_id, CAST(c AS INTEGER), {r6('exp(j - m) / z')}, 1 FROM jt JOIN jm USING (row_id) JOIN js USING (row_id)"""
     S["boosted_stumps"] = stumps_sql()
     S["forest_splits"] = forest_sql()
+    S["gmm_single"] = f"""WITH {DOCS}, x AS (SELECT ln(1 + n_chars) AS a, ln(1 + n_spaces) AS b, ln(1 + n_newlines) AS c FROM d),
+s AS (SELECT count(*) AS n, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac,
+  covar_pop(b, c) AS bc FROM x),
+l AS (SELECT n, -0.5 * n * (3 * ln(2 * pi()) + 3 + ln(aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac))) AS ll FROM s)
+SELECT 1 AS k, round(ll, 3) AS log_likelihood, 9 AS n_params, round(18 - 2 * ll, 3) AS aic, round(9 * ln(n) - 2 * ll, 3) AS bic, true AS chosen FROM l"""
     S["cross_validate"] = cv_sql()
     S["repeat_experiments"] = " UNION ALL ".join(
         f"SELECT config, fold, metric, class, value, {rep} AS repetition FROM ({cv_sql(seed=rep)})" for rep in range(1, 21))
