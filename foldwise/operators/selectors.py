@@ -9,6 +9,7 @@ Every selector returns a score table (feature, position, score); cuts are separa
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,3 +172,54 @@ def dispatch(method: str, df: DataFrame, features: list[str], n, label: str = "D
     order = "position" if method == "univariate" else "rank"
     names = [r["feature"] for r in ranked.orderBy(order).select("feature").collect()]
     return names, ranked
+
+
+SELECTORS = ("ig", "univariate", "mrmr", "relieff", "rf")
+
+
+def score_store(df: DataFrame, views: dict[str, list[str]], methods=SELECTORS, label: str = "DX", key: str = "row_id",
+                seed: int = 1) -> DataFrame:
+    """(dataset, selector, rank, feature, position, score): every feature of every view ranked once by each
+    selector; a selection of any size is a cut of it. Scores that do not depend on the other features of a view (ig,
+    univariate) are computed once for all views; greedy mRMR ranks a view to its end, so that each size is a prefix.
+    ``views``: feature lists over the columns of ``df``."""
+    unknown = [m for m in methods if m not in SELECTORS]
+    if unknown:
+        raise ValueError(f"selectors {unknown} are not in {SELECTORS}")
+    spark = df.sparkSession
+    layout = spark.createDataFrame([(v, f, i) for v, fs in views.items() for i, f in enumerate(fs)], "dataset string, feature string, position int")
+    every = list(dict.fromkeys(f for fs in views.values() for f in fs))
+    columns = ["dataset", "selector", "rank", "feature", "position", "score"]
+    out = []
+    for method, score, tie in (("ig", info_gain, "first"), ("univariate", anova_f, "last")):
+        if method in methods:
+            scored = layout.join(score(df, every, label, key).select("feature", "score"), "feature").withColumn("selector", F.lit(method))
+            out.append(rank_scores(scored, ["dataset"], tie).select(*columns))
+    for view, features in views.items():
+        for method in methods:
+            if method == "mrmr":
+                ranked = mrmr_miq(df, features, len(features), label, key)
+            elif method == "relieff":
+                from foldwise.operators.relief import relieff
+                ranked = rank_scores(relieff(df, features, label, key))
+            elif method == "rf":
+                from foldwise.operators.models import rf_importance
+                ranked = rank_scores(rf_importance(df, features, label, seed=seed))
+            else:
+                continue
+            out.append(ranked.select(F.lit(view).alias("dataset"), F.lit(method).alias("selector"), "rank", "feature", "position",
+                                     F.col("score").cast("double").alias("score")))
+    from foldwise.sources.sink import write_and_read
+    return write_and_read(reduce(DataFrame.unionByName, out), "score_store")
+
+
+def size_grid(views: dict[str, list[str]]) -> dict[str, dict[str, int]]:
+    """Small, medium and large selections of each view: a quarter, half and three quarters of its features."""
+    return {v: {s: max(1, len(fs) * q // 4) for s, q in (("S", 1), ("M", 2), ("L", 3))} for v, fs in views.items()}
+
+
+def cut_sizes(store: DataFrame, sizes: dict[str, dict[str, int]]) -> DataFrame:
+    """(dataset, selector, size, n, rank, feature, score): the selections of a grid, from the store's ranks."""
+    grid = store.sparkSession.createDataFrame([(v, s, n) for v, by in sizes.items() for s, n in by.items()], "dataset string, size string, n int")
+    return store.join(F.broadcast(grid), "dataset").where(F.col("rank") <= F.col("n")).select(
+        "dataset", "selector", "size", "n", "rank", "feature", "score")

@@ -317,21 +317,12 @@ top AS (SELECT feature, CAST(row_number() OVER (ORDER BY mi DESC, {pos_case(bask
 SELECT lg.row_id, top.rank, lg.feature, {r6('lg.value')} AS value, lg.DX FROM lg JOIN top USING (feature) WHERE top.rank <= 2"""
     S["select_none"] = f"WITH {CLEAN_W}\nSELECT row_id, " + ", ".join(
         f"{r6(c)} AS {c}" if c not in ("n_lines", "max_linenumber", "o_orderstatus", "order_year") else c for c in basket) + ", DX FROM cw"
-    grid_parts = []
-    for v in ("buyer", "basket"):
-        cols = VIEW_COLS[v]
-        grid_parts.append(f"SELECT '{v}' AS dataset, 'ig' AS selector, feature, {pos_case(cols)} AS position, mi AS score FROM mi_{v}")
-        grid_parts.append(f"SELECT '{v}' AS dataset, 'univariate' AS selector, feature, {pos_case(cols)} AS position, score FROM fa_{v}")
     per_view = []
     for v in ("buyer", "basket"):
         per_view.append(f"lg_{v} AS ({long_sql('cw', VIEW_COLS[v])})")
         per_view.append(mi_ctes(f"lg_{v}", f"_{v}"))
         per_view.append(anova_ctes(f"lg_{v}", f"_{v}"))
-    S["ranking_grid"] = f"""WITH {CLEAN_W}, {', '.join(per_view)},
-sc AS ({' UNION ALL '.join(grid_parts)}),
-rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY dataset, selector ORDER BY score DESC NULLS LAST, position) AS INTEGER) AS rank FROM sc),
-grid AS (SELECT * FROM (VALUES ('buyer'), ('basket')) d(dataset), (VALUES ('ig'), ('univariate')) s(selector), (VALUES (1), (2), (3)) n(n))
-SELECT grid.dataset, grid.selector, CAST(n AS INTEGER) AS n, rank, feature, {r6('score')} AS score FROM grid JOIN rk USING (dataset, selector) WHERE rank <= n"""
+    S["ranking_grid"] = grid_sql()
 
     # split / scale / weights
     S["standard_scale"] = f"""WITH st AS (SELECT avg(c_acctbal) AS m1, stddev_pop(c_acctbal) AS s1, avg(CAST(c_nationkey AS DOUBLE)) AS m2,
@@ -614,3 +605,40 @@ n{t + 1} AS (SELECT n.row_id, n.DX, n.tree, n.node || CASE WHEN x.x <= b.cut THE
     rows = " UNION ALL ".join(f"SELECT tree, node, 'e' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, {r6('cut')} AS cut, n, {r6('decrease')} AS decrease "
                               f"FROM b{t}" for t in range(levels))
     return "WITH " + ",\n".join(parts) + "\n" + rows
+
+
+def grid_sql() -> str:
+    """Views at a quarter, half and three quarters of their features, by information gain, ANOVA F and greedy mRMR."""
+    full = VIEW_COLS["full"]
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS f, '{b}' AS g, CAST({q(a)} AS DOUBLE) AS fv, CAST({q(b)} AS DOUBLE) AS gv, "
+                               f"CAST(count(*) AS DOUBLE) AS n FROM cw WHERE {q(a)} IS NOT NULL AND {q(b)} IS NOT NULL GROUP BY ALL"
+                               for i, a in enumerate(full) for b in full[i + 1:])
+    parts = [f"""{CLEAN_W}, lg AS ({long_sql('cw', full)}),
+{mi_ctes('lg')},
+{anova_ctes('lg')},
+pxy AS ({pairs}),
+pfx AS (SELECT f, g, fv, sum(n) AS nf FROM pxy GROUP BY ALL),
+pgx AS (SELECT f, g, gv, sum(n) AS ng FROM pxy GROUP BY ALL),
+pnt AS (SELECT f, g, sum(n) AS nt FROM pxy GROUP BY ALL),
+half AS (SELECT f, g, sum(n / nt * ln(n * nt / (nf * ng))) AS r FROM pxy JOIN pfx USING (f, g, fv) JOIN pgx USING (f, g, gv) JOIN pnt USING (f, g) GROUP BY f, g),
+red AS (SELECT f, g, r FROM half UNION ALL SELECT g, f, r FROM half)"""]
+    rows = []
+    for v, cols in VIEW_COLS.items():
+        names = ", ".join(f"'{c}'" for c in cols)
+        sizes = {s: max(1, len(cols) * k // 4) for s, k in (("S", 1), ("M", 2), ("L", 3))}
+        parts.append(f"rel_{v} AS (SELECT feature, mi, {pos_case(cols)} AS position FROM mi WHERE feature IN ({names}))")
+        parts.append(f"p1_{v} AS (SELECT feature, mi AS score FROM rel_{v} ORDER BY mi DESC, position LIMIT 1)")
+        for n in range(2, sizes["L"] + 1):
+            chosen = " UNION ALL ".join(f"SELECT feature FROM p{i}_{v}" for i in range(1, n))
+            parts.append(f"c{n}_{v} AS ({chosen})")
+            parts.append(f"""p{n}_{v} AS (SELECT rel.feature, any_value(rel.mi) / (avg(red.r) + 0.0001) AS score FROM rel_{v} rel
+  JOIN red ON red.f = rel.feature JOIN c{n}_{v} c ON c.feature = red.g WHERE rel.feature NOT IN (SELECT feature FROM c{n}_{v})
+  GROUP BY rel.feature ORDER BY score DESC, any_value(rel.position) LIMIT 1)""")
+        ranked = [f"SELECT 'ig' AS selector, feature, mi AS score, row_number() OVER (ORDER BY mi DESC, position) AS rank FROM rel_{v}",
+                  f"SELECT 'univariate', feature, score, row_number() OVER (ORDER BY score DESC NULLS LAST, {pos_case(cols)} DESC) FROM fa WHERE feature IN ({names})",
+                  *[f"SELECT 'mrmr', feature, score, {i} FROM p{i}_{v}" for i in range(1, sizes["L"] + 1)]]
+        parts.append(f"rk_{v} AS ({' UNION ALL '.join(f'({r})' for r in ranked)})")
+        values = ", ".join(f"('{s}', {n})" for s, n in sizes.items())
+        rows.append(f"SELECT '{v}' AS dataset, selector, size, CAST(n AS INTEGER) AS n, CAST(rank AS INTEGER) AS rank, feature, {r6('score')} AS score "
+                    f"FROM rk_{v}, (VALUES {values}) g(size, n) WHERE rank <= n")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(rows)

@@ -515,32 +515,27 @@ def q_select_none(spark, sf):
     return finish(basket)
 
 
-@query("ranking_grid")
-def q_ranking_grid(spark, sf):
-    """Score every feature once per selector, then cut each size of the grid from that
-    ranking. A feature's score does not depend on the view it appears in, so the distinct
-    features of all views are scored together and attached to the views by a (view, feature,
-    position) table — one row per view column, metadata."""
+def _grid(spark, sf, methods) -> DataFrame:
+    """Three views at three sizes, every selection a cut of one store of scores."""
     wide, parts = cleaned_parts(spark, sf, views=True)
-    grid_views = ("buyer", "basket")
-    exprs = {}
-    for v in grid_views:
+    exprs: dict = {}
+    for v in tb.VIEWS:
         for f, e in parts[v]:
             exprs.setdefault(f, e)
-    feats = list(exprs)
-    fw = wide.select("row_id", *[e.alias(f) for f, e in exprs.items()], "DX")
-    scored = (selectors.info_gain(fw, feats).select("feature", F.lit("ig").alias("selector"), "score")
-              .unionByName(selectors.anova_f(fw, feats).select("feature", F.lit("univariate").alias("selector"), "score")))
-    layout = spark.createDataFrame([(v, f, i) for v in grid_views for i, (f, _) in enumerate(parts[v])],
-                                   "dataset string, feature string, position int")
-    per_view = layout.join(scored, "feature")
-    # equal scores go to the later column for select-k-best, to the earlier one otherwise
-    ranked = selectors.rank_scores(per_view.where("selector = 'ig'"), ["dataset", "selector"]).unionByName(
-        selectors.rank_scores(per_view.where("selector = 'univariate'"), ["dataset", "selector"], tie="last"))
-    grid = spark.createDataFrame([(d, m, n) for d in grid_views for m in ("ig", "univariate") for n in (1, 2, 3)],
-                                 "dataset string, selector string, n int")
-    return finish(grid.join(ranked, ["dataset", "selector"]).where(F.col("rank") <= F.col("n"))
-                  .select("dataset", "selector", "n", "rank", "feature", "score"))
+    rows = write_and_read(wide.select("row_id", *[e.alias(f) for f, e in exprs.items()], "DX"), "grid_rows")
+    views = {v: [f for f, _ in parts[v]] for v in tb.VIEWS}
+    return finish(selectors.cut_sizes(selectors.score_store(rows, views, methods), selectors.size_grid(views)))
+
+
+@query("ranking_grid")
+def q_ranking_grid(spark, sf):
+    return _grid(spark, sf, ("ig", "univariate", "mrmr"))
+
+
+@query("ranking_grid_all")
+def q_ranking_grid_all(spark, sf):
+    """The grid with all five selectors."""
+    return _grid(spark, sf, selectors.SELECTORS)
 
 
 @query("feature_rank_report")
