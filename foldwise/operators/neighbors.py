@@ -41,9 +41,15 @@ CELLS = 4_000_000
 
 
 def _paired(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Distances along the last axis."""
+    """Distances along the last axis. 'mixed:i,j': Manhattan, with 0 or 1 (equal or not) for the features at i, j."""
     diff = a - b
-    return np.sqrt(np.sum(diff * diff, axis=-1)) if metric == "euclidean" else np.sum(np.abs(diff), axis=-1)
+    if metric == "euclidean":
+        return np.sqrt(np.sum(diff * diff, axis=-1))
+    diff = np.abs(diff)
+    if metric.startswith("mixed:"):
+        at = [int(i) for i in metric[6:].split(",") if i]
+        diff[..., at] = diff[..., at] > 0
+    return np.sum(diff, axis=-1)
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -76,8 +82,13 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf["x"].tolist(), dtype=np.float64)
 
 
-def _block_topk(k: int, exclude_self: bool, metric: str):
+def _block_topk(k: int, exclude_self: bool, metric: str, per: bool = False):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if per and not left.empty and not right.empty:  # the k nearest of each kind of right rows
+            return pd.concat([block(left, rows).assign(grp=kind) for kind, rows in right.groupby("__per")], ignore_index=True)
+        return block(left, right)
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"left_id": pd.Series([], dtype="int64"),
                                  "right_id": pd.Series([], dtype="int64"),
@@ -129,12 +140,14 @@ def _cells(left: DataFrame, right: DataFrame, k: int, metric: str, n_right: int,
 
     def nearest(batches):
         for pdf in assign(batches):
-            first = pdf.sort_values(["__grp", "cell", "d"]).groupby(["__grp", "cell"]).head(k)
-            yield first[["__grp", "cell", "d"]]
+            pdf["__kind"] = pdf[kind]
+            first = pdf.sort_values(["__grp", "__kind", "cell", "d"]).groupby(["__grp", "__kind", "cell"]).head(k)
+            yield first[["__grp", "__kind", "cell", "d"]]
     left = write_and_read(left.mapInPandas(assign, f"{lcols}, cell int, d double"), "knn_left")
-    w = Window.partitionBy("__grp", "cell").orderBy("d")  # over k rows of each cell and batch
-    close = (right.mapInPandas(nearest, "__grp string, cell int, d double").withColumn("n", F.row_number().over(w))
-             .where(F.col("n") <= k).groupBy("__grp").agg(F.collect_list(F.struct("cell", "d")).alias("close")))
+    kind = "__per" if "__per" in right.columns else "__grp"
+    w = Window.partitionBy("__grp", "__kind", "cell").orderBy("d")  # over k rows of each cell and batch
+    close = (right.mapInPandas(nearest, "__grp string, __kind string, cell int, d double").withColumn("n", F.row_number().over(w))
+             .where(F.col("n") <= k).groupBy("__grp", "__kind").agg(F.collect_list(F.struct("cell", "d")).alias("close")))
     radii = left.groupBy("__grp", "cell").agg(F.max("d").alias("u")).groupBy("__grp").agg(
         F.collect_list(F.struct("cell", "u")).alias("radii"))
     between = _distances(pivots, pivots, metric)
@@ -145,7 +158,7 @@ def _cells(left: DataFrame, right: DataFrame, k: int, metric: str, n_right: int,
         for c in r["radii"]:
             to_kth = np.sort(c["u"] + between[c["cell"], cell] + d)
             bound[c["cell"]] = (c["u"] + to_kth[k - 1]) * (1 + SLACK) if len(to_kth) >= k else np.inf
-        bounds[r["__grp"]] = bound
+        bounds[r["__grp"]] = np.maximum(bound, bounds.get(r["__grp"], -np.inf))  # of its kinds, the farthest
 
     def send(batches):
         for pdf in batches:
@@ -184,16 +197,25 @@ def _in_blocks(left: DataFrame, right: DataFrame, keys: list[str], block_rows: i
 def knn_join(left: DataFrame, right: DataFrame, features: list[str] | str, k: int, key: str = "row_id",
              by: list[str] | None = None, exclude_self: bool = False, metric: str = "euclidean",
              block_rows: int = 20000, right_features: list[str] | None = None,
-             left_by: list[str] | None = None, left_rows: int | None = None, nulls: str = "error") -> DataFrame:
+             left_by: list[str] | None = None, left_rows: int | None = None, nulls: str = "error", per: str | None = None,
+             discrete: list[int] = ()) -> DataFrame:
     """(left_id, rank, right_id, dist): the k nearest right rows of every left row.
 
     ``by``: right columns whose values must equal the left's ``left_by`` columns (default the
     same names) — e.g. the class for same-class neighbours; NULL equals nothing. ``nulls``:
     policy for rows with a NULL feature on either side. ``left_rows``: the number of left
     rows, if known. Features may also be the name of one column of complete vectors.
+    ``per``: a right column, of whose every value the k nearest rows are wanted, from one search; the value comes as text
+    in ``grp`` (NULL values are left out). ``discrete``: positions of features that differ by 0 or 1.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
+    if discrete:
+        if metric != "manhattan":
+            raise ValueError("discrete features need the Manhattan metric")
+        metric = "mixed:" + ",".join(map(str, discrete))
+    if per and by:
+        raise ValueError("'per' and 'by' exclude each other")
     by = list(by or [])
     left_by = list(left_by or by)
     rf = right_features or features
@@ -204,8 +226,8 @@ def knn_join(left: DataFrame, right: DataFrame, features: list[str] | str, k: in
         left, right = complete_features(left, features, "k-NN join, left side", nulls), complete_features(right, rf, "k-NN join, right side", nulls)
     L = _vectors(left, key, features, group(left_by),
                  *[F.col(c).alias(f"__by{i}") for i, c in enumerate(left_by)])
-    R = _vectors(right, key, rf, group(by),
-                 *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)])
+    R = _vectors(right.where(F.col(per).isNotNull()) if per else right, key, rf, group(by),
+                 *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *([F.col(per).cast("string").alias("__per")] if per else []))
     sizes = R.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("__grp").alias("g")).first()
     n_right, groups = sizes["n"], max(1, sizes["g"])
     n_left = left_rows if left_rows is not None else L.count()
@@ -218,8 +240,8 @@ def knn_join(left: DataFrame, right: DataFrame, features: list[str] | str, k: in
         keys.append("cell")
     L, R = _in_blocks(L, R, keys, block_rows)
     blocks = [*keys, "__lb", "__rb"]
-    cand = L.groupBy(*blocks).cogroup(R.groupBy(*blocks)).applyInPandas(_block_topk(k, exclude_self, metric), OUT_SCHEMA)
+    cand = L.groupBy(*blocks).cogroup(R.groupBy(*blocks)).applyInPandas(_block_topk(k, exclude_self, metric, bool(per)), OUT_SCHEMA)
     # a left row has one candidate list per ``by`` group it was sent to
     w = Window.partitionBy("left_id", "grp").orderBy("dist", "right_id")
     out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.select("left_id", "rank", "right_id", "dist", *(["grp"] if by else []))
+    return out.select("left_id", "rank", "right_id", "dist", *(["grp"] if by or per else []))

@@ -391,6 +391,20 @@ wt AS (SELECT nb.*, (CASE WHEN ac = bc THEN -1.0 ELSE (cb.n * 1.0 / m) / (1 - ca
 """ + "\nUNION ALL\n".join(f"SELECT '{f}' AS feature, {i} AS position, {r6(f'sum(w * d{i}) / any_value(m)')} AS score FROM wt, tot"
                              for i, f in enumerate(EMB))
 
+    mixed = ["acctbal", "cycle", "nation", "third"]  # the last two are discrete
+    S["relieff_mixed"] = f"""WITH c AS (SELECT c_custkey AS row_id, CAST(c_acctbal AS DOUBLE) AS acctbal, CAST(c_custkey % 97 AS DOUBLE) AS cycle,
+  CAST(c_nationkey AS DOUBLE) AS nation, CAST(c_custkey % 3 AS DOUBLE) AS third, {case_codes('c_mktsegment', tb.SEGMENT_LABELS)} AS DX FROM customer),
+rg AS (SELECT max(acctbal) - min(acctbal) AS r0, max(cycle) - min(cycle) AS r1 FROM c),
+x AS (SELECT row_id, DX, acctbal / r0 AS x0, cycle / r1 AS x1, nation AS x2, third AS x3 FROM c, rg),
+pr AS (SELECT a.row_id AS aid, a.DX AS ac, b.row_id AS bid, b.DX AS bc, abs(a.x0 - b.x0) AS d0, abs(a.x1 - b.x1) AS d1,
+  CAST(a.x2 <> b.x2 AS DOUBLE) AS d2, CAST(a.x3 <> b.x3 AS DOUBLE) AS d3 FROM x a JOIN x b ON a.row_id <> b.row_id),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aid, bc ORDER BY d0 + d1 + d2 + d3, bid) AS rn FROM pr) WHERE rn <= 10),
+nf AS (SELECT aid, bc, count(*) AS nf FROM nb GROUP BY aid, bc),
+cnt AS (SELECT DX, count(*) AS n FROM x GROUP BY DX), tot AS (SELECT count(*) AS m FROM x),
+wt AS (SELECT nb.*, m, (CASE WHEN ac = bc THEN -1.0 ELSE (cb.n * 1.0 / m) / (1 - ca.n * 1.0 / m) END) / nf AS w
+  FROM nb JOIN nf USING (aid, bc) JOIN cnt ca ON ca.DX = ac JOIN cnt cb ON cb.DX = bc, tot)
+""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {i} AS position, {r6(f'sum(w * d{i}) / any_value(m)')} AS score FROM wt" for i, f in enumerate(mixed))
+
     # ensemble / metrics
     S["one_hot"] = f"""WITH {WIDE} SELECT row_id, CAST(c AS INTEGER) AS class, CAST(CASE WHEN DX = c THEN 1.0 ELSE 0.0 END AS DOUBLE) AS y FROM w, range(0, 5) r(c)"""
     S["label_inverse"] = """SELECT o_orderkey AS row_id, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS idx, o_orderpriority AS label FROM orders"""

@@ -614,6 +614,17 @@ def q_relieff(spark, sf):
     return finish(relieff(tb.embeddings_wide(spark, sf), EMB64, k=10))
 
 
+@query("relieff_mixed")
+def q_relieff_mixed(spark, sf):
+    """Two continuous features, and two that are discrete by their number of values."""
+    c = tb.table(spark, sf, "customer", ["c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"])
+    k = F.col("c_custkey")
+    rows = c.select(k.alias("row_id"), F.col("c_acctbal").cast("double").alias("acctbal"), (k % 97).cast("double").alias("cycle"),
+                    F.col("c_nationkey").cast("double").alias("nation"), (k % 3).cast("double").alias("third"),
+                    label_encode("c_mktsegment", tb.SEGMENT_LABELS).alias("DX"))
+    return finish(relieff(rows, ["acctbal", "cycle", "nation", "third"], k=10, discrete_threshold=30))
+
+
 @query("rf_importance")
 def q_rf_importance(spark, sf):
     r = selectors.rank_scores(models.rf_importance(tb.embeddings_wide(spark, sf), EMB64, seed=1))

@@ -59,7 +59,11 @@ def test_no_local_checkpoints_pandas_collects_or_rdds_in_engine():
 COLLECTS = {
     "datasets.py": 1,     # catalog entries: one per feature
     "neighbors.py": 3,    # pivots, cell radii, k distances a cell: MAX_PIVOTS x k
-    "network.py": 1,      # one gradient a task
+    "network.py": 2,      # a row a network; the averaged weights of each
+    "boosting.py": 2,     # cuts by model and feature; a split by model, node and class
+    "forest.py": 2,       # class labels; a row a large node
+    "kernel_svm.py": 4,   # a row a model; its landmarks; a row a machine; counts in bins
+    "mixtures.py": 4,     # one row; candidates of a round, twice; the components
     "relief.py": 2,       # one row of ranges; one row per class
     "sampling.py": 1,     # at most three class names, for an error
     "scaling.py": 1,      # a row per group and feature

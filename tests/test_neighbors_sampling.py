@@ -71,3 +71,43 @@ def test_relieff_anchor_subset_still_ranks_planted_first(spark):
     df = spark.createDataFrame(rows, "row_id long, DX int, good double, noise double")
     w = {r["feature"]: r["score"] for r in relieff(df, ["good", "noise"], k=5, anchors=30, block_rows=16).collect()}
     assert w["good"] > w["noise"]
+
+
+def test_nearest_of_every_kind_with_discrete_features(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from foldwise.operators import neighbors
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.normal(size=90), rng.integers(0, 3, 90), rng.normal(size=90)], axis=1)
+    kind = [None if i % 17 == 0 else "abc"[i % 3] for i in range(90)]
+    df = spark.createDataFrame([(i, k, *map(float, v)) for i, (k, v) in enumerate(zip(kind, x))], "row_id long, kind string, p double, q double, r double")
+    d = np.abs(x[:, None] - x[None])
+    d[..., 1] = d[..., 1] > 0
+    d = d.sum(axis=2)
+    for pairs in (0, 5_000_000):  # with and without cells
+        monkeypatch.setattr(neighbors, "TASK_PAIRS", pairs)
+        got = {}
+        for r in neighbors.knn_join(df, df, ["p", "q", "r"], 4, exclude_self=True, metric="manhattan", block_rows=30, per="kind", discrete=[1]).collect():
+            got.setdefault((r["left_id"], r["grp"]), []).append((r["rank"], r["right_id"]))
+        assert len(got) == 90 * 3
+        for (i, k), rows in got.items():
+            want = sorted((d[i, j], j) for j in range(90) if j != i and kind[j] == k)[:4]
+            assert sorted(rows) == [(n + 1, j) for n, (_, j) in enumerate(want)]
+
+
+def test_distances_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from foldwise.operators import neighbors
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(20_000, 64)), rng.normal(size=(256, 64))
+    tracemalloc.start()
+    d = neighbors._distances(a, b, "euclidean")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert d.shape == (20_000, 256) and peak < 300e6
+    i, j, near = neighbors._near_pairs(a[:50], b, 5, "euclidean", None)
+    assert all(set(np.argsort(d[r])[:5]) <= set(j[i == r]) for r in range(50)) and np.array_equal(near, d[i, j])
