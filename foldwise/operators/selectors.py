@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,8 +96,19 @@ def kbest_mask(scores: DataFrame, n: int, n_features: int, group_cols=()) -> Dat
     return rank_scores(scores, group_cols, tie="last").where(F.col("rank") <= n)
 
 
+def pairwise_mi(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
+    """MI of pairs of features, in both orders, from one aggregate (a row a pair reaches the driver)."""
+    number = [F.struct(F.lit(i).alias("feature"), F.col(f"`{f}`").cast("double").alias("value"), F.col(f"`{g}`").cast("double").alias("__s"))
+              for i, (f, g) in enumerate(pairs)]
+    if not pairs:
+        return {}
+    found = mutual_info_long(df.select(F.inline(F.array(*number))), "__s").collect()
+    mi = {pairs[r["feature"]]: r["mi"] for r in found}
+    return mi | {(g, f): v for (f, g), v in mi.items()}
+
+
 def mrmr_miq(df: DataFrame, features: list[str], n: int, label: str = "DX", key: str = "row_id",
-             eps: float = 1e-4) -> DataFrame:
+             eps: float = 1e-4, relevance: dict | None = None, redundancy: dict | None = None) -> DataFrame:
     """Greedy max-relevance / min-redundancy, quotient form (Peng et al. 2005).
 
     step 1: argmax MI(f; label); step t: argmax MI(f; label) / (mean_s MI(f; s) + eps) over
@@ -105,13 +117,15 @@ def mrmr_miq(df: DataFrame, features: list[str], n: int, label: str = "DX", key:
     Ties go to the earlier column; a feature without a usable value comes last, with NULL
     scores. Returns (rank, feature, position, relevance, score). The features and the label
     are written once and read by every step; one number per feature and step reaches the
-    driver.
+    driver. With ``relevance`` {feature: MI} and ``redundancy`` {(feature, feature): MI} known, no job is run.
     """
     n = max(1, min(int(n), len(features)))
-    if n > 1:
+    if n > 1 and redundancy is None:
         from foldwise.sources.sink import write_and_read
         df = write_and_read(df.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features], label), "mrmr_input")
-    rel = {r["feature"]: r["mi"] for r in mutual_info_long(to_long(df, features, key, label), label).collect()}
+    rel = relevance
+    if rel is None:
+        rel = {r["feature"]: r["mi"] for r in mutual_info_long(to_long(df, features, key, label), label).collect()}
     empty = [f for f in features if rel.get(f) is None]
     features_all, features = features, [f for f in features if f not in empty]
     n_scored = min(n, len(features))
@@ -124,11 +138,15 @@ def mrmr_miq(df: DataFrame, features: list[str], n: int, label: str = "DX", key:
     while 0 < len(picks) < n_scored:
         last = picks[-1][0]
         remaining = [f for f in features if f not in {p for p, _ in picks}]
-        long = (df.select(key, F.col(f"`{last}`").cast("double").alias("__s"),
-                          *[F.col(f"`{f}`").cast("double").alias(f) for f in remaining])
-                .unpivot([key, "__s"], remaining, "feature", "value"))
-        for r in mutual_info_long(long, "__s").collect():
-            red_sum[r["feature"]] += r["mi"]
+        if redundancy is not None:
+            for f in remaining:
+                red_sum[f] += redundancy.get((f, last), 0.0)
+        else:
+            long = (df.select(key, F.col(f"`{last}`").cast("double").alias("__s"),
+                              *[F.col(f"`{f}`").cast("double").alias(f) for f in remaining])
+                    .unpivot([key, "__s"], remaining, "feature", "value"))
+            for r in mutual_info_long(long, "__s").collect():
+                red_sum[r["feature"]] += r["mi"]
         k = len(picks)
         score = {f: rel[f] / (red_sum[f] / k + eps) for f in remaining}
         best = max(remaining, key=lambda f: (score[f], -pos[f]))
@@ -190,15 +208,22 @@ def score_store(df: DataFrame, views: dict[str, list[str]], methods=SELECTORS, l
     layout = spark.createDataFrame([(v, f, i) for v, fs in views.items() for i, f in enumerate(fs)], "dataset string, feature string, position int")
     every = list(dict.fromkeys(f for fs in views.values() for f in fs))
     columns = ["dataset", "selector", "rank", "feature", "position", "score"]
+    from foldwise.sources.sink import write_and_read
     out = []
-    for method, score, tie in (("ig", info_gain, "first"), ("univariate", anova_f, "last")):
+    gains = write_and_read(info_gain(df, every, label, key), "score_ig") if {"ig", "mrmr"} & set(methods) else None
+    for method, tie in (("ig", "first"), ("univariate", "last")):
         if method in methods:
-            scored = layout.join(score(df, every, label, key).select("feature", "score"), "feature").withColumn("selector", F.lit(method))
+            scores = gains if method == "ig" else anova_f(df, every, label, key)
+            scored = layout.join(scores.select("feature", "score"), "feature").withColumn("selector", F.lit(method))
             out.append(rank_scores(scored, ["dataset"], tie).select(*columns))
+    relevance, redundancy = None, None
+    if "mrmr" in methods:  # views share their pairs of features
+        relevance = {r["feature"]: r["score"] for r in gains.collect()}
+        redundancy = pairwise_mi(df, sorted({tuple(sorted(p)) for fs in views.values() for p in combinations(fs, 2)}))
     for view, features in views.items():
         for method in methods:
             if method == "mrmr":
-                ranked = mrmr_miq(df, features, len(features), label, key)
+                ranked = mrmr_miq(df, features, len(features), label, key, relevance=relevance, redundancy=redundancy)
             elif method == "relieff":
                 from foldwise.operators.relief import relieff
                 ranked = rank_scores(relieff(df, features, label, key))
@@ -209,7 +234,6 @@ def score_store(df: DataFrame, views: dict[str, list[str]], methods=SELECTORS, l
                 continue
             out.append(ranked.select(F.lit(view).alias("dataset"), F.lit(method).alias("selector"), "rank", "feature", "position",
                                      F.col("score").cast("double").alias("score")))
-    from foldwise.sources.sink import write_and_read
     return write_and_read(reduce(DataFrame.unionByName, out), "score_store")
 
 

@@ -67,7 +67,7 @@ COLLECTS = {
     "relief.py": 2,       # one row of ranges; one row per class
     "sampling.py": 1,     # at most three class names, for an error
     "scaling.py": 1,      # a row per group and feature
-    "selectors.py": 3,    # a row per feature
+    "selectors.py": 5,    # a row per feature, or per pair of features
     "rules.py": None,     # one row of means a stage
     "experiment.py": None,
 }
