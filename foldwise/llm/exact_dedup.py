@@ -44,7 +44,8 @@ def _decide(df: DataFrame, id_col: str, text_col: str, normalise, keep: str, who
         carried = [F.struct(df[text_col].isNull().alias("null_text"), *others).alias(_ROW)]
     rows = df.select(*carried, (normalise(text) if normalise else text).alias(_TEXT), df[id_col].cast("long").alias(_ID))
     hot = F.broadcast(_hot_texts(rows, parts))  # fewer than 2 x partitions rows
-    salt = F.coalesce(F.pmod(F.xxhash64(_ID), F.col("__salts")), F.lit(0)).cast("int")
+    # with the input partition, so that copies with one id (or none) are dealt out, too
+    salt = F.coalesce(F.pmod(F.xxhash64(_ID, F.spark_partition_id()), F.col("__salts")), F.lit(0)).cast("int")
     rows = (rows.join(hot, F.xxhash64(_TEXT) == F.col("__h"), "left")
             .withColumn(_SALT, salt).withColumn("__hot", F.col("__h").isNotNull()).drop("__h", "__salts"))
     # short keys: splitters are drawn from samples that the driver holds
@@ -61,7 +62,7 @@ def _decide(df: DataFrame, id_col: str, text_col: str, normalise, keep: str, who
     rows = written(rows, "copies")
     # the parts of a hot text meet: one row for each, fewer than 4 x partitions
     lead = F.struct(F.col("__keep").isNotNull().alias("known"),
-                    (F.col("__keep") if keep == "largest" else -F.col("__keep")).alias("order"), F.col(_SALT).alias("part"))
+                    (F.col("__keep") if keep == "largest" else F.bitwise_not("__keep")).alias("order"), F.col(_SALT).alias("part"))
     parts_of = (rows.where("__hot and __nth = 1").groupBy(F.col("__sha").alias("__hot_sha"))
                 .agg(F.max(F.struct(lead.alias("lead"), F.col("__keep").alias("keep"))).alias("__best"),
                      F.sum("__size").alias("__whole")))
