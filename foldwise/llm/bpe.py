@@ -5,7 +5,8 @@ distinct slice is merged once per worker and looked up afterwards. The byte offs
 id is kept, so any id range maps back to its bytes.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; other columns of
-the input are not read; repeated rows give repeated results; an empty table an empty result.
+the input are not read; a null doc_id stays null; repeated rows and rows that share a doc_id give a
+result each; an empty table an empty result.
 Texts of any length are encoded whole (a slice of n bytes costs n log n).
 """
 

@@ -6,7 +6,8 @@ slice therefore holds the exact token count of each of its prefixes, and a runni
 slices the count of each prefix of a text. Truncation and budget questions read these tables.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; other columns are not read;
-repeated rows give repeated results; an empty table an empty result; texts count whole.
+a null doc_id stays null; repeated rows and rows that share a doc_id give a result each; an empty table an
+empty result; texts count whole.
 """
 
 from __future__ import annotations
