@@ -58,14 +58,18 @@ def template(flat: Column, capitals: str = INSIDE) -> Column:
     """Template of a text in the form of :func:`spaced`; word k stays word k."""
     # patterns begin with what is rare, and look back from there
     names = F.regexp_replace(flat, capitals, NAME)
-    numbers = F.regexp_replace(names, r"[-+$€£]?\d+(?:[.,:/]\d+)*", NUMBER)
+    # a text without a digit has no numbers, and one without a number no units
+    numbers = F.when(flat.rlike(r"\d"), F.regexp_replace(names, r"[-+$€£]?\d+(?:[.,:/]\d+)*", NUMBER)).otherwise(names)
     units = F.regexp_replace(numbers, rf"(?i)({NUMBER} )(?:{'|'.join(UNITS)})(?=[\s\p{{P}}]|$)", f"$1{UNIT}")
+    units = F.when(F.contains(numbers, F.lit(f"{NUMBER} ")), units).otherwise(numbers)
     return F.lower(F.regexp_replace(units, r"[^\p{L}\p{M}<> ]+", ""))
 
 
 def literal(flat: Column) -> Column:
     """A text with its numbers and signs, lower-cased, without the other punctuation."""
-    bare_words = F.regexp_replace(flat, r"[^\p{L}\p{M}\p{N}\p{S}./,:%* -]+|(?<![\p{Nd} ])[./,:-]+|[./,:-]+(?![\p{Nd} ])|[.,:]+(?= |$)", "")
+    # first, that a character is none of those that stay; signs are looked back from, not forward to
+    signs = r"(?=[^ \p{L}\p{M}\p{N}\p{S}%*])(?:[^\p{L}\p{M}\p{N}\p{S}./,:%* -]+|[./,:-](?<![\p{Nd} ][./,:-])[./,:-]*|[./,:-]+(?![\p{Nd} ])|[.,:]+(?= |$))"
+    bare_words = F.regexp_replace(flat, signs, "")
     return F.lower(bare_words)
 
 
@@ -105,7 +109,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, need: int) -> Dat
     """(doc_id, tag, item_id, n_windows, item_windows, n_slots, reparameterised) of every leak; a tag is a hash of
     the text, so that rows of one id stay apart."""
     text = docs["text"].cast("string")
-    flat = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), spaced(text).alias("flat")).where("flat <> ''")
+    flat = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), spaced(text).alias("flat")).where(text.rlike(r"[^\s ]"))  # flat <> '', told by the first such character
     items = (benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), spaced(benchmark["text"]).alias("flat"))
              .where("flat <> ''").distinct().withColumn("item_tag", F.xxhash64("flat")))
     words_of_item = F.size(F.split("flat", " "))
