@@ -10,7 +10,8 @@ distance form an alignment, whose names must be consistent: a benchmark name sta
 document name. So a question with other numbers or names is found, and a chance agreement of
 templates with contradicting names is not. Numbers and units may change one by one.
 
-An alignment is a leak if at least `need` of its windows agree (all, if the item has fewer).
+An alignment is a leak if at least `need` of its windows agree (all, if the item has fewer); contradicting names do not
+matter if so many agree word for word.
 Items shorter than the window are one window of their own length. Windows in which more than
 half the words are placeholders prove nothing as templates and count only word by word.
 
@@ -141,17 +142,18 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, need: int) -> Dat
         *[f"item_{name}" for name in FORMS], "item_values",
         *[part_of(F.col(name)).alias(f"doc_{name}") for name in FORMS], part_of(F.split("flat", " ")).alias("doc_values"))
     same = {name: F.coalesce(F.col(f"doc_{name}") == F.col(f"item_{name}"), F.lit(False)) for name in FORMS}
-    hits = hits.withColumns({"by_form": same["inside"] | same["anywhere"], "agrees": reduce(Column.__or__, same.values())}).where("agrees")
+    hits = hits.withColumns({"by_form": same["inside"] | same["anywhere"], "verbatim": same["literal"], "agrees": reduce(Column.__or__, same.values())}).where("agrees")
     # the slots of the form that agrees; words that agree themselves are slots with their own values
     kinds = F.when(same["inside"], F.col("item_inside")).when(same["anywhere"], F.col("item_anywhere")).otherwise(F.col("doc_inside"))
     hits = hits.withColumn("kinds", kinds)
     slot = F.filter(F.arrays_zip("kinds", "item_values", "doc_values"), lambda s: s["kinds"].rlike(SLOT))
     slots = F.transform(slot, lambda s: F.struct(s["kinds"].alias("kind"), bare(s["item_values"]).alias("a"),
                                                  bare(s["doc_values"]).alias("b")))
-    found = (hits.select("doc_id", "tag", "item_id", "item_tag", "shift", "item_pos", "by_form", slots.alias("slots"))
+    found = (hits.select("doc_id", "tag", "item_id", "item_tag", "shift", "item_pos", "by_form", "verbatim", slots.alias("slots"))
              .groupBy("doc_id", "tag", "item_id", "item_tag", "shift")
              .agg(F.countDistinct("item_pos").alias("n_windows"),
                   F.countDistinct(F.when(F.col("by_form"), F.col("item_pos"))).alias("n_form"),
+                  F.countDistinct(F.when(F.col("verbatim"), F.col("item_pos"))).alias("n_verbatim"),
                   F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
     pairs = F.size("slots")
     names = F.filter("slots", lambda s: s["kind"].contains(NAME))
@@ -159,7 +161,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, need: int) -> Dat
     changed = F.exists("slots", lambda s: s["a"] != s["b"])
     enough = ((F.col("n_windows") >= F.least(F.lit(need), "item_windows"))
               | ((F.col("form_windows") > 0) & (F.col("n_form") >= F.least(F.lit(need), "form_windows"))))
-    return (found.where(one_name).join(per_item, ["item_id", "item_tag"]).where(enough)
+    # enough windows word for word are a leak whatever the names in the others
+    verbatim = F.col("n_verbatim") >= F.least(F.lit(need), "item_windows")
+    return (found.withColumn("one_name", one_name).join(per_item, ["item_id", "item_tag"]).where(verbatim | (F.col("one_name") & enough))
             .select("doc_id", "tag", "item_id", "n_windows", "item_windows", pairs.alias("n_slots"), (~changed).alias("same")))
 
 

@@ -223,20 +223,21 @@ def test_leaks_and_clean_documents(spark):
     filler = "Quite other words stand here and go on for a while without any meaning at all. "
     docs = [(1, filler + ITEM + " " + filler), (2, ITEM.upper().lower()), (3, filler * 3),
             (4, filler + ITEM.replace("9", "7").replace("120", "340").replace("Anna", "Berta")),  # re-parameterised
-            (5, ITEM.replace("before Anna", "before Carl")),  # Anna is two persons: contradicting slots
+            (5, ITEM.replace("before Anna", "before Carl")),  # Anna is two persons, but 13 words in a row are the item's
+            (11, ITEM.replace("9", "7").replace("120", "340").replace("before Anna", "before Carl")),  # contradicting slots
             (6, "A train leaves the old town and nothing else."), (None, ITEM), (7, None), (8, ""),
             (9, "short item here"), (10, "Is it that the short item here counts?"), (4, ITEM)]
     df = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(70, ITEM), (70, ITEM), (71, "Short item here!"), (72, None), (73, " "), (None, filler + "Never seen at all.")],
                                   "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(df, bench).where("item_id is not null").collect()}
-    assert {k for k in got if k[1] == 70} == {(1, 70), (2, 70), (4, 70), (None, 70)}
+    assert {k for k in got if k[1] == 70} == {(1, 70), (2, 70), (4, 70), (5, 70), (None, 70)}
     assert {k for k in got if k[1] == 71} == {(9, 71), (10, 71)}
     only = decontam.leaks(df.where("text like '%Berta%'"), bench).first()
     assert only["reparameterised"] and only["n_slots"] == 4
     clean = decontam.keep_clean(df, bench.where("item_id is not null"))
     assert clean.columns == df.columns
-    assert {r["doc_id"] for r in clean.collect()} == {3, 5, 6, 7, 8}
+    assert {r["doc_id"] for r in clean.collect()} == {3, 6, 7, 8, 11}
     assert decontam.leaks(df.limit(0), bench).count() == 0
     assert decontam.leaks(df, bench.limit(0)).count() == 0
     assert decontam.keep_clean(df, bench.limit(0)).count() == len(docs)
