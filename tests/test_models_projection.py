@@ -98,3 +98,11 @@ def test_cross_validate_end_to_end(spark):
     for f in range(3):
         acc = got[(f, "accuracy")]
         assert got[(f, "auc")] == pytest.approx((1 + acc - (1 - acc) / 2) / 2)
+
+
+def test_lda_with_tasks_that_have_no_rows(spark):
+    rows = [tuple(r) for r in planted(spark, 30).collect()]
+    many = spark.createDataFrame(spark.sparkContext.parallelize(rows, 45), "row_id long, DX int, good double, n1 double, n2 double")
+    one = projection.lda_project(spark.createDataFrame(rows, many.schema).coalesce(1), FEATS, 1)[0].orderBy("row_id").collect()
+    spread = projection.lda_project(many, FEATS, 1)[0].orderBy("row_id").collect()
+    assert np.allclose(np.abs([r["ld0"] for r in one]), np.abs([r["ld0"] for r in spread]))
