@@ -114,3 +114,36 @@ def test_blocks_follow_parallelism(clusters):
 def test_unknown_metric_is_refused(clusters):
     with pytest.raises(ValueError):
         knn_join(clusters[0], clusters[0], ["f0"], 1, metric="cosine")
+
+
+def test_a_right_row_is_sent_once_a_block(spark, monkeypatch):
+    """Where boxes leave out nothing, rows are not repeated for every cell; the join stays exact."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 24))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, " + ", ".join(f"f{i} double" for i in range(24)))
+    feats = [f"f{i}" for i in range(24)]
+    v = neighbors._vectors(df, "row_id", feats, F.lit("").alias("__grp"))
+    left, right = neighbors._cells(v, v, 4, "euclidean", len(x))
+    assert left.count() == right.count() == len(x)
+    monkeypatch.setattr(neighbors, "TASK_PAIRS", 0)
+    d = neighbors._distances(x, x, "euclidean")
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in knn_join(df, df, feats, 3, exclude_self=True).collect():
+        got.setdefault(r["left_id"], []).append((r["rank"], r["right_id"]))
+    assert all(sorted(got[i]) == [(n + 1, int(j)) for n, j in enumerate(np.argsort(d[i])[:3])] for i in range(len(x)))
+
+
+def test_many_equal_rows_are_not_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "TASK_PAIRS", 0)
+    rows = [(i, float(i % 3), float(i % 2)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double")
+    sent, cells = [], neighbors._cells
+    monkeypatch.setattr(neighbors, "_cells", lambda left, right, *a: sent.append(right.count()) or cells(left, right, *a))
+    got = {}
+    for r in knn_join(df, df, ["a", "b"], 3, exclude_self=True).collect():
+        got.setdefault(r["left_id"], []).append((r["rank"], r["right_id"], r["dist"]))
+    assert sent[0] <= 6 * 4  # six different rows, k and the row itself of each
+    for i in (0, 7, 601, 1199):
+        want = [j for j in range(i % 6, 1200, 6) if j != i][:3]
+        assert sorted(got[i]) == [(n + 1, j, 0.0) for n, j in enumerate(want)]
