@@ -106,3 +106,27 @@ def test_boxplot(spark):
     v = spark.createDataFrame([("c", float(x)) for x in [1, 2, 3, 4, 5]], "config string, value double")
     r = metrics.boxplot_stats(v, ["config"]).collect()[0]
     assert (r["q1"], r["median"], r["q3"], r["whisker_lo"], r["whisker_hi"], r["n_outliers"]) == (2, 3, 4, 1, 5, 0)
+
+
+def test_hex_digits_compare_like_draws(spark):
+    from fractions import Fraction
+
+    from foldwise.functions.hashing import hex_of, md5_hex, md5_uniform
+    df = spark.range(3000)
+    for share in (0.0, 0.1, 0.5, 0.6, 0.7, 1.0):
+        assert df.where((md5_uniform(7, "ok", F.col("id")) < share) != (md5_hex(7, "ok", F.col("id")) < hex_of(share))).count() == 0
+    for i in range(1, 5):
+        assert df.where((F.floor(md5_uniform(7, F.col("id")) * 5) >= i) != (md5_hex(7, F.col("id")) >= hex_of(Fraction(i, 5)))).count() == 0
+
+
+def test_predictions_are_made_once(spark):
+    from foldwise.operators import metrics
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    pred = spark.createDataFrame([(i, i % 3, i % 2, i % 4) for i in range(60)], "row_id long, fold int, DX int, pred int")
+    metrics.fold_metrics(pred.mapInArrow(count, pred.schema), 4).collect()
+    assert made.value == 60
