@@ -292,3 +292,22 @@ def test_pipeline_stages_keep_columns_on_awkward_rows(spark, awkward, empty):
             out = stage(spark, docs, SF)
             assert out.columns == awkward.columns and out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """More labelled rows than the driver fits: none is left out, and the model is that of the small fit, nearly."""
+    rng = np.random.default_rng(2)
+    rows = [(i, ("Some quiet words in a row. " if i % 2 else "BUY NOW !!! $$$ ") * int(rng.integers(1, 9)) + f"word{rng.integers(99)}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i % 2) ^ int(rng.random() < 0.1)) for i in range(900)], "doc_id long, quality int")
+    one = quality.learn(docs, labels)
+    sizes, many = [], quality.fit_many
+    monkeypatch.setattr(quality, "MAX_LABELS", 100)
+    monkeypatch.setattr(quality, "fit_many", lambda found, size, accept: sizes.append((size, found.agg(F.sum("n")).first()[0])) or many(found, size, accept, per_bucket=200))
+    all_ = quality.learn(docs, labels)
+    trained = sum(crc(i) % 5 != 0 for i in range(900))
+    assert sizes == [(trained, trained)]
+    assert np.allclose(one.mean, all_.mean) and np.allclose(one.scale, all_.scale)
+    x = np.array([quality.measures(t) for _, t in rows])
+    assert np.corrcoef(one.strength(x), all_.strength(x))[0, 1] > 0.99
+    assert ((one.score(x) >= 0.3) == (all_.score(x) >= 0.3)).mean() > 0.95
