@@ -42,6 +42,8 @@ from .common import chunks, texts_of, written
 
 LENGTH, GRAM, WORD = 200, 40, 20
 GROUP_STRINGS, BATCH_BYTES = 2000, 1 << 19
+#: Bytes of cut runs, and of texts at the end, that a task holds at once.
+CUT_BYTES, TEXT_BYTES = 1 << 20, 1 << 21
 #: Windows of a run when a hot group is cut, level by level.
 CUTS = (24, 1)
 _PIECE = 1 << 15  # window starts hashed at once: arrays stay in the cache; below 2 ** 20, see anchors()
@@ -316,9 +318,17 @@ def _cut_rows(step: int):
 
         def signed(v):
             return v - (1 << 64) if v >> 63 else v
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        rows, size = [], 0
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                               names=["h", "d", "n", "back", "data", "of_h", "of_d", "skip"])
+            rows.clear()
+            return batch
         for batch in batches:
-            rows = []
-            for h, d, n, back, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for h, d, n, back, data in zip(*(batch.column(i) for i in range(5))):
+                h, d, n, back, data = h.as_py(), d.as_py(), n.as_py(), back.as_py(), data.as_py()
                 far, near = back, back - (len(data) - LENGTH)  # distances from window starts to the anchor
                 for seg in range(near // step, far // step + 1):
                     q1, q0 = min(far, seg * step + step - 1), max(near, seg * step)
@@ -327,10 +337,12 @@ def _cut_rows(step: int):
                     core = data[lo:lo - step + 1 + LENGTH]
                     key = signed(xxh3_64_intdigest(core, seed=(h ^ seg * _MUL) & (1 << 64) - 1))
                     rows.append((key, signed(xxh3_64_intdigest(part, seed=q1)), n, q1, part, h, d, far - q1))
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                             names=["h", "d", "n", "back", "data", "of_h", "of_d", "skip"])
+                    size += len(part)
+                if size >= CUT_BYTES:  # the runs of a string hold many times its bytes
+                    yield flush()
+                    size = 0
+        if rows:
+            yield flush()
     return run
 
 
@@ -395,15 +407,18 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         for batch in batches:
-            sizes, removed, kept = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data, merged = text.encode(), merge_spans([(s["a"], s["b"]) for s in spans or []])
-                edges = [0, *[x for s in merged for x in s], len(data)]
-                sizes.append(len(data))
-                removed.append([{"a": a, "b": b} for a, b in merged])
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind),
-                                              pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
+            start = 0
+            for keys, texts in chunks([batch], TEXT_BYTES):
+                sizes, removed, kept = [], [], []
+                for text, spans in zip(texts, batch.column(2).slice(start, len(texts)).to_pylist()):
+                    data, merged = text.encode(), merge_spans([(s["a"], s["b"]) for s in spans or []])
+                    edges = [0, *[x for s in merged for x in s], len(data)]
+                    sizes.append(len(data))
+                    removed.append([{"a": a, "b": b} for a, b in merged])
+                    kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                start += len(texts)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(removed, kind),
+                                                  pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
     return rows.select("doc_id", "text", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, removed array<struct<a: long, b: long>>, kept binary")
 
