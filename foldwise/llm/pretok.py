@@ -21,6 +21,8 @@ FRESH, IN_L, IN_N, IN_O, AFTER_SP, IN_WS, C1, C2 = range(8)  # states
 # The code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
                0x3000]
+#: End of the planes with letters and numbers.
+PLANES = 0x40000
 # Letters that follow an apostrophe in the pattern's contractions.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
@@ -79,10 +81,10 @@ def class_table() -> np.ndarray:
     global _classes
     if _classes is None:
         t = np.full(sys.maxunicode + 1, O, np.uint8)
-        cats = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
-        a = np.array(cats)
-        t[a == "L"] = L
-        t[a == "N"] = N
+        # above, Unicode has no letters or numbers: tags, selectors and private use
+        a = np.array([unicodedata.category(chr(c))[0] for c in range(PLANES)])
+        t[:PLANES][a == "L"] = L
+        t[:PLANES][a == "N"] = N
         t[WHITE_SPACE] = _WS
         _classes = t
     return _classes
@@ -176,7 +178,8 @@ def one_by_one(encode):
 
 
 class SliceTable:
-    """Ids of text slices, each distinct slice encoded once; emptied when it holds `limit` slices."""
+    """Ids of text slices, each distinct slice encoded once. When it holds `limit` slices, those that came in one call only
+    go (or all, if more than half of them are left)."""
 
     def __init__(self, encode_many, limit: int = 600_000):
         """encode_many: slices -> (ids of all in a row, ids per slice)."""
@@ -188,6 +191,26 @@ class SliceTable:
         self.used = 0
         self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
+        self.again = np.zeros(1 << 12, bool)  # rows that came in a later call, too
+
+    def _make_room(self):
+        kept = np.flatnonzero(self.again[:len(self.rows)])
+        if 2 * len(kept) > self.limit:
+            kept = kept[:0]
+        slices, rows = list(self.rows), _Rows()
+        rows.update(zip([slices[i] for i in kept.tolist()], range(len(kept))))
+        flat, ends = self._ids(kept)
+        counts = self.counts[kept]
+        self._clear()
+        if len(kept):
+            self.rows, self.used, self.flat, self.counts = rows, len(flat), flat, counts
+            self.starts, self.again = ends[:-1], np.zeros(len(kept), bool)
+
+    def _ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows, and where each begins (and the last ends)."""
+        counts = self.counts[rows]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return self.flat[np.repeat(self.starts[rows] - ends[:-1], counts) + np.arange(ends[-1])], ends
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -205,8 +228,11 @@ class SliceTable:
 
     def row_numbers(self, slices: list[str]) -> np.ndarray:
         if len(self.rows) >= self.limit:
-            self._clear()
+            self._make_room()
+        before = len(self.rows)
         rows = np.fromiter(map(self.rows.__getitem__, slices), np.int64, len(slices))
+        self.again = self._room(self.again, len(self.rows))
+        self.again[rows[rows < before]] = True
         if self.rows.new:
             self._add(self.rows.new)
             self.rows.new = []
@@ -216,10 +242,8 @@ class SliceTable:
         """Concatenated ids of all texts, and the offset of each text in them (one more at the end)."""
         slices, first = split(texts)
         rows = self.row_numbers(slices)
-        counts = self.counts[rows]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        at = np.repeat(self.starts[rows] - ends[:-1], counts) + np.arange(ends[-1])
-        return self.flat[at], ends[first]
+        ids, ends = self._ids(rows)
+        return ids, ends[first]
 
 
 def byte_of_char() -> dict[str, int]:

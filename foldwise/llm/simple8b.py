@@ -92,8 +92,10 @@ def pack(ids: np.ndarray) -> np.ndarray:
     for k in np.unique(chosen).tolist():
         here = np.flatnonzero(chosen == k)
         count, width = SELECTORS[k] if k != ESCAPE else (1, 60)
-        vals = padded[at[here][:, None] + np.arange(count)] << (np.arange(count, dtype=np.uint64) * np.uint64(width))
-        words[here] = np.bitwise_or.reduce(vals, axis=1) | np.uint64(k << 60)
+        first, held = at[here], np.full(len(here), k << 60, np.uint64)
+        for j in range(count):
+            held |= padded[first + j] << np.uint64(j * width)
+        words[here] = held
     return words
 
 
@@ -110,8 +112,9 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     for k in np.unique(sel).tolist():
         here = np.flatnonzero(sel == k)
         count, width = SELECTORS[k] if k != ESCAPE else (1, 60)
-        shifts = np.arange(count, dtype=np.uint64) * np.uint64(width)
-        out[at[here][:, None] + np.arange(count)] = (words[here][:, None] >> shifts) & np.uint64((1 << width) - 1)
+        first, held = at[here], words[here]
+        for j in range(count):
+            out[first + j] = held >> np.uint64(j * width) & np.uint64((1 << width) - 1)
     return out[:n]
 
 
