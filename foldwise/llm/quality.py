@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +29,8 @@ from .common import chunks, is_held_out, texts_of, written
 
 #: Distinct labelled rows that are fitted on the driver (more are fitted by Spark), and opponents of each.
 MAX_LABELS, OPPONENTS = 20_000, 8
-#: Rows of a bucket of a large fit, and bins of its strengths.
-BUCKET_ROWS, BINS = 8_192, 65_536
+#: Rows of a bucket of a large fit, pairs of them that a task differences at once, and bins of its strengths.
+BUCKET_ROWS, PAIRS, BINS = 8_192, 16_384, 65_536
 _UPPER = bytes(range(0x41, 0x5B))
 _LETTERS = _UPPER + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _DIGITS = bytes(range(0x30, 0x3A))
@@ -77,6 +76,14 @@ def measures(text: str) -> list[float]:
             1 - len(set(lines)) / len(lines), float(np.log1p(longest))]
 
 
+def measures_of(texts: pa.Array) -> np.ndarray:
+    """Feature vectors of many texts, of which one at a time is held besides the array."""
+    x = np.empty((len(texts), len(FEATURES)))
+    for i, t in enumerate(texts):
+        x[i] = measures(t.as_py() or "")
+    return x
+
+
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x array<double>) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +159,8 @@ def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, x) of every row, measured once and written; `tag` tells texts apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [measures(t.as_py() or "") for t in batch.column(1)]  # one text at a time
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "tag", "x"])
+            x = pa.array(list(measures_of(batch.column(1))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], names=["doc_id", "tag", "x"])
     rows = texts_of(docs).select("doc_id", "text", F.xxhash64("text").alias("tag"))
     return written(rows.mapInArrow(run, "doc_id long, tag long, x array<double>"), "op6_measures")
 
@@ -226,9 +233,13 @@ def fit_many(found: DataFrame, size: int, accept: float = 0.3, ridge: float = 1e
             a = np.concatenate([np.repeat(good, OPPONENTS), rng.choice(good, OPPONENTS * len(bad), p=n[good] / n[good].sum())])
             b = np.concatenate([rng.choice(bad, OPPONENTS * len(good), p=n[bad] / n[bad].sum()), np.repeat(bad, OPPONENTS)])
             weight = np.concatenate([np.repeat(n[good], OPPONENTS), np.repeat(n[bad], OPPONENTS)])
-            diff = z[a] - z[b]
-            p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-            return np.concatenate([diff.T @ ((1 - p) * weight), ((diff * (p * (1 - p) * weight)[:, None]).T @ diff).reshape(-1), [weight.sum()]])
+            grad, hess = np.zeros(d), np.zeros((d, d))
+            for i in range(0, len(a), PAIRS):
+                diff, share = z[a[i:i + PAIRS]] - z[b[i:i + PAIRS]], weight[i:i + PAIRS]
+                p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
+                grad += diff.T @ ((1 - p) * share)
+                hess += (diff * (p * (1 - p) * share)[:, None]).T @ diff
+            return np.concatenate([grad, hess.reshape(-1), [weight.sum()]])
         v = _added(rows, sums)
         return v[:d] / v[-1] - ridge * w, v[d:-1].reshape(d, d) / v[-1] + ridge * np.eye(d)
     w = np.zeros(d)
@@ -276,8 +287,7 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, accept: float = 0.3) -> Da
     """The rows of `docs` that the classifier accepts, with their own columns, without a shuffle."""
     model = learn(docs, labels, accept=accept)
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        x = np.array([measures(t or "") for t in texts]).reshape(-1, len(FEATURES))
-        return pd.Series(model.score(x) >= accept)
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(measures_of(texts)) >= accept)
     return docs.where(accepted(docs["text"].cast("string")))
